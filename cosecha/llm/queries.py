@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cosecha.llm import ngram_join, suffix_dedup
+from cosecha.llm import bpe, ngram_join, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digest(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -20,6 +26,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_level_bpe": op1_byte_level_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
