@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cosecha.llm import bpe, ngram_join, suffix_dedup
+from cosecha.llm import bpe, mixing, ngram_join, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +21,29 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(_table(spark, sf_dir, "pages"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_level_bpe": op1_byte_level_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_url_filter": op5_url_filter,
+    "op7_mix_sources": op7_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_rendezvous_shards": op10_rendezvous_shards,
 }
 ORACLES: dict[str, str] = {}
 
