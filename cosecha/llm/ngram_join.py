@@ -18,9 +18,11 @@ Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
    possible overlap is too small, and compares what is left exactly. Members that are
    already connected are not compared again, so a group of copies costs about its size.
 4. *Two rounds.* First every set meets the members of its most popular cell, in blocks
-   of bounded size around a common hub. Then every cell that still holds several
-   components is joined whole, in pairs of blocks. Together they find every link that
-   the components need; pairs within a group are never listed.
+   of bounded size around a common hub. Where a cell then still holds several components,
+   these belong to one family; a family's members, cut into blocks, meet in every pair of
+   blocks that does not lie in one component. Together the rounds find every link that
+   the components need; pairs within a group are never listed, and only what a round
+   compares leaves its text's task as a set.
 """
 
 from __future__ import annotations
@@ -150,7 +152,7 @@ def _lists(owner: np.ndarray, values: np.ndarray, count: int) -> pa.Array:
 
 
 def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), set_key (null for the empty set) and cells of every text."""
+    """row_id, doc_id, n (set size), set_key (null for the empty set) and cells of every text."""
     classes = Classes(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +178,17 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                             cells.append(c)
                 lists = _lists(np.concatenate(owners), np.concatenate(cells), count)
                 keys = pa.array(key.view(np.int64), mask=size == 0)
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(size.astype(np.int64)), keys, lists], names=["doc_id", "n", "set_key", "cells"])
+                yield pa.record_batch([batch.column("row_id")[a:b], batch.column("doc_id")[a:b], pa.array(size.astype(np.int64)), keys, lists], names=["row_id", "doc_id", "n", "set_key", "cells"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, set_key long, cells array<long>")
+    return docs.mapInArrow(sign, "row_id long, doc_id long, n long, set_key long, cells array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """set_key and the sorted elements of every text as 8-byte values."""
+def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFrame) -> DataFrame:
+    """``units`` (set_key, i, j, block, label) with the sorted elements of each set, made from the text of one of its documents."""
+    per_set = units.groupBy("set_key").agg(F.collect_list(F.struct("i", "j", "block", "label")).alias("units"))
+    per_set = written(per_set.join(groups.select("set_key", F.col("node").alias("row_id")), "set_key"), "units")
+    side = F.broadcast(per_set) if small_enough(per_set, BROADCAST_ROWS) else per_set
+    texts = docs.select("row_id", "text").join(side, "row_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +198,18 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 size, key = _set_keys(doc, value, b - a)
                 ends = np.concatenate([[0], np.cumsum(size)]) * 8
                 raw = value.tobytes()
-                sets = pa.array([raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-                yield pa.record_batch([pa.array(key.view(np.int64), mask=size == 0), sets], names=["set_key", "elements"])
+                wanted = batch.column("set_key")[a:b].to_numpy(zero_copy_only=False)
+                # Another row may share the id but not the text.
+                which = np.flatnonzero((key.view(np.int64) == wanted) & (size > 0))
+                lists = batch.column("units")[a:b].take(pa.array(which))
+                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                sets = pa.array([raw[ends[d] : ends[d + 1]] for d in np.repeat(which, counts).tolist()], pa.binary())
+                nodes = pa.array(np.repeat(wanted[which].astype(np.int64), counts))
+                columns = [flat.field(k) for k in range(4)]
+                yield pa.record_batch([*columns, nodes, sets], names=["i", "j", "block", "label", "node", "elements"])
 
-    return docs.select("text").mapInArrow(make, "set_key long, elements binary")
+    return texts.select("text", "set_key", "units").mapInArrow(make, "i long, j long, block long, label long, node long, elements binary")
 
 
 class _Tree:
@@ -270,30 +284,54 @@ def _links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.n
     return out
 
 
-def _tree_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within units. ``members``: cell, i, j (blocks joined), block, set_key, label."""
+def _tree_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within units. ``members``: i, j (blocks joined; one block if equal), block, label, node, elements."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, out = None, [], []
+        unit, rows, out = None, {}, []
 
         def close() -> None:
             if len(rows) > 1:
-                ids, labels, blocks, raw = (list(x) for x in zip(*rows, strict=True))
-                out.extend(_links(ids, labels, blocks, [np.frombuffer(r, np.uint64) for r in raw], percent, unit[1] != unit[2]))
+                labels, blocks, raw = (list(x) for x in zip(*rows.values(), strict=True))
+                out.extend(_links(list(rows), labels, blocks, [np.frombuffer(r, np.uint64) for r in raw], percent, unit[0] != unit[1]))
 
         for batch in batches:
-            for *key, node, label, block, raw in zip(*(batch.column(c).to_pylist() for c in ("cell", "i", "j", "node", "label", "block", "elements")), strict=True):
+            for *key, node, label, block, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "label", "block", "elements")), strict=True):
                 if key != unit:
                     close()
-                    unit, rows = key, []
-                rows.append((node, label, block, raw))
+                    unit, rows = key, {}
+                rows[node] = (label, block, raw)
             yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
             out.clear()
         close()
         yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    dealt = members.join(sets, "set_key").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    return dealt.select("cell", "i", "j", F.col("set_key").alias("node"), "label", "block", "elements").mapInArrow(join, "a long, b long")
+    dealt = members.repartition("i", "j").sortWithinPartitions("i", "j")
+    return dealt.mapInArrow(join, "a long, b long")
+
+
+def _family_units(tagged: DataFrame, block: int) -> DataFrame:
+    """The second round's units (set_key, i, j, block, label). ``tagged``: cell, set_key, label."""
+    bounds = written(tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("cell", "low"), "several")
+    mixed = written(tagged.join(bounds, "cell").select("set_key", "label", "low").distinct(), "mixed")
+    families = written(connected(mixed.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()), "families")
+    sets = mixed.select("set_key", "label").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
+    sets = written(sets, "family-sets")
+    # Large components have blocks of their own; small ones of a family share some.
+    labels = sets.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    pools = labels.filter(F.col("size") < block).groupBy("family").agg(F.sum("size").alias("pool"))
+    labels = written(labels.join(pools, "family", "left"), "label-sizes")
+    alone = F.col("size") >= block
+    own = F.xxhash64("label", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / block)))
+    shared = F.xxhash64("family", F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / block)), F.lit(1))
+    sets = sets.join(labels.drop("family"), "label").select("set_key", "label", "family", F.when(alone, own).otherwise(shared).alias("block"), F.when(alone, F.col("label")).alias("whole"))
+    sets = written(sets, "family-blocks")
+    blocks = written(sets.select("family", "block", "whole").distinct(), "blocks")
+    other = blocks.select("family", F.col("block").alias("j"), F.col("whole").alias("other"))
+    pairs = blocks.withColumnRenamed("block", "i").join(other, "family").filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("whole") == F.col("other"), F.lit(False)))
+    pairs = pairs.select("i", "j")
+    visits = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i != j").select("i", "j", F.col("j").alias("block")))
+    return sets.select("set_key", "label", "block").join(written(visits, "visits"), "block").select("set_key", "i", "j", "block", "label")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -302,50 +340,36 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block
     Only doc_id and text are read. Rows with a null id link like any other, but give no
     component its id; a component without ids has a null id. Ties cannot arise.
     """
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text", F.lit(0))).alias("row_id"), "doc_id", "text")
     signed = written(signed_sets(docs, words, percent), "signed")
-    groups = written(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), "groups")
+    groups = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"))
+    groups = written(groups, "groups")
 
     by_cell = Window.partitionBy("cell")
     cells = signed.select("set_key", F.explode("cells").alias("cell")).repartition("cell")
     cells = cells.withColumn("last", F.lag("set_key").over(by_cell.orderBy("set_key"))).filter("last is null or last != set_key").drop("last")
-    cells = cells.withColumns({"members": F.count(F.lit(1)).over(by_cell), "all": F.bit_xor("set_key").over(by_cell), "hub": F.min("set_key").over(by_cell)})
-    # Cells with the same members are one cell.
+    cells = cells.withColumns({"members": F.count(F.lit(1)).over(by_cell), "hub": F.min("set_key").over(by_cell)})
     cells = written(cells.filter("members > 1"), "cells")
-    alike = written(cells.groupBy("members", "all", "hub").agg(F.min("cell").alias("cell")).select("cell"), "alike")
-    cells = written(cells.join(alike, "cell").drop("all"), "distinct-cells")
-
-    wanted = written(cells.select("set_key").distinct().join(groups, "set_key"), "wanted")
-    ids = wanted.select(F.col("node").alias("doc_id"))
-    ids = F.broadcast(ids) if small_enough(wanted, BROADCAST_ROWS) else ids
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").unionByName(docs.select("doc_id", "text").filter("doc_id is null"))
-    sets = _sets(texts, words).join(wanted.select("set_key"), "set_key", "left_semi")
-    sets = written(sets.dropDuplicates(["set_key"]), "sets")
 
     # Round 1: every set in its most popular cell, blocks of a cell around its hub.
     picked = cells.groupBy("set_key").agg(F.max(F.struct("members", "cell", "hub")).alias("top")).select("set_key", "top.*")
-    picked = picked.withColumn("i", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("members") / block)).cast("long"))
-    hubs = picked.select("cell", "i", F.col("hub").alias("set_key")).distinct()
-    units = picked.select("cell", "i", "set_key").unionByName(hubs).distinct()
+    picked = picked.withColumn("i", F.xxhash64("cell", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("members") / block))))
+    hubs = picked.select("i", F.col("hub").alias("set_key")).distinct()
+    units = picked.select("i", "set_key").unionByName(hubs).distinct()
     units = units.withColumns({"j": F.col("i"), "block": F.lit(0).cast("long"), "label": F.col("set_key")})
-    first = written(_tree_links(units, sets, percent), "links-1")
+    first = written(_tree_links(_unit_members(docs, words, groups, units), percent), "links-1")
     labels = written(connected(first), "labels-1")
 
-    # Round 2: cells that still hold several components, whole.
-    tagged = cells.join(labels.select(F.col("node").alias("set_key"), F.col("component").alias("label")), "set_key", "left")
+    # Round 2: families of components that still share a cell.
+    tagged = cells.select("cell", "set_key").join(labels.select(F.col("node").alias("set_key"), F.col("component").alias("label")), "set_key", "left")
     tagged = written(tagged.withColumn("label", F.coalesce("label", "set_key")), "tagged")
-    several = tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("cell")
-    rest = tagged.join(written(several, "several"), "cell")
-    count = F.ceil(F.col("members") / block)
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("set_key"), count).cast("long"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))))
-    rest = rest.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_key", "label")
-    links = first.unionByName(_tree_links(rest, sets, percent))
-    labels = connected(written(links, "links"))
+    second = _tree_links(_unit_members(docs, words, groups, _family_units(tagged, block)), percent)
+    labels = connected(written(first.unionByName(second), "links"))
 
     # A component is named by the smallest id of its sets.
     tagged = groups.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     tagged = written(tagged.withColumn("component", F.coalesce("component", "set_key")), "components")
-    names = written(tagged.groupBy("component").agg(F.min("node").alias("component_id")), "names")
-    named = written(tagged.join(names, "component").select("set_key", "component_id"), "named")
+    names = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = tagged.join(names, "component").select("set_key", "component_id")
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

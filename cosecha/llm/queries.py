@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cosecha.llm import bpe, mixing, ngram_join, sharding, suffix_dedup, url_filter
+from cosecha.llm import bpe, fingerprints, language_id, lm_score, mixing, ngram_join, sharding, suffix_dedup, url_filter, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,34 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.digest(_table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -38,12 +54,19 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_byte_level_bpe": op1_byte_level_bpe,
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
-    "op5_url_filter": op5_url_filter,
-    "op7_mix_sources": op7_mix_sources,
-    "op9_suffix_dedup": op9_suffix_dedup,
-    "op10_rendezvous_shards": op10_rendezvous_shards,
+    f.__name__: f
+    for f in (
+        op1_byte_level_bpe,
+        op2_embedding_neighbours,
+        op3_ngram_jaccard_join,
+        op4_order_minhash,
+        op5_url_filter,
+        op6_language_id,
+        op7_mix_sources,
+        op8_cross_entropy_difference,
+        op9_suffix_dedup,
+        op10_rendezvous_shards,
+    )
 }
 ORACLES: dict[str, str] = {}
 

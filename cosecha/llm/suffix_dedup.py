@@ -35,13 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import small_enough, written
+from cosecha.llm.tables import written
 from cosecha.llm.text_kernels import CHUNK_BYTES, SpanHasher, text_bytes
 
 GRAM = 100
 HOT_CELL = 256
-#: Members that may be sent to every executor (about 60 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -254,9 +252,8 @@ def repeated_ranges(docs: DataFrame, length: int = 400, first_stays: bool = True
     # The bytes of each different context, once, from its first occurrence.
     mixed = kinds.join(cells, "cell").select("cell", "context", "alike", "kinds", "first", "first._row_key", "first.low", "first.high", F.col("first.lead").alias("anchor_at"))
     mixed = written(mixed, "mixed")
-    wanted = F.broadcast(mixed) if small_enough(mixed, BROADCAST_ROWS) else mixed
     cut = F.expr(f"substring(cast(text as binary), int(low + 1), int(high - low + {length}))")
-    members = docs.select("_row_key", "text").join(wanted, "_row_key").select("cell", "context", "kinds", "first", "anchor_at", cut.alias("bytes"))
+    members = docs.select("_row_key", "text").join(mixed, "_row_key").select("cell", "context", "kinds", "first", "anchor_at", cut.alias("bytes"))
     # Rows that repeat id and text bring the same context again.
     members = written(members, "members").groupBy("cell", "context").agg(*(F.first(c).alias(c) for c in ("kinds", "first", "anchor_at", "bytes")))
     members = members if mixed.isEmpty() else written(members, "once")
@@ -271,25 +268,36 @@ def repeated_ranges(docs: DataFrame, length: int = 400, first_stays: bool = True
     return copies.unionByName(edges)
 
 
-def _without(text: bytes, ranges: list[dict[str, int]] | None) -> tuple[bytes, int]:
+def _without(text: bytes, ranges: list[dict[str, int]] | None, whole_characters: bool) -> tuple[bytes, int]:
     """``text`` without the union of ``ranges``, and the number of maximal runs removed."""
-    kept, at, runs = [], 0, 0
+    runs: list[list[int]] = []
     for begin, end in sorted((r["begin"], r["end"]) for r in ranges or ()):
-        if end <= at:
-            continue
-        if begin > at or not runs:
-            kept.append(text[at:begin])
-            runs += 1
+        if runs and begin <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([begin, end])
+    kept, at = [], 0
+    for begin, end in runs:
+        if whole_characters:
+            # Characters that are only partly covered stay.
+            while begin < end and text[begin] & 0xC0 == 0x80:
+                begin += 1
+            while begin < end < len(text) and text[end] & 0xC0 == 0x80:
+                end -= 1
+        kept.append(text[at:begin])
         at = end
     kept.append(text[at:])
-    return b"".join(kept), runs
+    return b"".join(kept), len(runs)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True, hot_cell: int = HOT_CELL) -> DataFrame:
-    """``docs`` with kept_bytes, n_bytes, n_removed and n_spans (maximal removed runs); columns of these names are replaced."""
+def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True, gram: int = GRAM, hot_cell: int = HOT_CELL, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with kept_bytes, n_bytes, n_removed and n_spans (maximal removed runs); columns of these names are replaced.
+
+    ``whole_characters``: a character that a removed run covers in part is kept, so that kept_bytes is valid UTF-8.
+    """
     added = ["kept_bytes", "n_bytes", "n_removed", "n_spans"]
     keyed = with_row_key(docs.drop(*added))
-    ranges = repeated_ranges(keyed.select("_row_key", "doc_id", "text"), length, first_stays, hot_cell=hot_cell)
+    ranges = repeated_ranges(keyed.select("_row_key", "doc_id", "text"), length, first_stays, gram, hot_cell)
     per_doc = ranges.groupBy("_row_key").agg(F.collect_set(F.struct("begin", "end")).alias("_ranges"))
     joined = keyed.join(per_doc, "_row_key", "left").drop("_row_key")
     plain = [c for c in joined.columns if c != "_ranges"]
@@ -300,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True,
             kept, sizes, removed, spans = [], [], [], []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                rest, runs = _without(raw, cuts)
+                rest, runs = _without(raw, cuts, whole_characters)
                 kept.append(rest)
                 sizes.append(len(raw))
                 removed.append(len(raw) - len(rest))
