@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from cosecha.plans import catalog_queries, price_queries, supply_queries
 from cosecha.plans.registry import Registry
 
+FAMILIES = (supply_queries, price_queries, catalog_queries)
+
 
 def build_registry() -> Registry:
     """All queries of the engine, with their oracles."""
-    return Registry()
+    registry = Registry()
+    for family in FAMILIES:
+        for name, function in family.registry.queries.items():
+            registry.add(name, function, family.registry.oracles.get(name))
+    return registry
