@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,9 @@ def local_session(name: str = "cosecha", cpus: str | int = "*", partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/') if root else tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
