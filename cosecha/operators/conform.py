@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cosecha.functions.columns import first_per_key
 from cosecha.functions.text import comparison_key
@@ -80,7 +81,7 @@ def most_frequent_parent(rows: DataFrame, child: str, parent: str) -> DataFrame:
     return first_per_key(counts, [child], F.desc("rows"), F.asc(parent))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two texts; 0 where either is null."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b, strict=True)])
