@@ -17,17 +17,18 @@ Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
    of hashed elements and size ranges; a dual traversal drops node pairs whose largest
    possible overlap is too small, and compares what is left exactly. Members that are
    already connected are not compared again, so a group of copies costs about its size.
-4. *Two rounds.* First every set meets the members of its most popular cell, in blocks
-   of bounded size around a common hub. Where a cell then still holds several components,
-   these belong to one family; a family's members, cut into blocks, meet in every pair of
-   blocks that does not lie in one component. Together the rounds find every link that
-   the components need; pairs within a group are never listed, and only what a round
-   compares leaves its text's task as a set.
+4. *Rounds.* First every set meets the members of its most popular cell, in blocks of
+   bounded size around a common hub. In the cells that then still hold several components
+   only the bitmaps meet: a set that some other component's bitmap does not rule out is a
+   candidate of that pair of components. Last, the candidates of each pair of components
+   are compared. All three run in blocks of bounded size. Together they find every link
+   that the components need; pairs of sets are never listed, and a set is sent once for
+   each pair of components that it may join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,8 +184,26 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(sign, "row_id long, doc_id long, n long, set_key long, cells array<long>")
 
 
-def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFrame) -> DataFrame:
-    """``units`` (set_key, i, j, block, label) with the sorted elements of each set, made from the text of one of its documents."""
+def _bitmap(elements: np.ndarray) -> bytes:
+    """A set's size and a bitmap of its hashed elements, of about twice as many bits."""
+    width = 64
+    while width < min(2 * len(elements), 1 << 14):
+        width *= 2
+    bits = np.zeros(width, bool)
+    bits[(elements & np.uint64(width - 1)).astype(np.int64)] = True
+    return len(elements).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of one width, the narrowest one's, and set sizes."""
+    sizes = np.array([int.from_bytes(r[:8], "little") for r in raw])
+    width = min(len(r) for r in raw) - 8
+    maps = [np.bitwise_or.reduce(np.frombuffer(r, np.uint8, offset=8).reshape(-1, width), axis=0) for r in raw]
+    return np.stack(maps).view(np.uint64), sizes
+
+
+def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """``units`` (set_key, i, j, block, label) with the sorted elements of each set, or its bitmap, made from the text of one of its documents."""
     per_set = units.groupBy("set_key").agg(F.collect_list(F.struct("i", "j", "block", "label")).alias("units"))
     per_set = written(per_set.join(groups.select("set_key", F.col("node").alias("row_id")), "set_key"), "units")
     side = F.broadcast(per_set) if small_enough(per_set, BROADCAST_ROWS) else per_set
@@ -204,7 +223,8 @@ def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFra
                 lists = batch.column("units")[a:b].take(pa.array(which))
                 counts = lists.value_lengths().to_numpy(zero_copy_only=False)
                 flat = lists.flatten()
-                sets = pa.array([raw[ends[d] : ends[d + 1]] for d in np.repeat(which, counts).tolist()], pa.binary())
+                made = {d: _bitmap(value[ends[d] // 8 : ends[d + 1] // 8]) if bitmaps else raw[ends[d] : ends[d + 1]] for d in which.tolist()}
+                sets = pa.array([made[d] for d in np.repeat(which, counts).tolist()], pa.binary())
                 nodes = pa.array(np.repeat(wanted[which].astype(np.int64), counts))
                 columns = [flat.field(k) for k in range(4)]
                 yield pa.record_batch([*columns, nodes, sets], names=["i", "j", "block", "label", "node", "elements"])
@@ -215,16 +235,8 @@ def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFra
 class _Tree:
     """A signature tree over one unit's members; level 0 are the members themselves."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        width = 256
-        while width < min(2 * max(len(s) for s in sets), 1 << 14):
-            width *= 2
-        bits = np.zeros((len(sets), width), bool)
-        for k, s in enumerate(sets):
-            bits[k, (s & np.uint64(width - 1)).astype(np.int64)] = True
-        size = np.array([len(s) for s in sets])
-        ones = bits.sum(1)
-        packed = np.packbits(bits, axis=1).view(np.uint64)
+    def __init__(self, packed: np.ndarray, size: np.ndarray) -> None:
+        ones = np.bitwise_count(packed).sum(1, dtype=np.int64)
         #: Per level: bitmaps, smallest and largest size, most bits, most elements hidden behind a bit already set.
         self.levels = [(packed, size, size, ones, size - ones)]
         while len(self.levels[-1][1]) > 1:
@@ -260,8 +272,9 @@ class _Tree:
         return a, b
 
 
-def _links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.ndarray], percent: int, across: bool) -> list[tuple[int, int]]:
+def _links(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes], percent: int, across: bool) -> list[tuple[int, int]]:
     """A spanning set of the unit's links; members of one label count as connected. ``across``: only pairs from different blocks."""
+    sets = [np.frombuffer(r, np.uint64) for r in raw]
     # Copies' neighbours sort together by size and smallest element, which keeps nodes selective.
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]).bit_length(), int(sets[k][0]) if len(sets[k]) else 0, len(sets[k])))
     ids, labels, blocks, sets = ([x[k] for k in order] for x in (ids, labels, blocks, sets))
@@ -274,7 +287,7 @@ def _links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.n
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in _Tree(sets).candidates(percent)), strict=True):
+    for i, j in zip(*(x.tolist() for x in _Tree(*_folded([_bitmap(s) for s in sets])).candidates(percent)), strict=True):
         if (across and blocks[i] == blocks[j]) or (p := find(labels[i])) == (q := find(labels[j])):
             continue
         shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -284,8 +297,23 @@ def _links(ids: list[int], labels: list[int], blocks: list[int], sets: list[np.n
     return out
 
 
-def _tree_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within units. ``members``: i, j (blocks joined; one block if equal), block, label, node, elements."""
+def _candidates(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes], percent: int, across: bool) -> list[tuple[int, int, int]]:
+    """(smaller label, larger label, set) for every set that the bitmaps do not keep from a set of the other label."""
+    packed, sizes = _folded(raw)
+    # Alike sets have alike bitmaps and sizes.
+    order = np.lexsort((packed[:, 0], sizes))
+    a, b = _Tree(packed[order], sizes[order]).candidates(percent)
+    label, block = np.array(labels)[order], np.array(blocks)[order]
+    apart = (label[a] != label[b]) & ~(across & (block[a] == block[b]))
+    a, b = a[apart], b[apart]
+    low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+    node = np.array(ids)[order]
+    found = np.concatenate([np.stack([low, high, node[a]]), np.stack([low, high, node[b]])], axis=1)
+    return [tuple(x) for x in np.unique(found, axis=1).T.tolist()]
+
+
+def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]) -> DataFrame:
+    """The rows that ``find`` has for each unit. ``members``: i, j (blocks joined; one block if equal), block, label, node, elements."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows, out = None, {}, []
@@ -293,7 +321,12 @@ def _tree_links(members: DataFrame, percent: int) -> DataFrame:
         def close() -> None:
             if len(rows) > 1:
                 labels, blocks, raw = (list(x) for x in zip(*rows.values(), strict=True))
-                out.extend(_links(list(rows), labels, blocks, [np.frombuffer(r, np.uint64) for r in raw], percent, unit[0] != unit[1]))
+                out.extend(find(list(rows), labels, blocks, raw, percent, unit[0] != unit[1]))
+
+        def taken() -> pa.RecordBatch:
+            batch = pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
+            out.clear()
+            return batch
 
         for batch in batches:
             for *key, node, label, block, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "label", "block", "elements")), strict=True):
@@ -301,37 +334,51 @@ def _tree_links(members: DataFrame, percent: int) -> DataFrame:
                     close()
                     unit, rows = key, {}
                 rows[node] = (label, block, raw)
-            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-            out.clear()
+            yield taken()
         close()
-        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        yield taken()
 
     dealt = members.repartition("i", "j").sortWithinPartitions("i", "j")
-    return dealt.mapInArrow(join, "a long, b long")
-
-
-def _family_units(tagged: DataFrame, block: int) -> DataFrame:
-    """The second round's units (set_key, i, j, block, label). ``tagged``: cell, set_key, label."""
-    bounds = written(tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("cell", "low"), "several")
-    mixed = written(tagged.join(bounds, "cell").select("set_key", "label", "low").distinct(), "mixed")
-    families = written(connected(mixed.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()), "families")
-    sets = mixed.select("set_key", "label").distinct().join(families.select(F.col("node").alias("label"), F.col("component").alias("family")), "label")
-    sets = written(sets, "family-sets")
-    # Large components have blocks of their own; small ones of a family share some.
-    labels = sets.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
-    pools = labels.filter(F.col("size") < block).groupBy("family").agg(F.sum("size").alias("pool"))
-    labels = written(labels.join(pools, "family", "left"), "label-sizes")
+    return dealt.mapInArrow(join, ", ".join(f"{n} long" for n in names))
+
+
+def _units(rows: DataFrame, block: int) -> DataFrame:
+    """Units (set_key, i, j, block, label) in which all members of a family with different labels meet. ``rows``: family, members (of the family), set_key, label."""
+    one = F.xxhash64("family")
+    small = rows.filter(F.col("members") <= block).select("set_key", one.alias("i"), one.alias("j"), F.lit(0).cast("long").alias("block"), "label")
+    sets = rows.filter(F.col("members") > block).drop("members")
+    if sets.isEmpty():
+        return small
+    # Of a large family, large labels have blocks of their own and small ones share some.
+    sizes = sets.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    pools = sizes.filter(F.col("size") < block).groupBy("family").agg(F.sum("size").alias("pool"))
+    sizes = written(sizes.join(pools, "family", "left"), "label-sizes")
     alone = F.col("size") >= block
-    own = F.xxhash64("label", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / block)))
-    shared = F.xxhash64("family", F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / block)), F.lit(1))
-    sets = sets.join(labels.drop("family"), "label").select("set_key", "label", "family", F.when(alone, own).otherwise(shared).alias("block"), F.when(alone, F.col("label")).alias("whole"))
-    sets = written(sets, "family-blocks")
+    own = F.xxhash64("family", "label", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / block)))
+    shared = F.xxhash64("family", F.pmod(F.xxhash64("label"), F.ceil(F.col("pool") / block)))
+    sets = sets.join(sizes, ["family", "label"]).select("set_key", "label", "family", F.when(alone, own).otherwise(shared).alias("block"), F.when(alone, F.col("label")).alias("whole"))
+    sets = written(sets, "blocks-of-sets")
     blocks = written(sets.select("family", "block", "whole").distinct(), "blocks")
     other = blocks.select("family", F.col("block").alias("j"), F.col("whole").alias("other"))
     pairs = blocks.withColumnRenamed("block", "i").join(other, "family").filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("whole") == F.col("other"), F.lit(False)))
     pairs = pairs.select("i", "j")
     visits = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i != j").select("i", "j", F.col("j").alias("block")))
-    return sets.select("set_key", "label", "block").join(written(visits, "visits"), "block").select("set_key", "i", "j", "block", "label")
+    return small.unionByName(sets.select("set_key", "label", "block").join(written(visits, "visits"), "block").select("set_key", "i", "j", "block", "label"))
+
+
+def _mixed_cells(tagged: DataFrame) -> DataFrame:
+    """Of the cells that hold several labels, one of those with the same members: family (cell), members, set_key, label. ``tagged``: cell, set_key, label."""
+    bounds = tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.bit_xor("set_key").alias("all"), F.min("set_key").alias("hub"))
+    bounds = written(bounds.filter("low != high").drop("low", "high"), "several")
+    cells = written(bounds.groupBy("members", "all", "hub").agg(F.min("cell").alias("cell")).select("cell", "members"), "mixed-cells")
+    return tagged.join(cells, "cell").select(F.col("cell").alias("family"), "members", "set_key", "label")
+
+
+def _label_pairs(candidates: DataFrame) -> DataFrame:
+    """Candidates of pairs of components as a family for each pair. ``candidates``: low, high, node."""
+    rows = written(candidates.distinct().withColumn("family", F.xxhash64("low", "high")), "candidates")
+    sizes = written(rows.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "pair-sizes")
+    return rows.join(sizes, "family")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -357,14 +404,20 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block
     hubs = picked.select("i", F.col("hub").alias("set_key")).distinct()
     units = picked.select("i", "set_key").unionByName(hubs).distinct()
     units = units.withColumns({"j": F.col("i"), "block": F.lit(0).cast("long"), "label": F.col("set_key")})
-    first = written(_tree_links(_unit_members(docs, words, groups, units), percent), "links-1")
-    labels = written(connected(first), "labels-1")
+    first = written(_per_unit(_unit_members(docs, words, groups, units), percent, _links, ["a", "b"]), "links-1")
+    labels = written(connected(first).select(F.col("node").alias("set_key"), F.col("component").alias("label")), "labels-1")
 
-    # Round 2: families of components that still share a cell.
-    tagged = cells.select("cell", "set_key").join(labels.select(F.col("node").alias("set_key"), F.col("component").alias("label")), "set_key", "left")
+    # Round 2: bitmaps meet in the cells that still hold several components.
+    tagged = cells.select("cell", "set_key").join(labels, "set_key", "left")
     tagged = written(tagged.withColumn("label", F.coalesce("label", "set_key")), "tagged")
-    second = _tree_links(_unit_members(docs, words, groups, _family_units(tagged, block)), percent)
-    labels = connected(written(first.unionByName(second), "links"))
+    mixed = _units(_mixed_cells(tagged), block)
+    candidates = _per_unit(_unit_members(docs, words, groups, mixed, bitmaps=True), percent, _candidates, ["low", "high", "node"])
+
+    # Round 3: sets meet where two components may be linked.
+    pairs = _label_pairs(candidates).select("family", "members", F.col("node").alias("set_key")).join(labels, "set_key", "left")
+    pairs = written(pairs.withColumn("label", F.coalesce("label", "set_key")), "pairs")
+    last = _per_unit(_unit_members(docs, words, groups, _units(pairs, block)), percent, _links, ["a", "b"])
+    labels = connected(written(first.unionByName(last), "links"))
 
     # A component is named by the smallest id of its sets.
     tagged = groups.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
