@@ -48,7 +48,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     a, b = line[:-1], line[1:]
     two = ((a << _BITS) | b)[(a > 0) | (b > 0)]
     a, b, c = line[:-2], line[1:-1], line[2:]
-    three = ((a << 2 * _BITS) | (b << _BITS) | c)[(b > 0) & ((a > 0) | (c > 0))]
+    three = ((a << 2 * _BITS) | (b << _BITS) | c)[b > 0]
     # Two letters after a blank are the same long as the two letters alone; negative longs keep the pairs apart.
     return np.unique(np.concatenate([one, ~two, three]), return_counts=True)
 

@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     docs = docs.drop("copy", "rate", "shuffle_key", "_steps", "_table")
     rates = source_rates(docs, weights, temperature, size, source).filter("rate > 0")
     steps = F.ceil(F.col("rate") / STEP)
-    rates = rates.select(F.col("source").alias("_source"), "rate", steps.alias("_steps"), _distribution(F.col("rate") / steps).alias("_table"))
+    rates = rates.select(F.col("source").alias("_source"), "rate", steps.alias("_steps"), _distribution(F.col("rate") / F.nullif(steps, F.lit(0))).alias("_table"))
     joined = docs.join(written(rates, "rates"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     name = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
     # Inversion: as many copies as distribution values lie below the draw.
