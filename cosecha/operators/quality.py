@@ -59,8 +59,8 @@ def differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 
 def latencies(events: DataFrame, group: str, value: str) -> DataFrame:
-    """Count, mean, extremes and interpolated percentiles."""
-    at = lambda p: F.percentile(value, F.lit(p))
+    """Count, extremes and interpolated percentiles to six decimals, which engines interpolate in different order."""
+    at = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
     return events.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 

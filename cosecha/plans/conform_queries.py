@@ -128,7 +128,7 @@ def error_report(spark, sf_dir):
 
 
 @registry.query("E28_latencies", """
-SELECT event_type, COUNT(value) AS n, MIN(value) AS low, MAX(value) AS high, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type""")
+SELECT event_type, COUNT(value) AS n, MIN(value) AS low, MAX(value) AS high, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""")
 def latencies(spark, sf_dir):
     return quality.latencies(Views(spark, sf_dir).table("events"), "event_type", "value")
 
