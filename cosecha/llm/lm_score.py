@@ -137,11 +137,11 @@ class PairOfModels:
         return -np.log2(chance).sum(1)
 
 
-def train(docs: DataFrame, most: int = VOCABULARY) -> PairOfModels:
-    """The models of ``docs`` (text, is_target); the driver gets ``most`` words and CELLS counts."""
+def train(docs: DataFrame, marked: DataFrame, most: int = VOCABULARY) -> PairOfModels:
+    """The models of ``docs`` (text), which ``marked`` holds with is_target; the driver gets ``most`` words and the counts of their slots and CELLS."""
     known = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
     vocabulary = Vocabulary(known)
-    counts = model_counts(docs, vocabulary).toPandas()
+    counts = model_counts(marked, vocabulary).toPandas()
     return PairOfModels(vocabulary, *(counts[c].to_numpy(np.int64) for c in ("slot", "target", "background")))
 
 
@@ -178,8 +178,9 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """
     marks = written(target_ids.select(F.col("doc_id").alias("_target")).filter("_target is not null").distinct(), "targets")
     side = F.broadcast(marks) if small_enough(marks, BROADCAST_ROWS) else marks
+    # Only the counts need the mark, so that texts are joined once at most.
     marked = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_target"), "left")
-    return with_score(docs, train(marked.select("text", F.col("_target").isNotNull().alias("is_target"))))
+    return with_score(docs, train(docs, marked.select("text", F.col("_target").isNotNull().alias("is_target"))))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

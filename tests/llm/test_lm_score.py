@@ -21,7 +21,7 @@ def labels(spark):
 def test_models_and_losses_by_hand(spark):
     docs = [(t, k < 20) for k, (_, t, _) in enumerate(rows())]
     frame = spark.createDataFrame(docs, "text string, is_target boolean").repartition(3)
-    models = train(frame, 12)
+    models = train(frame, frame, 12)
     totals = Counter(w for t, _ in docs for w in words(t))
     known = [w for w, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:12]]
     vocabulary = Vocabulary(known)
