@@ -35,6 +35,7 @@ TUPLE = 2
 HASH_BITS = 39
 PLACE_BITS = 24
 _PLACES = (1 << PLACE_BITS) - 1
+_NO_ID = -(1 << 63)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -140,23 +141,24 @@ def _next_in_order(keys: DataFrame) -> DataFrame:
 def fingerprint_with_edits(docs: DataFrame, k: int = KMER, sample: int = SAMPLE, bins: int = BINS, size: int = TUPLE) -> DataFrame:
     """The contract's columns for every row of ``docs``; only doc_id and text are read.
 
-    Documents are ordered by descending doc_id, a null one last; those that share a
-    doc_id by a hash of their text. Rows that repeat both are one document of that order
+    Documents are ordered by descending doc_id, a null one last (it stands for the
+    smallest long); those that share a doc_id by a hash of their text. Rows that repeat both are one document of that order
     and get equal results. A table of one document is its own next.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text).alias("_h"))
+    # Both joins read these three columns by the same keys, so that texts are shuffled once.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("text"))
     keys = keyed.groupBy("_id", "_h").agg(F.first(F.char_length("text")).cast("long").alias("n_chars"))
     links = written(_next_in_order(keys), "links")
 
     # The next document's first characters, brought to the document that takes them.
     wants = links.select(F.col("_id").alias("to_id"), F.col("_h").alias("to_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"), F.col("next_id").alias("_id"), F.col("next_h").alias("_h"))
-    given = keyed.select("_id", "_h", "text").join(wants, ["_id", "_h"]).select(F.col("to_id").alias("_id"), F.col("to_h").alias("_h"), F.left("text", "wanted").alias("given"))
+    given = keyed.join(wants, ["_id", "_h"]).select(F.col("to_id").alias("_id"), F.col("to_h").alias("_h"), F.left("text", "wanted").alias("given"))
     given = given.groupBy("_id", "_h").agg(F.first("given").alias("given"))
     both = keyed.join(given, ["_id", "_h"])
     n = F.char_length("text")
     edited = F.concat(F.left("text", (n - F.floor(n / 3)).cast("int")), F.col("given"))
-    both = both.select("doc_id", "_id", "_h", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = both.select("_id", "_h", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     both = both.withColumn("edited_sha256", F.sha2(F.encode("edited", "UTF-8"), 256))
     for column, name in (("text", "own"), ("edited", "other")):
         both = with_fingerprint(both, column, name, k, sample, bins, size).drop(column)
@@ -168,7 +170,7 @@ def fingerprint_with_edits(docs: DataFrame, k: int = KMER, sample: int = SAMPLE,
     following = following.groupBy("_id", "_h").agg(F.first("next").alias("next"))
     joined = done.join(following, ["_id", "_h"])
     return joined.select(
-        "doc_id",
+        F.nullif("_id", F.lit(_NO_ID)).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
