@@ -3,7 +3,7 @@
 A text's set: its distinct runs of ``words`` words (maximal runs of bytes other than
 space and 0x09-0x0D, A-Z lower-cased); a text with fewer words has its whole word
 sequence as its one element; a text without words (null, empty) has the empty set and
-links with nothing. Elements are compared by 64-bit hash.
+links with nothing. Elements are hashed to 64 bits, of which 48 are sent.
 
 Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
 
@@ -20,10 +20,10 @@ Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
 4. *Rounds.* First every set meets the members of its most popular cell, in blocks of
    bounded size around a common hub. In the cells that then still hold several components
    only the bitmaps meet: a set that some other component's bitmap does not rule out is a
-   candidate of that pair of components. Last, the candidates of each pair of components
-   are compared. All three run in blocks of bounded size. Together they find every link
+   candidate of that pair of components, or of the cell where many components meet. Last,
+   the candidates of each pair of components, or cell, are compared. All three run in blocks of bounded size. Together they find every link
    that the components need; pairs of sets are never listed, and a set is sent once for
-   each pair of components that it may join.
+   each pair of components, or such cell, that it may join.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ BLOCK = 256
 #: Ids that may be sent to every executor (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _FAN_OUT = 4
+#: Candidate rows per set from which a unit's candidates are compared in the unit, not by pairs of components.
+_DENSE = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -184,10 +186,21 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(sign, "row_id long, doc_id long, n long, set_key long, cells array<long>")
 
 
+def _packed(elements: np.ndarray) -> bytes:
+    """The leading 48 bits of sorted hashes."""
+    return np.ascontiguousarray((elements >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def _bitmap(elements: np.ndarray) -> bytes:
-    """A set's size and a bitmap of its hashed elements, of about twice as many bits."""
+    """A set's size and a bitmap of its hashed elements, of about four times as many bits."""
     width = 64
-    while width < min(2 * len(elements), 1 << 14):
+    while width < min(4 * len(elements), 1 << 15):
         width *= 2
     bits = np.zeros(width, bool)
     bits[(elements & np.uint64(width - 1)).astype(np.int64)] = True
@@ -215,15 +228,15 @@ def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFra
             for a, b in chunks(offsets):
                 doc, value = element_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 size, key = _set_keys(doc, value, b - a)
-                ends = np.concatenate([[0], np.cumsum(size)]) * 8
-                raw = value.tobytes()
+                ends = np.concatenate([[0], np.cumsum(size)])
                 wanted = batch.column("set_key")[a:b].to_numpy(zero_copy_only=False)
                 # Another row may share the id but not the text.
                 which = np.flatnonzero((key.view(np.int64) == wanted) & (size > 0))
                 lists = batch.column("units")[a:b].take(pa.array(which))
                 counts = lists.value_lengths().to_numpy(zero_copy_only=False)
                 flat = lists.flatten()
-                made = {d: _bitmap(value[ends[d] // 8 : ends[d + 1] // 8]) if bitmaps else raw[ends[d] : ends[d + 1]] for d in which.tolist()}
+                form = _bitmap if bitmaps else _packed
+                made = {d: form(value[ends[d] : ends[d + 1]]) for d in which.tolist()}
                 sets = pa.array([made[d] for d in np.repeat(which, counts).tolist()], pa.binary())
                 nodes = pa.array(np.repeat(wanted[which].astype(np.int64), counts))
                 columns = [flat.field(k) for k in range(4)]
@@ -274,7 +287,7 @@ class _Tree:
 
 def _links(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes], percent: int, across: bool) -> list[tuple[int, int]]:
     """A spanning set of the unit's links; members of one label count as connected. ``across``: only pairs from different blocks."""
-    sets = [np.frombuffer(r, np.uint64) for r in raw]
+    sets = [_unpacked(r) for r in raw]
     # Copies' neighbours sort together by size and smallest element, which keeps nodes selective.
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]).bit_length(), int(sets[k][0]) if len(sets[k]) else 0, len(sets[k])))
     ids, labels, blocks, sets = ([x[k] for k in order] for x in (ids, labels, blocks, sets))
@@ -298,7 +311,10 @@ def _links(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes
 
 
 def _candidates(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes], percent: int, across: bool) -> list[tuple[int, int, int]]:
-    """(smaller label, larger label, set) for every set that the bitmaps do not keep from a set of the other label."""
+    """(smaller label, larger label, set) for every set that the bitmaps do not keep from a set of the other label.
+
+    Where many labels meet, the sets once, as a family of their own, for they would be in many pairs of labels.
+    """
     packed, sizes = _folded(raw)
     # Alike sets have alike bitmaps and sizes.
     order = np.lexsort((packed[:, 0], sizes))
@@ -308,8 +324,13 @@ def _candidates(ids: list[int], labels: list[int], blocks: list[int], raw: list[
     a, b = a[apart], b[apart]
     low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
     node = np.array(ids)[order]
-    found = np.concatenate([np.stack([low, high, node[a]]), np.stack([low, high, node[b]])], axis=1)
-    return [tuple(x) for x in np.unique(found, axis=1).T.tolist()]
+    found = np.unique(np.concatenate([np.stack([low, high, node[a]]), np.stack([low, high, node[b]])], axis=1), axis=1)
+    once = np.unique(found[2])
+    if found.shape[1] > _DENSE * len(once):
+        # Neither end is a label: the set of sets names the family, so that cells with the same candidates make one.
+        family = int(np.bitwise_xor.reduce(mix(once.view(np.uint64))).view(np.int64))
+        return [(family, len(once), x) for x in once.tolist()]
+    return [tuple(x) for x in found.T.tolist()]
 
 
 def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]) -> DataFrame:
@@ -375,7 +396,7 @@ def _mixed_cells(tagged: DataFrame) -> DataFrame:
 
 
 def _label_pairs(candidates: DataFrame) -> DataFrame:
-    """Candidates of pairs of components as a family for each pair. ``candidates``: low, high, node."""
+    """Candidates as a family for each pair of components or dense unit. ``candidates``: low, high, node."""
     rows = written(candidates.distinct().withColumn("family", F.xxhash64("low", "high")), "candidates")
     sizes = written(rows.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "pair-sizes")
     return rows.join(sizes, "family")
