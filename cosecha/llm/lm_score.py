@@ -141,8 +141,9 @@ def train(docs: DataFrame, marked: DataFrame, most: int = VOCABULARY) -> PairOfM
     """The models of ``docs`` (text), which ``marked`` holds with is_target; the driver gets ``most`` words and the counts of their slots and CELLS."""
     known = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
     vocabulary = Vocabulary(known)
-    counts = model_counts(marked, vocabulary).toPandas()
-    return PairOfModels(vocabulary, *(counts[c].to_numpy(np.int64) for c in ("slot", "target", "background")))
+    # Arrow columns: rows would take ten times the driver's memory.
+    counts = model_counts(marked, vocabulary).toArrow()
+    return PairOfModels(vocabulary, *(counts.column(c).to_numpy() for c in ("slot", "target", "background")))
 
 
 def with_score(docs: DataFrame, models: PairOfModels) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cosecha.llm.components import connected
-from cosecha.llm.tables import small_enough, written
+from cosecha.llm.tables import scratch, small_enough, written
 from cosecha.llm.text_kernels import SpanHasher, chunks, mix, text_bytes, word_spans
 
 #: Members of a cell that one task compares at a time.
@@ -408,6 +408,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block
     Only doc_id and text are read. Rows with a null id link like any other, but give no
     component its id; a component without ids has a null id. Ties cannot arise.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components_of(docs, words, percent, block), "document-components")
+
+
+def _components_of(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     docs = docs.select(F.coalesce("doc_id", F.xxhash64("text", F.lit(0))).alias("row_id"), "doc_id", "text")
     signed = written(signed_sets(docs, words, percent), "signed")
     groups = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import written
+from cosecha.llm.tables import scratch, written
 from cosecha.llm.text_kernels import CHUNK_BYTES, SpanHasher, text_bytes
 
 GRAM = 100
@@ -238,6 +238,11 @@ def repeated_ranges(docs: DataFrame, length: int = 400, first_stays: bool = True
     ``first_stays``: a passage's first occurrence (by doc_id, then place) is kept;
     otherwise every occurrence goes.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_ranges_of(docs, length, first_stays, gram, hot_cell), "repeated-ranges")
+
+
+def _ranges_of(docs: DataFrame, length: int, first_stays: bool, gram: int, hot_cell: int) -> DataFrame:
     places = written(contexts(docs, length, gram), "contexts")
     place = F.struct("doc_id", "_row_key", "low", "high", "lead")
     kinds = written(places.groupBy("cell", "context").agg(F.count(F.lit(1)).alias("alike"), F.min(place).alias("first")), "kinds")

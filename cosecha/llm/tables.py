@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made here for sessions that name none (local tests), by application.
 _own: dict[str, str] = {}
+#: Paths of the tables written in each open ``scratch`` block, the innermost last.
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,9 +29,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cosecha/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A block whose written tables go at its end, but for those that the given function writes."""
+    inner: list[str] = []
+    _open.append(inner)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        # The table belongs to the block around this one, if there is any.
+        _open.pop()
+        try:
+            return written(df, name)
+        finally:
+            _open.append(inner)
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in inner:
+            place = files.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (a written table) has at most ``rows`` rows, so that it may be broadcast."""
     return df.count() <= rows
