@@ -1,17 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of target documents and one of all documents (the background),
-share one vocabulary: the ``VOCABULARY`` most frequent words of the background, every
-other word being one unknown word. They are matched in form and in weight: the same
-smoothing, with the background's counts scaled to the target's number of tokens. A
-token's loss is -log2 of its probability after the word before it; a document's score is
-the mean over its tokens of background loss minus target loss, so that documents like
-the target score above 0.
-
-Word counts and bigram counts cover all documents. Bigrams are counted in ``CELLS``
-hashed cells, so the models that every task holds have a fixed size (about 20 MB)
-whatever the corpus. p(w | v) = (c(v, w) + S p(w)) / (c(v) + S), and p(w) is smoothed by
-one unknown word for each vocabulary entry.
+share one vocabulary: every word of the background, so that it grows with the corpus
+(``train`` can be told to take only the most frequent ones, every other word being one
+unknown word). They are matched in form and in weight: the same smoothing, with the
+background's counts scaled to the target's number of tokens. A token's loss is -log2 of
+its probability after the word before it; a document's score is the mean over its tokens
+of background loss minus target loss, so that documents like the target score above 0.
+
+Word counts and (before, word) counts are exact and cover all documents; they are tables,
+and no task or driver holds a model. A document's distinct bigrams are joined to their
+losses and summed by document; partitions of frequent bigrams are split by Spark's skew
+join. p(w | v) = (c(v, w) + S p(w)) / (c(v) + S), and p(w) is smoothed by one unknown
+word for each vocabulary entry.
 
 A text that is null or has no word has no tokens and null losses and score. Rows that
 repeat a document count as often as they stand there.
@@ -23,22 +24,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from cosecha.llm.tables import small_enough, written
+from cosecha.llm.tables import scratch, small_enough, written
 
-VOCABULARY = 50_000
-CELLS = 1 << 20
+#: Bigram rows that a task passes on at a time.
+CELLS = 1 << 16
 #: Strength of the unigram model in the bigram model, in tokens.
 SMOOTHING = 50.0
-#: Distinct words that a task holds before it passes their counts on.
-HELD = 500_000
-#: Target ids that may be sent to every executor (8 bytes each); more are joined by a shuffle.
+#: Distinct words or bigrams that a task holds before it passes their counts on.
+HELD = 300_000
+#: Rows of target ids or words that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The unknown word, also the one before a document's first.
+UNKNOWN = ""
 
 _words = re.compile(r"\w+").findall
 
@@ -70,106 +71,145 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Numbers of words; 0 is the unknown word, also the one before a document's first."""
+    """Numbers of the known words from 1; 0 is the unknown word."""
 
-    def __init__(self, known: list[str], cells: int = CELLS) -> None:
+    def __init__(self, known: list[str]) -> None:
         self.number = {w: k + 1 for k, w in enumerate(known)}
         self.size = len(known) + 1
-        self.cells = cells
 
-    def ids(self, text: str | None) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words(text)], np.int64)
 
-    def cell(self, ids: np.ndarray) -> np.ndarray:
-        """The cell of each token's bigram."""
-        before = np.concatenate([[0], ids[:-1]])
-        key = (before * self.size + ids).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return ((key >> np.uint64(32)) % np.uint64(self.cells)).astype(np.int64)
+def _bigrams(text: str | None, vocabulary: Vocabulary | None) -> Iterator[tuple[str, str]]:
+    """(before, word) of each token; without a vocabulary every word is known."""
+    tokens = words(text)
+    if vocabulary:
+        tokens = [w if w in vocabulary.number else UNKNOWN for w in tokens]
+    return zip([UNKNOWN, *tokens[:-1]], tokens, strict=False)
 
 
-def model_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(slot, target, background): counts of words (slots below the vocabulary's size) and, after them, of bigram cells. ``docs``: text, is_target."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def bigram_counts(docs: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
+    """(before, word, target, background) over all of ``docs`` (text, is_target)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value
-        totals = np.zeros((2, vocab.size + vocab.cells), np.int64)
+        held: Counter[tuple[str, str]] = Counter()
+        in_target: Counter[tuple[str, str]] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([p[k] for p in held], pa.string()) for k in (0, 1)]
+            columns += [pa.array([in_target.get(p, 0) for p in held], pa.int64()), pa.array(held.values(), pa.int64())]
+            held.clear()
+            in_target.clear()
+            return pa.record_batch(columns, names=["before", "word", "target", "background"])
+
         for batch in batches:
             for text, is_target in zip(batch.column("text"), batch.column("is_target").to_pylist(), strict=True):
-                ids = vocab.ids(text.as_py())
-                if not len(ids):
-                    continue
-                slots, n = np.unique(np.concatenate([ids, vocab.size + vocab.cell(ids)]), return_counts=True)
-                totals[1, slots] += n
+                pairs = list(_bigrams(text.as_py(), vocabulary))
+                held.update(pairs)
                 if is_target:
-                    totals[0, slots] += n
-        slots = np.flatnonzero(totals[1])
-        for at in range(0, len(slots), 100_000):
-            part = slots[at : at + 100_000]
-            yield pa.record_batch([pa.array(part), *(pa.array(totals[k, part]) for k in (0, 1))], names=["slot", "target", "background"])
+                    in_target.update(pairs)
+                if len(held) > HELD:
+                    yield rows()
+        yield rows()
 
-    counts = docs.select("text", "is_target").mapInArrow(count, "slot long, target long, background long")
-    return counts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    counts = docs.select("text", "is_target").mapInArrow(count, "before string, word string, target long, background long")
+    return counts.groupBy("before", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-class PairOfModels:
-    """Log-probabilities of target and background over one vocabulary."""
-
-    def __init__(self, vocabulary: Vocabulary, slots: np.ndarray, target: np.ndarray, background: np.ndarray, smoothing: float = SMOOTHING) -> None:
-        self.vocabulary, self.smoothing = vocabulary, smoothing
-        counts = np.zeros((2, vocabulary.size + vocabulary.cells))
-        counts[0, slots], counts[1, slots] = target, background
-        words_ = counts[:, : vocabulary.size]
-        tokens = words_.sum(1)
-        if tokens[0] and tokens[1]:
-            counts[1] *= tokens[0] / tokens[1]
-        self.word = (words_ + 1) / (words_.sum(1) + vocabulary.size)[:, None]
-        # Every word but a document's last stands before another; the difference is small beside the smoothing.
-        self.before = words_.copy()
-        self.pair = counts[:, vocabulary.size :].astype(np.float32)
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """The summed loss in bits of target and background."""
-        before = np.concatenate([[0], ids[:-1]])
-        pair = np.minimum(self.pair[:, self.vocabulary.cell(ids)], self.before[:, before])
-        chance = (pair + self.smoothing * self.word[:, ids]) / (self.before[:, before] + self.smoothing)
-        return -np.log2(chance).sum(1)
-
-
-def train(docs: DataFrame, marked: DataFrame, most: int = VOCABULARY) -> PairOfModels:
-    """The models of ``docs`` (text), which ``marked`` holds with is_target; the driver gets ``most`` words and the counts of their slots and CELLS."""
-    known = [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()]
-    vocabulary = Vocabulary(known)
-    # Arrow columns: rows would take ten times the driver's memory.
-    counts = model_counts(marked, vocabulary).toArrow()
-    return PairOfModels(vocabulary, *(counts.column(c).to_numpy() for c in ("slot", "target", "background")))
-
-
-def with_score(docs: DataFrame, models: PairOfModels) -> DataFrame:
-    """``docs`` with n_tokens, target_loss, background_loss (bits a token) and score; columns of these names are replaced."""
-    added = ["n_tokens", "target_loss", "background_loss", "score"]
-    docs = docs.drop(*added)
-    schema = StructType(docs.schema.fields[:]).add("n_tokens", "long")
-    for name in added[1:]:
-        schema = schema.add(name, "double")
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = shared.value
+def document_bigrams(docs: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
+    """(_row, before, word, n, tokens): each distinct bigram of each of ``docs`` (_row, text), with the document's number of tokens."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row: list[int] = []
+        tokens: list[int] = []
+        n: list[int] = []
+        before: list[str] = []
+        word: list[str] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(row, pa.int64()), pa.array(before, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int32()), pa.array(tokens, pa.int64())]
+            for x in (row, before, word, n, tokens):
+                x.clear()
+            return pa.record_batch(columns, names=["_row", "before", "word", "n", "tokens"])
+
         for batch in batches:
-            out: list[tuple[int, float | None, float | None, float | None]] = []
-            for text in batch.column("text"):
-                ids = pair.vocabulary.ids(text.as_py())
-                if len(ids):
-                    target, background = (pair.losses(ids) / len(ids)).tolist()
-                    out.append((len(ids), target, background, background - target))
-                else:
-                    out.append((0, None, None, None))
-            new = [pa.array([x[k] for x in out], pa.int64() if k == 0 else pa.float64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+            for key, text in zip(batch.column("_row").to_pylist(), batch.column("text"), strict=True):
+                counts = Counter(_bigrams(text.as_py(), vocabulary))
+                if counts:
+                    first, second = zip(*counts, strict=True)
+                    before.extend(first)
+                    word.extend(second)
+                    n.extend(counts.values())
+                    row.extend([key] * len(counts))
+                    tokens.extend([counts.total()] * len(counts))
+                if len(row) >= CELLS:
+                    yield rows()
+        yield rows()
 
-    return docs.mapInArrow(score, schema)
+    return docs.select("_row", "text").mapInArrow(each, "_row long, before string, word string, n int, tokens long")
+
+
+class PairOfModels:
+    """The counts of target and background over one vocabulary (all words where it is None)."""
+
+    def __init__(self, vocabulary: Vocabulary | None, pairs: DataFrame, words_: DataFrame, smoothing: float = SMOOTHING) -> None:
+        """``pairs``: before, word, target, background; ``words_``: word, target, background; both written."""
+        self.vocabulary, self.pairs, self.words, self.smoothing = vocabulary, pairs, words_, smoothing
+        total = words_.agg(F.sum("target"), F.sum("background"), F.count(F.lit(1))).first()
+        tokens = [total[0] or 0, total[1] or 0]
+        self.size = vocabulary.size if vocabulary else total[2] + 1
+        self.scale = [1.0, tokens[0] / tokens[1] if tokens[0] and tokens[1] else 1.0]
+        self.tokens = [n * s for n, s in zip(tokens, self.scale, strict=True)]
+        self.broadcast = total[2] <= BROADCAST_ROWS
+
+    def losses(self, pairs: DataFrame) -> DataFrame:
+        """(before, word, target_loss, background_loss) in bits of ``pairs`` (as self.pairs)."""
+        sides = ("target", "background")
+
+        def counted(key: str) -> DataFrame:
+            table = self.words.select(F.col("word").alias(key), *(F.col(s).alias(f"{key}_{s}") for s in sides))
+            return F.broadcast(table) if self.broadcast else table
+
+        pairs = pairs.join(counted("word"), "word", "left").join(counted("before"), "before", "left")
+
+        def loss(k: int) -> Column:
+            # Every word but a document's last stands before another; the difference is small beside the smoothing.
+            word, before = (F.coalesce(f"{key}_{sides[k]}", F.lit(0)) * F.lit(self.scale[k]) for key in ("word", "before"))
+            pair = F.least(F.col(sides[k]) * F.lit(self.scale[k]), before)
+            unigram = (word + 1) / F.lit(self.tokens[k] + self.size)
+            return -F.log2((pair + F.lit(self.smoothing) * unigram) / (before + F.lit(self.smoothing)))
+
+        return pairs.select("before", "word", *(loss(k).alias(f"{s}_loss") for k, s in enumerate(sides)))
+
+
+def train(docs: DataFrame, marked: DataFrame, most: int | None = None) -> PairOfModels:
+    """The models of ``docs`` (text), which ``marked`` holds with is_target; of all words, or of the ``most`` most frequent ones, which the driver then gets."""
+    vocabulary = None
+    if most is not None:
+        vocabulary = Vocabulary([r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()])
+    pairs = written(bigram_counts(marked, vocabulary), "bigrams")
+    words_ = pairs.groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return PairOfModels(vocabulary, pairs, written(words_, "words"))
+
+
+def with_score(docs: DataFrame, models: PairOfModels, trained: bool = False) -> DataFrame:
+    """``docs`` with n_tokens, target_loss, background_loss (bits a token) and score; columns of these names are replaced.
+
+    ``trained`` says that the models' counts cover all of ``docs``. Rows of equal text
+    (and doc_id, where there is one) may be summed together, as their means are the same.
+    """
+    docs = docs.drop("n_tokens", "target_loss", "background_loss", "score")
+    columns = docs.columns
+    keyed = docs.withColumn("_row", F.xxhash64(*[c for c in ("doc_id", "text") if c in columns]))
+    rows = document_bigrams(keyed, models.vocabulary)
+    pairs = models.pairs
+    if not trained:
+        new = rows.select("before", "word").distinct().join(pairs, ["before", "word"], "left_anti")
+        pairs = pairs.unionByName(new.withColumns({"target": F.lit(0).cast("long"), "background": F.lit(0).cast("long")}))
+    losses = written(models.losses(pairs), "losses")
+    joined = rows.join(losses, ["before", "word"])
+    means = (F.sum(F.col("n") * F.col(c)) / F.sum("n") for c in ("target_loss", "background_loss"))
+    scores = joined.groupBy("_row").agg(F.max("tokens").alias("n_tokens"), *(m.alias(c) for m, c in zip(means, ("target_loss", "background_loss"), strict=True)))
+    out = keyed.join(written(scores, "scores"), "_row", "left")
+    return out.select(*columns, F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "target_loss", "background_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -177,11 +217,13 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 
     Without any target token the target model is flat. A null doc_id is never a target.
     """
-    marks = written(target_ids.select(F.col("doc_id").alias("_target")).filter("_target is not null").distinct(), "targets")
-    side = F.broadcast(marks) if small_enough(marks, BROADCAST_ROWS) else marks
-    # Only the counts need the mark, so that texts are joined once at most.
-    marked = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_target"), "left")
-    return with_score(docs, train(docs, marked.select("text", F.col("_target").isNotNull().alias("is_target"))))
+    with scratch(docs.sparkSession) as keep:
+        marks = written(target_ids.select(F.col("doc_id").alias("_target")).filter("_target is not null").distinct(), "targets")
+        side = F.broadcast(marks) if small_enough(marks, BROADCAST_ROWS) else marks
+        # Only the counts need the mark, so that texts are joined once at most.
+        marked = docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_target"), "left")
+        models = train(docs, marked.select("text", F.col("_target").isNotNull().alias("is_target")))
+        return keep(with_score(docs, models, trained=True), "scored")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -64,3 +64,30 @@ def test_no_target_and_no_documents(spark):
     docs = spark.createDataFrame(rows(), SCHEMA)
     assert digest(docs, labels(spark).limit(0)).count() == len(rows())
     assert digest(docs.limit(0), labels(spark)).count() == 0
+
+
+def test_rare_words_and_bigrams_keep_their_own_counts(spark):
+    # More words than any fixed vocabulary; each frequent one and each rare one is its own word.
+    filler = [" ".join(f"f{k} f{k}" for k in range(at, at + 1000)) for at in range(0, 60_000, 1000)]
+    rare = "zz1 zz2 zz1 zz3"
+    docs = [(k, t, "x") for k, t in enumerate([*filler, rare, rare])]
+    found = {r["doc_id"]: r for r in digest(spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame([(60, 1), (0, 1)], "doc_id long, quality int")).collect()}
+    unigrams, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for doc, text, _ in docs:
+        tokens = text.split()
+        for side in (1, 0) if doc in (0, 60) else (1,):
+            unigrams[side].update(tokens)
+            pairs[side].update(zip(["", *tokens[:-1]], tokens, strict=True))
+    size = [sum(u.values()) for u in unigrams]
+    wanted = []
+    for side, scale in ((0, 1.0), (1, size[0] / size[1])):
+        loss, before = 0.0, ""
+        for w in rare.split():
+            given = unigrams[side][before] * scale
+            unigram = (unigrams[side][w] * scale + 1) / (size[0] + 60_003 + 1)
+            loss -= math.log2((min(pairs[side][before, w] * scale, given) + SMOOTHING * unigram) / (given + SMOOTHING))
+            before = w
+        wanted.append(loss / 4)
+    for doc in (60, 61):
+        assert (found[doc]["target_loss"], found[doc]["background_loss"]) == (pytest.approx(wanted[0], rel=1e-9), pytest.approx(wanted[1], rel=1e-9))
+        assert found[doc]["n_tokens"] == 4
