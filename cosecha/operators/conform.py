@@ -14,6 +14,8 @@ from cosecha.functions.text import comparison_key
 
 #: Dimension rows that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: What a comparison key is made of.
+KEY_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -87,18 +89,35 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85, block: int = 1) -> DataFrame:
+def _letter_counts(key: Column) -> Column:
+    """How often each character of a comparison key stands in it."""
+    counts = (F.length(key) - F.length(F.translate(key, c, "")) for c in KEY_CHARACTERS)
+    return F.array(*counts)
+
+
+def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """The most alike member of each value (value, name, ratio) at or above ``threshold``.
 
-    Keys are compared within equal first ``block`` letters and lengths that can reach the threshold.
+    Each distinct key of a value without an equal member key meets every distinct key of
+    the members, in blocks; the ratio is taken where lengths and shared characters let it
+    reach the threshold, which loses no match. The cost is the product of the two numbers.
     """
-    key = lambda c: comparison_key(F.col(c))
-    left = values.select("value").distinct().withColumn("_a", key("value")).withColumn("_block", F.left("_a", F.lit(block)))
-    right = members.select("name").distinct().withColumn("_b", key("name")).withColumn("_block", F.left("_b", F.lit(block)))
-    # ratio = 2 m / (a + b) with m at most the shorter length.
-    reachable = 2 * F.least(F.length("_a"), F.length("_b")) >= threshold * (F.length("_a") + F.length("_b"))
-    pairs = left.join(right, "_block").filter(reachable).withColumn("ratio", matching_ratio("_a", "_b")).filter(F.col("ratio") >= threshold)
-    return first_per_key(pairs, ["value"], F.desc("ratio"), F.asc("name")).select("value", "name", "ratio")
+    keyed = values.select("value").distinct().withColumn("_a", comparison_key(F.col("value"))).filter("_a is not null")
+    # Names of one key have one ratio, so only the first of them can be the best.
+    right = members.select("name", comparison_key(F.col("name")).alias("_b")).filter("_b is not null").groupBy("_b").agg(F.min("name").alias("name"))
+    left = keyed.select("_a").distinct()
+    # From 200 characters on the ratio leaves out frequent ones, also of equal keys.
+    same = left.join(right, F.col("_a") == F.col("_b")).filter(F.length("_a") < 200).select("_a", "name", F.lit(1.0).alias("ratio"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = left.join(same.select("_a"), "_a", "left_anti").repartition(parts, "_a").withColumns({"_m": F.length("_a"), "_p": _letter_counts(F.col("_a"))})
+    right = right.withColumns({"_n": F.length("_b"), "_q": _letter_counts(F.col("_b"))})
+    # ratio = 2 m / (a + b) with m at most the shorter length, and at most the characters that both have.
+    can_reach = lambda m: 2.0 * m / (F.col("_m") + F.col("_n")) >= threshold
+    shared = F.aggregate(F.zip_with("_p", "_q", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = rest.join(small(right), can_reach(F.least("_m", "_n")) & can_reach(shared))
+    pairs = pairs.withColumn("ratio", matching_ratio("_a", "_b")).filter(F.col("ratio") >= threshold)
+    best = first_per_key(pairs.select("_a", "name", "ratio"), ["_a"], F.desc("ratio"), F.asc("name")).select("_a", "name", "ratio")
+    return keyed.join(same.filter(F.col("ratio") >= threshold).unionByName(best), "_a").select("value", "name", "ratio")
 
 
 def forward_filled(rows: DataFrame, value: str, order: str, within: list[str]) -> Column:

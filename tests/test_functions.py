@@ -1,6 +1,8 @@
 """Scalar functions on golden cases, and operators on edge cases that the tables lack."""
 
 import datetime as dt
+import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -114,6 +116,18 @@ def test_fuzzy_best_against_all_pairs(spark):
     assert found == {w: (n, pytest.approx(r)) for w, (r, n) in best.items() if r >= 0.85}
 
 
+def test_fuzzy_best_finds_other_first_letters(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 16))).strip() or "q" for _ in range(60)] + ["papa criolla", "a" * 250]
+    wanted = ["xx" + n for n in names] + [n[1:] for n in names] + [n.upper() + " *" for n in names] + [n[:5] + "z" + n[5:] for n in names] + ["hpapa criolla", "??", None]
+    members = spark.createDataFrame([(n,) for n in names], "name string")
+    found = {r["value"]: (r["name"], r["ratio"]) for r in conform.fuzzy_best(spark.createDataFrame([(w,) for w in wanted], "value string"), members, 0.85).collect()}
+    key = lambda w: " ".join(re.sub("[^a-z0-9]", " ", w.lower()).split())
+    best = {w: min((-SequenceMatcher(None, key(w), key(n)).ratio(), n) for n in names) for w in wanted if w is not None}
+    assert found == {w: (n, pytest.approx(-r)) for w, (r, n) in best.items() if -r >= 0.85}
+    assert found["xxpapa criolla"][0] == found["hpapa criolla"][0] == "papa criolla"
+
+
 def test_transient_errors(spark):
     rows = spark.createDataFrame([("timeout", None), ("parse", "Connection RESET by peer"), ("parse", "bad row"), (None, None)], "kind string, message string")
     assert [r[0] for r in rows.select(quality.transient(F.col("kind"), F.col("message"))).collect()] == [True, True, False, False]
