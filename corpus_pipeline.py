@@ -28,13 +28,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, once; documents without an id all stay."""
-    groups = ngram_join.jaccard_components(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
-    gone = groups.filter("component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # Rows that repeat an id are one document if their texts agree.
-    named = kept.filter("doc_id is not null").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return named.unionByName(kept.filter("doc_id is null"))
+    """Of each group of near duplicates the row of smallest id, and one of the rows without an id.
+
+    Rows are told apart by id and text: those that share an id but not a text are documents of their own.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_id"))
+    rows = ngram_join.jaccard_rows(keyed, SHINGLE_WORDS, SHINGLE_PERCENT).filter("component is not null")
+    best = rows.groupBy("component", F.col("doc_id").isNull().alias("unnamed")).agg(F.min(F.struct("doc_id", "row_id")).alias("best"))
+    best = written(best.select("component", "unnamed", F.col("best.row_id").alias("kept")), "representatives")
+    beside = (rows["component"] == best["component"]) & (rows["doc_id"].isNull() == best["unnamed"])
+    gone = rows.join(best, beside).filter("row_id != kept").select("row_id").distinct()
+    return keyed.join(gone, "row_id", "left_anti").dropDuplicates(["doc_id", "row_id"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,12 +408,22 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block
     Only doc_id and text are read. Rows with a null id link like any other, but give no
     component its id; a component without ids has a null id. Ties cannot arise.
     """
+    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text", F.lit(0))).alias("row_id"), "doc_id", "text")
     with scratch(docs.sparkSession) as keep:
-        return keep(_components_of(docs, words, percent, block), "document-components")
+        return keep(_components_of(docs, words, percent, block).select("doc_id", "n_shingles", "component_id"), "document-components")
+
+
+def jaccard_rows(docs: DataFrame, words: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """row_id, doc_id and component (any number of the row's component; null for a text without words), a row for each row of ``docs`` (row_id, doc_id, text).
+
+    ``row_id`` tells texts apart also where they share a doc_id.
+    """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components_of(docs.select("row_id", "doc_id", "text"), words, percent, block).select("row_id", "doc_id", "component"), "row-components")
 
 
 def _components_of(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    docs = docs.select(F.coalesce("doc_id", F.xxhash64("text", F.lit(0))).alias("row_id"), "doc_id", "text")
+    """row_id, doc_id, n_shingles, component and component_id of ``docs`` (row_id, doc_id, text)."""
     signed = written(signed_sets(docs, words, percent), "signed")
     groups = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"))
     groups = written(groups, "groups")
@@ -449,6 +459,6 @@ def _components_of(docs: DataFrame, words: int, percent: int, block: int) -> Dat
     tagged = groups.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     tagged = written(tagged.withColumn("component", F.coalesce("component", "set_key")), "components")
     names = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = tagged.join(names, "component").select("set_key", "component_id")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = tagged.join(names, "component").select("set_key", "component", "component_id")
+    rows = signed.select("row_id", "doc_id", F.col("n").alias("n_shingles"), "set_key").join(named, "set_key", "left")
+    return rows.select("row_id", "doc_id", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
