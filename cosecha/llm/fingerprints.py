@@ -1,9 +1,9 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's tokens are its runs of characters other than white space, long runs in pieces
-of ``PIECE`` characters; its k-mers are runs of ``k`` tokens (a shorter text is one
-k-mer). A k-mer's later occurrences count as k-mers of their own: every k-mer is hashed
-with its occurrence number. The fingerprint has ``bins`` places. Each place takes the
+White space is folded to single blanks, none at the ends; a text's k-mers are its runs of
+``k`` characters, with ``k`` - 1 blanks before and after the text, so that short texts and
+texts without blanks have a k-mer for each character. A k-mer's later occurrences count
+as k-mers of their own: every k-mer is hashed with its occurrence number. The fingerprint has ``bins`` places. Each place takes the
 ``tuple_size`` occurrence-numbered k-mers with the smallest hashes among those that the
 hash deals to it (one permutation serves all places), puts them back into text order and
 hashes the tuple. Two texts agree at a place only if the same k-mers are the smallest
@@ -13,7 +13,7 @@ Only the ``sample`` k-mers of smallest hash, with all their occurrences, go into
 places (a bottom-k sketch): texts of any length are read whole, and the work after the
 first sort does not grow with them.
 
-A text that is null or has no token has an empty fingerprint, alike (1.0) to another
+A text that is null or has only white space has an empty fingerprint, alike (1.0) to another
 empty one and unlike (0.0) all others.
 """
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from cosecha.llm.tables import written
 
-PIECE = 12
 KMER = 5
 SAMPLE = 128
 BINS = 64
@@ -99,16 +98,18 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = KMER, sample:
 
     ``bins`` is a power of two. A column called ``name`` is replaced.
     """
-    each, kmers, kinds, picked, items = (f"_{name}_{part}" for part in ("each", "kmers", "kinds", "picked", "items"))
+    kmers, kinds, picked, items = (f"_{name}_{part}" for part in ("kmers", "kinds", "picked", "items"))
     # The long arrays are columns of their own, so that each is made once and sorted by compiled code.
-    df = df.withColumn(each, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0)), lambda t: F.xxhash64(t)))
-    full = F.transform(F.sequence(F.lit(0), F.size(each) - k), lambda i: _hash(*(F.get(F.col(each), i + j) for j in range(k))))
+    folded = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    padded = F.concat(F.lit(" " * (k - 1)), folded, F.lit(" " * (k - 1)))
+    # A run from every character on, but none from within a surrogate pair.
+    runs = F.regexp_extract_all(padded, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{k}}}))"), F.lit(1))
     none = F.array().cast("array<bigint>")
-    df = df.withColumn(kmers, F.when(F.size(each) >= k, full).when(F.size(each) > 0, F.array(_hash(F.col(each)))).otherwise(none))
+    df = df.withColumn(kmers, F.when(folded == "", none).otherwise(F.transform(runs, lambda t: _hash(t))))
     df = df.withColumn(kinds, F.slice(F.sort_array(F.array_distinct(kmers)), 1, sample))
     df = df.withColumn(picked, F.filter(kmers, lambda x: x <= F.get(F.col(kinds), F.size(kinds) - 1)))
     df = df.withColumn(items, F.sort_array(_numbered(F.col(picked), F.col(kinds))))
-    return df.withColumn(name, _bins(F.col(items), bins, size)).drop(each, kmers, kinds, picked, items)
+    return df.withColumn(name, _bins(F.col(items), bins, size)).drop(kmers, kinds, picked, items)
 
 
 def as_text(fingerprint: Column) -> Column:

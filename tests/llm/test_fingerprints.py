@@ -52,3 +52,17 @@ def test_order_matters_and_nothing_runs_in_python(spark):
 
 def test_empty_table(spark):
     assert fingerprint_with_edits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_and_unspaced_near_copies_are_alike(spark):
+    rng = random.Random(9)
+    unspaced = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    emoji = "".join(chr(0x1F300 + rng.randrange(300)) for _ in range(200))
+    pairs = [("the red house", "the red mouse"), ("good morning", "good morming"), ("ab", "ab c"), (unspaced, unspaced[:3] + "X" + unspaced[3:]), (emoji, emoji[:5] + emoji[6:])]
+    pairs += [("the red house", "zuvy qik"), (unspaced, emoji), (" one  two\n", "one two"), (" ", "one"), ("\t", None)]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    for name in ("a", "b"):
+        frame = with_fingerprint(frame, name, f"{name}_print")
+    alike = [r[0] for r in frame.orderBy("k").select(likeness(F.col("a_print"), F.col("b_print"))).collect()]
+    assert min(alike[:3]) > 0.1 and min(alike[3:5]) > 0.5
+    assert max(alike[5:7]) < 0.1 and alike[7:] == [1.0, 0.0, 1.0]
