@@ -85,12 +85,12 @@ def daily_grid(grid: DataFrame) -> DataFrame:
     start with 'Var' and cells without a price are skipped.
     """
     by_file = Window.partitionBy("file")
-    named = F.size(F.filter(F.slice("cells", 2, 1000), lambda c: c.contains(","))) > 0
+    named = F.size(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: c.contains(","))) > 0
     first = F.min(F.when(named & ~F.exists("cells", lambda c: parse_price(c).isNotNull()), F.col("row"))).over(by_file)
     rows = grid.withColumn("_header", first)
     headers = rows.filter("row = _header").select("file", F.col("cells").alias("names"))
     body = rows.filter("row > _header")
-    alone = F.size(F.filter(F.slice("cells", 2, 1000), lambda c: F.trim(c) != "")) == 0
+    alone = F.size(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.trim(c) != "")) == 0
     body = body.withColumn("category", F.when(alone & (F.trim(F.get("cells", F.lit(0))) != ""), F.trim(F.get("cells", F.lit(0)))))
     filled = F.last("category", ignorenulls=True).over(by_file.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     body = body.withColumn("category", filled).filter(~alone)

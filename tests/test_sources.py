@@ -77,3 +77,10 @@ def test_stream_drops_repeats_and_replaces_sources(spark, tmp_path):
     assert feeds.drain(stream, str(tmp_path / "out"), str(tmp_path / "c1")).count() == 5
     feeds.replace_sources(feeds.read_feed(spark, str(tmp_path / "in")), str(tmp_path / "by"), "event_type", str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "by")).count() == 10
+
+
+def test_daily_grid_reads_columns_beyond_a_thousand(spark):
+    wide = [""] * 1005
+    rows = [("f", 0, ["Product", *wide, "Lima, Norte"]), ("f", 1, ["FRUTAS"]), ("f", 2, ["Mango", *wide, "1.200"]), ("f", 3, [])]
+    found = grids.daily_grid(spark.createDataFrame(rows, "file string, row int, cells array<string>")).collect()
+    assert [(r["category"], r["product"], r["market"], r["price"]) for r in found] == [("FRUTAS", "Mango", "Lima, Norte", 1200.0)]
