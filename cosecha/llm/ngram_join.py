@@ -3,27 +3,33 @@
 A text's set: its distinct runs of ``words`` words (maximal runs of bytes other than
 space and 0x09-0x0D, A-Z lower-cased); a text with fewer words has its whole word
 sequence as its one element; a text without words (null, empty) has the empty set and
-links with nothing. Elements are hashed to 64 bits, of which 48 are sent.
+links with nothing. Elements are 64-bit hashes of words, eight bytes at a time.
 
 Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
 
-1. *Equal sets* become one node, whatever their number.
+1. *Equal sets* become one node, whatever their number, before anything else is sent.
+   A second, independent hash confirms them; two sets that share the first one stop the job.
 2. *Cells.* Sizes fall into classes; linked sets of a class differ in at most H
    elements. Elements fall by hash into H + 1 + slack buckets, so linked sets have at
    least 1 + slack buckets alike; a set with at most slack empty buckets need not emit
    those. A cell is one bucket's content. No element frequency matters, and a passage
-   that many texts share makes no hot cell, as whole buckets must be alike.
-3. *Signature trees.* A cell's members form a tree whose nodes hold OR-combined bitmaps
+   that many texts share makes few common cells, as whole buckets must be alike. Cells
+   travel packed, ten bytes each. Of a cell that several sets of one task have, only two go
+   to the cell's partition, where cells of several sets are found; the others are known to
+   belong to such a cell and are dealt out elsewhere, so a hot cell fills no task.
+3. *Pruning.* A set stays only while 1 + slack of its cells have other sets; after the
+   first round below, sets of other components.
+4. *Signature trees.* A cell's members form a tree whose nodes hold OR-combined bitmaps
    of hashed elements and size ranges; a dual traversal drops node pairs whose largest
    possible overlap is too small, and compares what is left exactly. Members that are
    already connected are not compared again, so a group of copies costs about its size.
-4. *Rounds.* First every set meets the members of its most popular cell, in blocks of
+5. *Rounds.* First every set meets the members of its most popular cell, in blocks of
    bounded size around a common hub. In the cells that then still hold several components
    only the bitmaps meet: a set that some other component's bitmap does not rule out is a
    candidate of that pair of components, or of the cell where many components meet. Last,
-   the candidates of each pair of components, or cell, are compared. All three run in blocks of bounded size. Together they find every link
-   that the components need; pairs of sets are never listed, and a set is sent once for
-   each pair of components, or such cell, that it may join.
+   the candidates of each pair of components, or cell, are compared. All three run in
+   blocks of bounded elements. Together they find every link that the components need;
+   pairs of sets are never listed.
 """
 
 from __future__ import annotations
@@ -32,25 +38,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cosecha.llm.components import connected
 from cosecha.llm.tables import scratch, small_enough, written
-from cosecha.llm.text_kernels import SpanHasher, chunks, mix, text_bytes, word_spans
+from cosecha.llm.text_kernels import chunks, mix, text_bytes, word_hashes, word_spans
 
-#: Members of a cell that one task compares at a time.
+#: Sets of a cell that one task compares at a time; a set of more than WEIGHT elements counts as several.
 BLOCK = 256
-#: Ids that may be sent to every executor (8 bytes each); more are joined by a shuffle.
+WEIGHT = 2048
+#: Rows of a few longs that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Cells that a task holds before it sends them on, and that one partition of cells has on average.
+CELLS = 500_000
 _FAN_OUT = 4
 #: Candidate rows per set from which a unit's candidates are compared in the unit, not by pairs of components.
 _DENSE = 3
+#: Elements that a task gathers before it passes their sets on.
+_ELEMENTS = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_ONE = np.uint64(1)
 
 
 def _seed(k: int) -> np.uint64:
@@ -63,7 +76,7 @@ def element_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     starts, ends, doc = word_spans(data, offsets, _IN_WORD)
     if len(starts) == 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    each = SpanHasher(data)(starts, ends)
+    each = word_hashes(data, starts, ends)
     count = np.bincount(doc, minlength=len(offsets) - 1)
     seeds = [_seed(k) for k in range(words + 1)]
     where, values = [], []
@@ -105,7 +118,7 @@ class Classes:
         partner = largest * 100 // percent
         # Linked sets of sizes a and b differ in at most (100 - percent) / (100 + percent) * (a + b) elements.
         self.differ = (100 - percent) * (largest + partner) // (100 + percent)
-        self.slack = np.where(self.differ > 0, 2 + self.differ // 16, 0)
+        self.slack = np.where(self.differ > 0, 2 + self.differ // 4, 0)
         self.buckets = self.differ + 1 + self.slack
         self.largest = largest
 
@@ -113,88 +126,203 @@ class Classes:
         return np.searchsorted(self.lows, size, side="right") - 1
 
 
-def _cell_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(document, cell) of the elements of chosen documents under size class ``level`` of each."""
-    buckets = classes.buckets[level].astype(np.uint64)
-    bucket = ((value >> np.uint64(32)) * buckets[doc]) >> np.uint64(32)
+def _cell_keys(doc: np.ndarray, value: np.ndarray, level: np.ndarray, fits: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, cell) of the documents that ``fits`` marks, under size class ``level`` of each, and how many of a set's cells must have other sets."""
+    mine = fits[doc]
+    doc, value = doc[mine], value[mine]
+    total = classes.buckets[level]
+    bucket = ((value >> np.uint64(32)) * total[doc].astype(np.uint64)) >> np.uint64(32)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])
     at = np.flatnonzero(new)
     owner, which = doc[at], bucket[at]
-    content = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at) + np.diff(np.append(at, len(doc))).astype(np.uint64)
-    key = mix(content + which * np.uint64(0xC2B2AE3D27D4EB4F) + mix(level[owner].astype(np.uint64) + np.uint64(77)))
+    content = np.add.reduceat(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at) if len(at) else np.empty(0, np.uint64)
+    content = content + np.diff(np.append(at, len(doc))).astype(np.uint64)
+    at_level = mix(level.astype(np.uint64) + np.uint64(77))
+    key = mix(content + which * np.uint64(0xC2B2AE3D27D4EB4F) + at_level[owner])
+    empty = np.where(fits, total - np.bincount(owner, minlength=len(fits)), 0)
+    need = np.where(empty > classes.slack[level], 1, 1 + classes.slack[level] - empty)
     # Sets with more empty buckets than the slack meet in those as well.
-    empty = classes.buckets[level] - np.bincount(owner, minlength=len(size))
-    extra_doc, extra_key = [], []
-    for d in np.flatnonzero((size > 0) & (empty > classes.slack[level]) & (np.bincount(owner, minlength=len(size)) > 0)):
-        held = set(which[owner == d].tolist())
-        for b in range(int(classes.buckets[level[d]])):
-            if b not in held:
-                extra_doc.append(d)
-                extra_key.append((b * 0x9E3779B97F4A7C15 + int(level[d]) * 0xD6E8FEB86659FD93 + 5) & (1 << 64) - 1)
-    if extra_doc:
-        owner = np.concatenate([owner, np.array(extra_doc, owner.dtype)])
-        key = np.concatenate([key, mix(np.array(extra_key, np.uint64))])
-    return owner, key
-
-
-def _set_keys(doc: np.ndarray, value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and key of each document's set; the key of the empty set means nothing."""
+    sparse = np.flatnonzero(fits & (empty > classes.slack[level]))
+    if len(sparse):
+        starts = np.cumsum(total[sparse]) - total[sparse]
+        free = np.ones(int(total[sparse].sum()), bool)
+        place = np.full(len(fits), -1)
+        place[sparse] = starts
+        held = place[owner] >= 0
+        free[place[owner[held]] + which[held].astype(np.int64)] = False
+        of = np.repeat(sparse, total[sparse])
+        number = (np.arange(len(free)) - np.repeat(starts, total[sparse])).astype(np.uint64)
+        more = mix(number * np.uint64(0x9E3779B97F4A7C15) + at_level[of] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(5))
+        owner, key = np.concatenate([owner, of[free]]), np.concatenate([key, more[free]])
+    return owner, key, need
+
+
+def _cells_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, classes: Classes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For a set's own size class (0) and the one below it (1): document and cell of each cell, cells needed, and which documents take part."""
+    level = classes.of(np.maximum(size, 1))
+    for down in (0, 1):
+        own = np.maximum(level - down, 0)
+        # A set also joins the class below if a linked set of that class can exist.
+        fits = (size > 0) & (level >= down) & (classes.differ[own] > 0)
+        if down:
+            fits &= size * classes.percent <= classes.largest[own] * 100
+        yield (down, *_cell_keys(doc, value, own, fits, classes), fits)
+
+
+def _set_keys(doc: np.ndarray, value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size, key and a second key of each document's set; the keys of the empty set mean nothing."""
     size = np.bincount(doc, minlength=count)
-    key = np.zeros(count, np.uint64)
+    keys = np.zeros((2, count), np.uint64)
     held = np.flatnonzero(size)
     if len(held):
-        key[held] = mix(np.add.reduceat(mix(value), np.concatenate([[0], np.cumsum(size[held])[:-1]])) + size[held].astype(np.uint64))
-    return size, key
+        first = np.concatenate([[0], np.cumsum(size[held])[:-1]])
+        for k, salt in enumerate((0, 0x5851F42D4C957F2D)):
+            keys[k, held] = mix(np.add.reduceat(mix(value ^ np.uint64(salt)), first) + size[held].astype(np.uint64))
+    return size, keys[0], keys[1]
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, count: int) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].view(np.int64)))
+def _sets_in(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of rows of ``batch`` with (document, element) of their texts."""
+    data, offsets = text_bytes(batch.column("text"))
+    for a, b in chunks(offsets):
+        yield (a, b, *element_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words))
 
 
 def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """row_id, doc_id, n (set size), set_key (null for the empty set) and cells of every text."""
+    """row_id, doc_id, n (set size), set_key and check (null for the empty set), cells (number), need_0 and need_1 of every text."""
     classes = Classes(percent)
+    names = ["row_id", "doc_id", "n", "set_key", "check", "cells", "need_0", "need_1"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for a, b in chunks(offsets):
-                doc, value = element_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                count = b - a
-                size, key = _set_keys(doc, value, count)
-                level = classes.of(np.maximum(size, 1))
-                owners, cells = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-                if len(doc):
-                    for down in (0, 1):
-                        own = level - down
-                        # A set also joins the class below if a linked set of that class can exist.
-                        fits = (size > 0) & (own >= 0) & (classes.differ[np.maximum(own, 0)] > 0)
-                        if down:
-                            fits &= size * percent <= classes.largest[np.maximum(own, 0)] * 100
-                        mine = fits[doc]
-                        if mine.any():
-                            o, c = _cell_keys(doc[mine], value[mine], np.where(fits, size, 0), np.maximum(own, 0), classes)
-                            owners.append(o)
-                            cells.append(c)
-                lists = _lists(np.concatenate(owners), np.concatenate(cells), count)
-                keys = pa.array(key.view(np.int64), mask=size == 0)
-                yield pa.record_batch([batch.column("row_id")[a:b], batch.column("doc_id")[a:b], pa.array(size.astype(np.int64)), keys, lists], names=["row_id", "doc_id", "n", "set_key", "cells"])
-
-    return docs.mapInArrow(sign, "row_id long, doc_id long, n long, set_key long, cells array<long>")
-
-
-def _packed(elements: np.ndarray) -> bytes:
-    """The leading 48 bits of sorted hashes."""
-    return np.ascontiguousarray((elements >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
+            for a, b, doc, value in _sets_in(batch, words):
+                size, key, check = _set_keys(doc, value, b - a)
+                cells, needs = np.zeros(b - a, np.int64), []
+                for _, owner, _, need, fits in _cells_of(doc, value, size, classes):
+                    cells += np.bincount(owner, minlength=b - a)
+                    needs.append(np.where(fits, need, 0))
+                columns = [batch.column("row_id")[a:b], batch.column("doc_id")[a:b], pa.array(size.astype(np.int64))]
+                columns += [pa.array(k.view(np.int64), mask=size == 0) for k in (key, check)]
+                yield pa.record_batch([*columns, *(pa.array(x.astype(np.int64)) for x in (cells, *needs))], names=names)
+
+    return docs.select("row_id", "doc_id", "text").mapInArrow(sign, ", ".join(f"{n} long" for n in names))
+
+
+def _five(values: np.ndarray) -> bytes:
+    """The low 40 bits of each value."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def shared_cells(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """(cell, short, down) of the cells that several sets have; ``short`` are the leading 39 bits of a set's key. Rows may repeat."""
+    classes = Classes(percent)
+    names = ["to", "part", "sure", "cells", "sets"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        turn = context.partitionId() if context else 0
+        done: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            cell, of = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((of, cell))
+            cell, of = cell[order], of[order]
+            first = np.ones(len(cell), bool)
+            first[1:] = cell[1:] != cell[:-1]
+            last = np.append(first[1:], True)
+            part = ((cell >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+            for sure in (False, True):
+                at = np.flatnonzero((first | last) != sure)
+                if not len(at):
+                    continue
+                cut = np.flatnonzero(np.diff(part[at], prepend=np.uint64(1 << 40)) != 0)
+                stops = [*cut[1:].tolist(), len(at)]
+                some = part[at[cut]].astype(np.int64)
+                to = (some + int(mix(np.array([turn + 1], np.uint64))[0] % np.uint64(parts))) % parts if sure else some
+                packed = [[_five(x[at[a:b]]) for a, b in zip(cut.tolist(), stops, strict=True)] for x in (cell, of)]
+                columns = [pa.array(to), pa.array(some), pa.array(np.full(len(some), sure)), *(pa.array(x, pa.binary()) for x in packed)]
+                yield pa.record_batch(columns, names=names)
+
+        for batch in batches:
+            for a, b, doc, value in _sets_in(batch, words):
+                size, key, _ = _set_keys(doc, value, b - a)
+                # A set that this task has sent, or has twice here, goes once.
+                fresh = np.zeros(b - a, bool)
+                for k in np.flatnonzero(size).tolist():
+                    if (name := int(key[k])) not in done:
+                        done.add(name)
+                        fresh[k] = True
+                mine = fresh[doc]
+                doc, value = doc[mine], value[mine]
+                for down, owner, cell, _, _ in _cells_of(doc, value, np.where(fresh, size, 0), classes):
+                    held.append((cell, (key[owner] >> np.uint64(25)) << _ONE | np.uint64(down)))
+                    count += len(cell)
+                if count >= CELLS:
+                    yield from sent()
+                    held, count = [], 0
+        if count:
+            yield from sent()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+
+        def rows(part: int, cell: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+            whole = cell + (np.uint64(part) << np.uint64(40))
+            columns = [pa.array(whole.view(np.int64)), pa.array((of >> _ONE).view(np.int64)), pa.array((of & _ONE).astype(np.int64))]
+            return pa.record_batch(columns, names=["cell", "short", "down"])
+
+        def closed() -> pa.RecordBatch:
+            cell, of = (np.concatenate([_wide(h[k]) for h in held]) for k in (0, 1))
+            held.clear()
+            order = np.lexsort((of, cell))
+            cell, of = cell[order], of[order]
+            new = np.ones(len(cell), bool)
+            new[1:] = (cell[1:] != cell[:-1]) | (of[1:] != of[:-1])
+            cell, of = cell[new], of[new]
+            alike = np.zeros(len(cell) + 1, bool)
+            alike[1:-1] = cell[1:] == cell[:-1]
+            several = alike[1:] | alike[:-1]
+            return rows(now, cell[several], of[several])
+
+        for batch in batches:
+            for part, sure, cells, sets in zip(*(batch.column(c) for c in ("part", "sure", "cells", "sets")), strict=True):
+                part = part.as_py()
+                if sure.as_py():
+                    yield rows(part, _wide(cells.as_py()), _wide(sets.as_py()))
+                    continue
+                if part != now and held:
+                    yield closed()
+                now = part
+                held.append((cells.as_py(), sets.as_py()))
+        if held:
+            yield closed()
+
+    packed = docs.select("text").mapInArrow(emit, "to long, part long, sure boolean, cells binary, sets binary")
+    return packed.repartition("to").sortWithinPartitions("part", "sure").mapInArrow(meet, "cell long, short long, down long")
+
+
+def _apart(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (cell, set_key, ..) of the cells with several values of ``by``, with the cell's number of members and its smallest set as hub."""
+    bounds = rows.groupBy("cell").agg(F.min(by).alias("low"), F.max(by).alias("high"), F.min("set_key").alias("hub"), F.count(F.lit(1)).alias("members"))
+    bounds = written(bounds.filter("low != high").select("cell", "hub", "members"), "bounds")
+    return rows.drop("hub", "members").join(bounds, "cell")
+
+
+def _enough(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` (cell, set_key, down, ..) of the sets that share enough cells in a size class to have a link there."""
+    tally = rows.groupBy("set_key", "down").agg(F.count(F.lit(1)).alias("shared"))
+    need = F.when(F.col("down") == 0, F.col("need_0")).otherwise(F.col("need_1"))
+    stay = tally.join(groups.select("set_key", "need_0", "need_1"), "set_key").filter(F.col("shared") >= need).select("set_key", "down")
+    return rows.join(written(stay, "staying"), ["set_key", "down"])
 
 
 def _bitmap(elements: np.ndarray) -> bytes:
@@ -215,34 +343,44 @@ def _folded(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(maps).view(np.uint64), sizes
 
 
-def _unit_members(docs: DataFrame, words: int, groups: DataFrame, units: DataFrame, bitmaps: bool = False) -> DataFrame:
-    """``units`` (set_key, i, j, block, label) with the sorted elements of each set, or its bitmap, made from the text of one of its documents."""
-    per_set = units.groupBy("set_key").agg(F.collect_list(F.struct("i", "j", "block", "label")).alias("units"))
-    per_set = written(per_set.join(groups.select("set_key", F.col("node").alias("row_id")), "set_key"), "units")
-    side = F.broadcast(per_set) if small_enough(per_set, BROADCAST_ROWS) else per_set
+def member_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
+    """set_key, weight, elements (sorted, eight bytes each) and bitmap of the sets of ``nodes`` (set_key, row_id), a row or more each."""
+    side = F.broadcast(nodes) if small_enough(nodes, BROADCAST_ROWS) else nodes
     texts = docs.select("row_id", "text").join(side, "row_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, bytes, bytes]] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            batch = pa.record_batch([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["set_key", "weight", "elements", "bitmap"])
+            out.clear()
+            return batch
+
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for a, b in chunks(offsets):
-                doc, value = element_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                size, key = _set_keys(doc, value, b - a)
+            wanted = batch.column("set_key").to_numpy(zero_copy_only=False)
+            for a, b, doc, value in _sets_in(batch, words):
+                size, key, _ = _set_keys(doc, value, b - a)
                 ends = np.concatenate([[0], np.cumsum(size)])
-                wanted = batch.column("set_key")[a:b].to_numpy(zero_copy_only=False)
                 # Another row may share the id but not the text.
-                which = np.flatnonzero((key.view(np.int64) == wanted) & (size > 0))
-                lists = batch.column("units")[a:b].take(pa.array(which))
-                counts = lists.value_lengths().to_numpy(zero_copy_only=False)
-                flat = lists.flatten()
-                form = _bitmap if bitmaps else _packed
-                made = {d: form(value[ends[d] : ends[d + 1]]) for d in which.tolist()}
-                sets = pa.array([made[d] for d in np.repeat(which, counts).tolist()], pa.binary())
-                nodes = pa.array(np.repeat(wanted[which].astype(np.int64), counts))
-                columns = [flat.field(k) for k in range(4)]
-                yield pa.record_batch([*columns, nodes, sets], names=["i", "j", "block", "label", "node", "elements"])
+                for d in np.flatnonzero((key.view(np.int64) == wanted[a:b]) & (size > 0)).tolist():
+                    own = value[ends[d] : ends[d + 1]]
+                    out.append((int(wanted[a + d]), 1 + len(own) // WEIGHT, own.tobytes(), _bitmap(own)))
+                    held += len(own)
+                    if held > _ELEMENTS:
+                        yield rows()
+                        held = 0
+        yield rows()
 
-    return texts.select("text", "set_key", "units").mapInArrow(make, "i long, j long, block long, label long, node long, elements binary")
+    return texts.select("text", "set_key").mapInArrow(make, "set_key long, weight long, elements binary, bitmap binary")
+
+
+def _unit_members(sets: DataFrame, units: DataFrame, what: str) -> DataFrame:
+    """``units`` (set_key, i, j, block, label) with the elements, or bitmap, of each set."""
+    units = written(units, "units")
+    side = F.broadcast(units) if small_enough(units, BROADCAST_ROWS) else units
+    return sets.select("set_key", F.col(what).alias("elements")).join(side, "set_key").withColumnRenamed("set_key", "node")
 
 
 class _Tree:
@@ -287,7 +425,7 @@ class _Tree:
 
 def _links(ids: list[int], labels: list[int], blocks: list[int], raw: list[bytes], percent: int, across: bool) -> list[tuple[int, int]]:
     """A spanning set of the unit's links; members of one label count as connected. ``across``: only pairs from different blocks."""
-    sets = [_unpacked(r) for r in raw]
+    sets = [np.frombuffer(r, np.uint64) for r in raw]
     # Copies' neighbours sort together by size and smallest element, which keeps nodes selective.
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]).bit_length(), int(sets[k][0]) if len(sets[k]) else 0, len(sets[k])))
     ids, labels, blocks, sets = ([x[k] for k in order] for x in (ids, labels, blocks, sets))
@@ -350,12 +488,14 @@ def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]
             return batch
 
         for batch in batches:
-            for *key, node, label, block, raw in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "label", "block", "elements")), strict=True):
+            elements = batch.column("elements")
+            for at, (*key, node, label, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", "node", "label", "block")), strict=True)):
                 if key != unit:
                     close()
                     unit, rows = key, {}
-                rows[node] = (label, block, raw)
-            yield taken()
+                    if len(out) > CELLS:
+                        yield taken()
+                rows[node] = (label, block, elements[at].as_py())
         close()
         yield taken()
 
@@ -364,14 +504,14 @@ def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]
 
 
 def _units(rows: DataFrame, block: int) -> DataFrame:
-    """Units (set_key, i, j, block, label) in which all members of a family with different labels meet. ``rows``: family, members (of the family), set_key, label."""
+    """Units (set_key, i, j, block, label) in which all members of a family with different labels meet. ``rows``: family, members (of the family, by weight), set_key, label, weight."""
     one = F.xxhash64("family")
     small = rows.filter(F.col("members") <= block).select("set_key", one.alias("i"), one.alias("j"), F.lit(0).cast("long").alias("block"), "label")
     sets = rows.filter(F.col("members") > block).drop("members")
     if sets.isEmpty():
         return small
     # Of a large family, large labels have blocks of their own and small ones share some.
-    sizes = sets.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sets.groupBy("family", "label").agg(F.sum("weight").alias("size"))
     pools = sizes.filter(F.col("size") < block).groupBy("family").agg(F.sum("size").alias("pool"))
     sizes = written(sizes.join(pools, "family", "left"), "label-sizes")
     alone = F.col("size") >= block
@@ -387,19 +527,17 @@ def _units(rows: DataFrame, block: int) -> DataFrame:
     return small.unionByName(sets.select("set_key", "label", "block").join(written(visits, "visits"), "block").select("set_key", "i", "j", "block", "label"))
 
 
-def _mixed_cells(tagged: DataFrame) -> DataFrame:
-    """Of the cells that hold several labels, one of those with the same members: family (cell), members, set_key, label. ``tagged``: cell, set_key, label."""
-    bounds = tagged.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.bit_xor("set_key").alias("all"), F.min("set_key").alias("hub"))
-    bounds = written(bounds.filter("low != high").drop("low", "high"), "several")
-    cells = written(bounds.groupBy("members", "all", "hub").agg(F.min("cell").alias("cell")).select("cell", "members"), "mixed-cells")
-    return tagged.join(cells, "cell").select(F.col("cell").alias("family"), "members", "set_key", "label")
+def _families(tagged: DataFrame) -> DataFrame:
+    """The sets of all cells with the same labels, as a family: family, members (by weight), set_key, label, weight. ``tagged``: cell, set_key, label, weight."""
+    labels = tagged.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("sets")).groupBy("cell")
+    names = labels.agg(F.xxhash64(F.bit_xor("label"), F.min("label"), F.max("label"), F.count(F.lit(1))).alias("family"))
+    rows = tagged.join(written(names, "families"), "cell").select("family", "set_key", "label", "weight")
+    return _sized(written(rows.distinct(), "members"))
 
 
-def _label_pairs(candidates: DataFrame) -> DataFrame:
-    """Candidates as a family for each pair of components or dense unit. ``candidates``: low, high, node."""
-    rows = written(candidates.distinct().withColumn("family", F.xxhash64("low", "high")), "candidates")
-    sizes = written(rows.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "pair-sizes")
-    return rows.join(sizes, "family")
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (family, weight, ..) with members: the weight of the family."""
+    return rows.join(written(rows.groupBy("family").agg(F.sum("weight").alias("members")), "sizes"), "family")
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -425,38 +563,56 @@ def jaccard_rows(docs: DataFrame, words: int = 4, percent: int = 85, block: int
 def _components_of(docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
     """row_id, doc_id, n_shingles, component and component_id of ``docs`` (row_id, doc_id, text)."""
     signed = written(signed_sets(docs, words, percent), "signed")
-    groups = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("row_id").alias("node"), F.min("doc_id").alias("least"))
+    groups = signed.filter("set_key is not null").groupBy("set_key")
+    groups = groups.agg(
+        F.min("row_id").alias("node"),
+        F.min("doc_id").alias("least"),
+        F.min("check").alias("check"),
+        F.max("check").alias("other"),
+        *(F.max(c).alias(c) for c in ("cells", "need_0", "need_1")),
+    )
     groups = written(groups, "groups")
+    seen = groups.agg(F.sum("cells").alias("cells"), F.count_if(F.col("check") != F.col("other")).alias("clashes")).first()
+    if seen["clashes"]:
+        raise ArithmeticError(f"{seen['clashes']} keys of 64 bits stand for two different sets each")
+
+    # A few sets more share the leading bits of a key: they only add members to be compared.
+    cells = written(shared_cells(docs, words, percent, max(1, -(-(seen["cells"] or 0) // CELLS))), "shared-cells")
+    names = groups.select("set_key", F.shiftrightunsigned("set_key", 25).alias("short"))
+    rows = written(cells.join(names, "short").select("cell", "set_key", "down").distinct(), "named-cells")
+    cells = written(_apart(written(_enough(rows, groups), "enough"), "set_key"), "cells")
 
-    by_cell = Window.partitionBy("cell")
-    cells = signed.select("set_key", F.explode("cells").alias("cell")).repartition("cell")
-    cells = cells.withColumn("last", F.lag("set_key").over(by_cell.orderBy("set_key"))).filter("last is null or last != set_key").drop("last")
-    cells = cells.withColumns({"members": F.count(F.lit(1)).over(by_cell), "hub": F.min("set_key").over(by_cell)})
-    cells = written(cells.filter("members > 1"), "cells")
+    nodes = cells.select("set_key").distinct().join(groups.select("set_key", F.col("node").alias("row_id")), "set_key")
+    sets = written(member_sets(docs, words, written(nodes, "nodes")), "sets")
+    weights = written(sets.groupBy("set_key").agg(F.max("weight").alias("weight")), "weights")
 
     # Round 1: every set in its most popular cell, blocks of a cell around its hub.
     picked = cells.groupBy("set_key").agg(F.max(F.struct("members", "cell", "hub")).alias("top")).select("set_key", "top.*")
-    picked = picked.withColumn("i", F.xxhash64("cell", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("members") / block))))
+    picked = picked.join(weights, "set_key")
+    loads = written(picked.groupBy("cell").agg(F.sum("weight").alias("load")), "loads")
+    picked = picked.join(loads, "cell").withColumn("i", F.xxhash64("cell", F.pmod(F.xxhash64("set_key"), F.ceil(F.col("load") / block))))
+    picked = written(picked.select("i", "set_key", "hub"), "picked")
     hubs = picked.select("i", F.col("hub").alias("set_key")).distinct()
     units = picked.select("i", "set_key").unionByName(hubs).distinct()
     units = units.withColumns({"j": F.col("i"), "block": F.lit(0).cast("long"), "label": F.col("set_key")})
-    first = written(_per_unit(_unit_members(docs, words, groups, units), percent, _links, ["a", "b"]), "links-1")
+    first = written(_per_unit(_unit_members(sets, units, "elements"), percent, _links, ["a", "b"]), "links-1")
     labels = written(connected(first).select(F.col("node").alias("set_key"), F.col("component").alias("label")), "labels-1")
+    labels = written(weights.join(labels, "set_key", "left").select("set_key", F.coalesce("label", "set_key").alias("label"), "weight"), "labels")
 
     # Round 2: bitmaps meet in the cells that still hold several components.
-    tagged = cells.select("cell", "set_key").join(labels, "set_key", "left")
-    tagged = written(tagged.withColumn("label", F.coalesce("label", "set_key")), "tagged")
-    mixed = _units(_mixed_cells(tagged), block)
-    candidates = _per_unit(_unit_members(docs, words, groups, mixed, bitmaps=True), percent, _candidates, ["low", "high", "node"])
+    tagged = written(_apart(cells.join(labels, "set_key"), "label"), "mixed")
+    tagged = written(_apart(written(_enough(tagged, groups), "enough"), "label"), "mixed")
+    mixed = _units(_families(tagged), block)
+    candidates = _per_unit(_unit_members(sets, mixed, "bitmap"), percent, _candidates, ["low", "high", "node"])
+    candidates = candidates.distinct().select(F.xxhash64("low", "high").alias("family"), F.col("node").alias("set_key"))
 
     # Round 3: sets meet where two components may be linked.
-    pairs = _label_pairs(candidates).select("family", "members", F.col("node").alias("set_key")).join(labels, "set_key", "left")
-    pairs = written(pairs.withColumn("label", F.coalesce("label", "set_key")), "pairs")
-    last = _per_unit(_unit_members(docs, words, groups, _units(pairs, block)), percent, _links, ["a", "b"])
+    pairs = written(candidates.join(labels, "set_key"), "candidates")
+    last = _per_unit(_unit_members(sets, _units(_sized(pairs), block), "elements"), percent, _links, ["a", "b"])
     labels = connected(written(first.unionByName(last), "links"))
 
     # A component is named by the smallest id of its sets.
-    tagged = groups.join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
+    tagged = groups.select("set_key", "least").join(labels.select(F.col("node").alias("set_key"), "component"), "set_key", "left")
     tagged = written(tagged.withColumn("component", F.coalesce("component", "set_key")), "components")
     names = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
     named = tagged.join(names, "component").select("set_key", "component", "component_id")

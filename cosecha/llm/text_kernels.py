@@ -7,6 +7,7 @@ own), so its working memory does not follow the batch size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -60,25 +60,67 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """At every place the eight bytes from there on as a long (zeros after the end)."""
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    out = np.empty(len(data), np.uint64)
+    for k in range(8):
+        # Every eighth place is an aligned view of the bytes moved by k.
+        out[k::8] = wide[k : k + (len(data) - k + 7) // 8 * 8].view(np.uint64) if k < len(data) else []
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes and length, eight bytes at a time; spans over 256 bytes by BLAKE2b.
+
+    Each step is a bijection of the state followed by a mix, so no structure of the bytes
+    (repeats, complements) makes two spans collide more often than chance.
+    """
+    size = ends - starts
+    state = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if len(size) == 0:
+        return state
+    blocks = eight_bytes(data)
+    live = np.flatnonzero((size > 0) & (size <= 256))
+    done = 0
+    while len(live):
+        rest = np.minimum(size[live] - done, 8).astype(np.uint64)
+        block = blocks[starts[live] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest))
+        state[live] = mix((state[live] ^ block) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x2545F4914F6CDD1D))
+        done += 8
+        live = live[size[live] > done]
+    for k in np.flatnonzero(size > 256).tolist():
+        digest = hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest()
+        state[k] = np.frombuffer(digest, np.uint64)[0]
+    return state
+
+
 class SpanHasher:
-    """Polynomial hashes of any spans of one byte array, from prefix sums modulo 2**64."""
+    """Polynomial hashes of any spans of one byte array, from prefix sums modulo 2**64.
+
+    A span's symbols are mixed runs of eight bytes, not bytes, without which words such as
+    the Thue-Morse sequence and its complement collide under any base. Spans have at least eight bytes.
+    """
 
     def __init__(self, data: np.ndarray) -> None:
         up, self._down = _power_tables(len(data))
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self._sums[1:])
+        self._sums = np.zeros(max(len(data) - 7, 0) + 1, np.uint64)
+        count = len(self._sums) - 1
+        np.cumsum(mix(eight_bytes(data)[:count] + np.uint64(_BASE)) * up[:count], out=self._sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal bytes give equal values; the length enters the value."""
-        raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        raw = (self._sums[ends - 7] - self._sums[starts]) * self._down[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def every(self, length: int) -> np.ndarray:
         """Hashes of all spans of one length, by start."""
-        count = len(self._sums) - length
+        width = length - 7
+        count = len(self._sums) - width
         if count <= 0:
             return np.empty(0, np.uint64)
-        return mix((self._sums[length:] - self._sums[:count]) * self._down[:count])
+        return mix((self._sums[width:] - self._sums[:count]) * self._down[:count])
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -76,3 +76,18 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+def test_complementary_texts_are_different_words(spark):
+    """Words whose polynomial hashes modulo a power of two collide under any base."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    docs = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    got = nj.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 2)]
+
+
+def test_copies_send_their_cells_once_a_task(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    one = spark.createDataFrame([(0, text), (1, text + " x")], "doc_id long, text string").coalesce(1)
+    many = spark.createDataFrame([(k, text + " x" * (k % 2)) for k in range(1000)], "doc_id long, text string").coalesce(1)
+    assert nj.shared_cells(many, 4, 85, 3).count() == nj.shared_cells(one, 4, 85, 3).count() > 50
