@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,9 +11,23 @@ from pyspark.sql import functions as F
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 MONTH_FORMS = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic"]
 
-# Accented Latin letters and their plain forms, position by position.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one letter or digit and marks, with that letter; and the marks, which stand for nothing."""
+    letters, plain, marks = [], [], []
+    for code in (*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)):
+        char = chr(code)
+        rest = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif len(rest) == 1 and rest[0] != char and rest[0].isalnum():
+            letters.append(char)
+            plain.append(rest[0])
+    return "".join(letters + marks), "".join(plain)
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def parse_price(value: Column) -> Column:
@@ -26,22 +42,62 @@ def month_number(name: Column) -> Column:
     return F.nullif(place, F.lit(0)).cast("int")
 
 
+def named_month(name: Column) -> Column:
+    """1 to 12 by the whole Spanish name, whatever its case; null for anything else."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name)), F.lit(0)).cast("int")
+
+
+def short_month(name: Column) -> Column:
+    """1 to 12 by a form of three letters, or 'sept'; null for anything else."""
+    form = F.when(F.lower(name) == "sept", "sep").otherwise(F.lower(name))
+    return F.nullif(F.array_position(F.array(*map(F.lit, MONTH_FORMS)), form), F.lit(0)).cast("int")
+
+
+def calendar_date(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers as text or int; null if there is none."""
+    joined = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(joined, F.lit("yyyy-MM-dd")).cast("date"))
+
+
 def parse_spanish_date(value: Column) -> Column:
     """The date of '<day> de <month> de <year>' anywhere in a text; an unknown month counts as January, an impossible date is null."""
-    pattern = r"(?i)(\d{1,2})\s+de\s+(\p{L}+)\s+de\s+(\d{4})"
-    part = lambda k: F.regexp_extract(value, pattern, k)
-    month = F.coalesce(month_number(part(2)), F.lit(1))
-    joined = F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0"))
-    return F.when(part(1) != "", F.try_to_timestamp(joined, F.lit("yyyy-MM-dd")).cast("date"))
+    pattern = r"(?i)(\d{1,2})\s+de\s+([\p{L}\p{N}_]+)\s+de\s+(\d{4})"
+    part = lambda k: F.nullif(F.regexp_extract(value, pattern, k), F.lit(""))
+    return calendar_date(part(3), F.coalesce(named_month(part(2)), F.lit(1)), part(1))
+
+
+def dated_text(value: Column, default_year: Column | None = None) -> Column:
+    """The date of '<day> de <month> [de] <year>', or of '<day> de <month>' in ``default_year``; unknown months give none."""
+    text = F.lower(F.trim(value))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    whole, short = r"(\d{1,2})\s+de\s+([a-záéíóú]+)(?:\s+de)?\s+(\d{4})", r"(\d{1,2})\s+de\s+([a-záéíóú]+)"
+    found = calendar_date(part(whole, 3), named_month(part(whole, 2)), part(whole, 1))
+    if default_year is None:
+        return found
+    return F.coalesce(found, calendar_date(default_year, named_month(part(short, 2)), part(short, 1)))
 
 
 def split_city_market(value: Column) -> Column:
-    """(city, market) at the first comma; a region in parentheses goes, and 'D.C.' stays with its city."""
-    text = F.trim(F.regexp_replace(value, r"\s*\([^)]*\)", ""))
-    capital = text.rlike(r"(?i)^[^,]+, *d\.?c\.?")
-    head = F.when(capital, F.regexp_extract(text, r"(?i)^([^,]+, *d\.?c\.?)", 1)).otherwise(F.substring_index(text, ",", 1))
-    rest = F.trim(F.regexp_replace(F.substring(text, F.length(head) + 1, F.length(text)), r"^\s*,\s*", ""))
-    return F.struct(F.trim(head).alias("city"), rest.alias("market"))
+    """(city, market): 'City (Region), Market', 'City (Region)', 'City, D.C., Market' at the last comma, else at the first comma."""
+    text = F.trim(value)
+    region_market, region = r"^(.+?)\s*\([^)]+\)\s*,\s*(.+)$", r"^(.+?)\s*\([^)]+\)$"
+    parts = F.split(text, ",")
+    capital = text.contains("D.C.") & (F.size(parts) >= 3)
+    cut = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ",")
+    part = lambda pattern, k: F.trim(F.regexp_extract(text, pattern, k))
+    city = F.when(text.rlike(region_market), part(region_market, 1)).when(text.rlike(region), part(region, 1)).when(capital, F.trim(cut)).otherwise(F.trim(F.substring_index(text, ",", 1)))
+    after = F.trim(F.regexp_replace(text, r"^[^,]*,?", ""))
+    market = F.when(text.rlike(region_market), part(region_market, 2)).when(text.rlike(region), "").when(capital, F.trim(F.substring_index(text, ",", -1))).otherwise(after)
+    return F.struct(city.alias("city"), market.alias("market"))
+
+
+def split_at_last_comma(value: Column) -> Column:
+    """(city, market) at the last comma; 'Bogotá, D.C.,' keeps its own."""
+    text = F.trim(value)
+    capital = text.rlike("^Bogot[áa], D\\.C\\.,")
+    tail = F.when(capital, F.regexp_replace(text, r"^[^,]*,[^,]*,", "")).otherwise(F.substring_index(text, ",", -1))
+    head = F.when(capital, F.regexp_replace(F.regexp_extract(text, r"^([^,]*,[^,]*),", 1), r"\s*,\s*", ", ")).otherwise(F.regexp_replace(text, r",[^,]*$", ""))
+    return F.struct(F.trim(head).alias("city"), F.when(text.contains(","), F.trim(tail)).otherwise("").alias("market"))
 
 
 def collapse_spaces(value: Column) -> Column:
@@ -50,17 +106,18 @@ def collapse_spaces(value: Column) -> Column:
 
 
 def strip_accents(value: Column) -> Column:
-    """Latin letters without their accents."""
+    """Letters without their accents, and no marks; letters that decompose into several others stay."""
     return F.translate(value, ACCENTED, PLAIN)
 
 
 def lower_inner_accents(value: Column) -> Column:
-    """Upper-case accented letters after a lower-case letter, lower-cased; repeated so that a corrected letter counts."""
-    pairs = list(zip("ÁÉÍÓÚÑ", "áéíóúñ", strict=True))
-    for _ in range(3):
-        for upper, lower in pairs:
-            value = F.regexp_replace(value, rf"(?<=\p{{Ll}}){upper}", lower)
-    return value
+    """Upper-case accented letters after a lower-case letter, lower-cased, also in runs: a corrected letter counts as lower-case."""
+    run = r"((?<=\p{Ll})[ÁÉÍÓÚÑ]+)"
+    pieces = F.regexp_extract_all(value, F.lit(rf"(?s){run}|((?:(?!(?<=\p{{Ll}})[ÁÉÍÓÚÑ]).)+)"), F.lit(0))
+    inner = F.regexp_extract_all(value, F.lit(run), F.lit(1))
+    # Pieces alternate, so a piece of accented capitals after a first piece that ends in a lower-case letter is a run.
+    lowered = F.transform(pieces, lambda p, i: F.when((i > 0) & p.rlike("^[ÁÉÍÓÚÑ]+$") & F.get(pieces, i - 1).rlike(r"\p{Ll}$"), F.lower(p)).otherwise(p))
+    return F.when(F.size(inner) > 0, F.array_join(lowered, "")).otherwise(value)
 
 
 def comparison_key(value: Column) -> Column:
@@ -74,16 +131,17 @@ def slug(value: Column) -> Column:
     return F.translate(comparison_key(value), " ", "-")
 
 
-def undouble(value: Column) -> Column:
-    """A text whose letters are doubled ('AAbb') with each pair as one letter; others as they are.
-
-    At least three tenths of the letters at even places must be followed by themselves, and there must be four letters.
-    """
+def is_doubled(value: Column) -> Column:
+    """Whether at least three tenths of the letters at even places are followed by themselves, among four letters or more."""
     size = F.length(value)
     even = F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1)), F.lit(2))
     pairs = F.size(F.filter(even, lambda i: F.substring(value, i, F.lit(1)) == F.substring(value, i + 1, F.lit(1))))
-    doubled = (size >= 4) & (pairs >= size * 0.3)
-    return F.when(doubled, F.regexp_replace(value, r"(?s)(.)\1", "$1")).otherwise(value)
+    return (size >= 4) & (pairs >= size * 0.3)
+
+
+def undouble(value: Column) -> Column:
+    """A text whose letters are doubled ('AAbb') with each pair as one letter; others as they are."""
+    return F.when(is_doubled(value), F.regexp_replace(value, r"(?s)(.)\1", "$1")).otherwise(value)
 
 
 def zero_padded(code: Column, size: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cosecha.functions.columns import exact_mean, first_per_key, optional, text, trailing
@@ -89,3 +89,59 @@ def entity_comments(conversations: DataFrame, products: DataFrame, markets: Data
     names = names.unionByName(markets.select(F.lit("market").alias("entity_type"), F.col("market_id").alias("entity_id"), F.col("market_name").alias("entity_name")))
     found = rows.join(names, ["entity_type", "entity_id"], "left")
     return found.select("conv_id", "turn", "entity_type", "entity_id", "entity_name", F.length("content").cast("long").alias("content_chars"))
+
+
+def named_lists(products: DataFrame, departments: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(kind, name, parent) of all categories, subcategories, departments, input groups and input subgroups."""
+    rows = None
+    for kind, source, name, parent in (
+        ("category", products, "category_name", None),
+        ("subcategory", products, "subcategory_name", "category_name"),
+        ("department", departments, "department_name", None),
+        ("input_group", inputs, "subgroup", None),
+        ("input_subgroup", inputs, "cpc_code", "subgroup"),
+    ):
+        above = F.col(parent) if parent else F.lit(None).cast("string")
+        one = source.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), above.alias("parent")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def sections(rows: DataFrame, section: str, name: str, unnamed: str = "Otro") -> DataFrame:
+    """Each section with its size and the names in it, in order."""
+    named = rows.select(F.coalesce(section, F.lit(unnamed)).alias("section"), name)
+    return named.groupBy("section").agg(F.count(F.lit(1)).alias("members"), F.concat_ws(",", F.sort_array(F.collect_list(name))).alias("names"))
+
+
+def input_tree(inputs: DataFrame) -> DataFrame:
+    """Inputs by group, subgroup and code with their number; codes in order, none last."""
+    parts = inputs.select(F.col("category_name").alias("input_group"), F.coalesce("subcategory_name", F.lit("General")).alias("subgroup"), "cpc_code")
+    sizes = parts.groupBy("input_group", "subgroup", "cpc_code").agg(F.count(F.lit(1)).alias("members"))
+    return sizes.withColumn("place", F.row_number().over(Window.partitionBy("input_group", "subgroup").orderBy(F.asc_nulls_last("cpc_code"))))
+
+
+def named_twice(rows: DataFrame, names: DataFrame, key: str, name: str, first: str, second: str) -> DataFrame:
+    """``rows`` with from_name and to_name: one dimension joined by two keys; unknown ones are null."""
+    side = lambda by, out: names.select(F.col(key).alias(by), F.col(name).alias(out))
+    return rows.join(side(first, "from_name"), first, "left").join(side(second, "to_name"), second, "left")
+
+
+def city_history(inputs: DataFrame) -> DataFrame:
+    """Monthly mean of each input by city; rows without a city are left out."""
+    rows = inputs.filter("city_id is not null")
+    return rows.groupBy("input_id", "city_id", "price_date").agg(exact_mean("avg_price").alias("mean_price")).select("input_id", "city_id", text("price_date"), "mean_price")
+
+
+def named_entities(rows: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` (entity_type, entity_id, ..) with entity_name by a table of (id, name) for each type; an unknown one is null."""
+    names = None
+    for kind, table in kinds.items():
+        key, name = table.columns
+        one = table.select(F.lit(kind).alias("entity_type"), F.col(key).alias("entity_id"), F.col(name).alias("entity_name")).distinct()
+        names = one if names is None else names.unionByName(one)
+    return rows.join(names, ["entity_type", "entity_id"], "left")
+
+
+def new_comments(comments: DataFrame) -> DataFrame:
+    """Comments to insert, with outer blanks gone; empty ones are left out."""
+    return comments.withColumn("content", F.trim("content")).filter("content != ''")

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from cosecha.functions.columns import first_per_key
 from cosecha.functions.text import comparison_key
+from cosecha.session import shared_folder
 
 #: Dimension rows that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -45,16 +46,33 @@ def gaps(resolved: DataFrame, raw: str) -> DataFrame:
     return missing.orderBy(F.desc("rows"), raw)
 
 
-def closed_merges(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(loser, winner) with chains followed to their end; at most ``rounds`` doublings of the path."""
-    current = merges.select("loser", "winner").filter("loser != winner").dropDuplicates(["loser"])
-    for _ in range(rounds):
-        onward = current.select(F.col("loser").alias("winner"), F.col("winner").alias("_next"))
-        following = current.join(onward, "winner", "left")
+def closed_merges(merges: DataFrame) -> DataFrame:
+    """(loser, winner) with chains followed to their end, by doubling the path in each round.
+
+    A loser with several winners has the smallest. The members of a cycle, and those that
+    lead to it, go to the cycle's smallest member, which is no loser. Each round is a
+    table in the shared folder, so the plan does not grow.
+    """
+    spark = merges.sparkSession
+
+    def table(rows: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "merges")
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    pairs = merges.filter("loser != winner").groupBy("loser").agg(F.min("winner").alias("winner"))
+    current = table(pairs.withColumn("least", F.least("loser", "winner")))
+    total, reach = current.count(), 1
+    onward = lambda rows: rows.select(F.col("loser").alias("winner"), F.col("winner").alias("_next"), F.col("least").alias("_least"))
+    while reach < 2 * total:
+        following = current.join(onward(current), "winner", "left")
         if following.filter("_next is not null").isEmpty():
-            break
-        current = following.select("loser", F.coalesce("_next", "winner").alias("winner")).filter("loser != winner")
-    return current
+            return current.select("loser", "winner")
+        current = table(following.select("loser", F.coalesce("_next", "winner").alias("winner"), F.least("least", "_least").alias("least")))
+        reach *= 2
+    # Whatever has a next one still goes round; its winner lies on the cycle and has seen all of it.
+    ends = current.join(onward(current), "winner", "left")
+    return ends.select("loser", F.coalesce("_least", "winner").alias("winner")).filter("loser != winner")
 
 
 def rewrite_keys(facts: DataFrame, key: str, merges: DataFrame) -> DataFrame:

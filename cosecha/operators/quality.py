@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from cosecha.functions.columns import first_per_key
 
-# Error kinds and message parts that a retry usually cures.
-TRANSIENT_KINDS = ["timeout", "connection"]
-TRANSIENT_PARTS = ["timed out", "connection reset", "temporarily unavailable", "too many requests"]
+# Error kinds and message parts that a retry usually cures, or that mean a repeat.
+TRANSIENT_KINDS = ["upload_transient", "upload_duplicate", "database_error", "processing_failed"]
+TRANSIENT_PARTS = [
+    "errno 35", "resource temporarily unavailable", "rate limit", "too many requests", "connection reset", "connection refused",
+    "timeout", "network connection lost", "gateway error", "already processed", "already exists", "duplicate",
+]
 
 
 def working_days(dates: DataFrame, column: str, holidays: list[str] = ()) -> DataFrame:
@@ -38,6 +41,15 @@ def transient(kind: Column, message: Column) -> Column:
     return F.coalesce(kind, F.lit("")).isin(TRANSIENT_KINDS) | parts
 
 
+def lasting_errors(errors: DataFrame, done: DataFrame, per_type: int = 50) -> DataFrame:
+    """As ``error_report`` without transient errors, with the place of each type by its size, the largest first."""
+    report = error_report(errors.filter(~transient(F.col("error_type"), F.col("message"))), done, per_type)
+    types = report.select("error_type", "errors").distinct()
+    # One row for each type of error.
+    ranks = types.withColumn("type_place", F.row_number().over(Window.orderBy(F.desc("errors"), "error_type"))).select("error_type", "type_place")
+    return report.join(ranks, "error_type")
+
+
 def error_report(errors: DataFrame, done: DataFrame, per_type: int = 50) -> DataFrame:
     """Unresolved errors whose source was not processed since, the latest of each type, with the type's size."""
     open_ = errors.filter(~F.col("resolved")).join(done.select("source").distinct(), "source", "left_anti")
@@ -59,9 +71,13 @@ def differences(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 
 def latencies(events: DataFrame, group: str, value: str) -> DataFrame:
-    """Count, extremes and interpolated percentiles to six decimals, which engines interpolate in different order."""
-    at = lambda p: F.round(F.percentile(value, F.lit(p)), 6)
-    return events.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Count, extremes and interpolated percentiles to six decimals, which engines interpolate in different order.
+
+    Equal values are counted before they are shuffled again; a group's distinct values meet in one task.
+    """
+    at = lambda p: F.round(F.percentile(value, F.lit(p), F.col("rows")), 6)
+    counts = events.groupBy(group, value).agg(F.count(F.lit(1)).alias("rows"))
+    return counts.groupBy(group).agg(F.sum(F.when(F.col(value).isNotNull(), F.col("rows")).otherwise(0)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 def without_duplicates(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:

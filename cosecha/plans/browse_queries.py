@@ -24,7 +24,7 @@ SELECT product_id, market_name, presentation_id, units_id, CAST(price_date AS VA
 FROM prices LEFT JOIN market ON prices.market_id = market.market_id WHERE product_id = {PRODUCT}"""))
 def price_series(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return ops.price_series(v.prices, v.markets, AS_OF, 0, product_id=PRODUCT)
+    return ops.price_series(v.price_lines, v.markets, AS_OF, 0, product_id=PRODUCT)
 
 
 @registry.query("J7_newest_prices", sql(f"""
@@ -32,7 +32,7 @@ SELECT product_id, market_name, presentation_id, units_id, CAST(price_date AS VA
 FROM prices LEFT JOIN market ON prices.market_id = market.market_id WHERE price_date >= DATE '{AS_OF}' - 7"""))
 def newest_prices(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return ops.price_series(v.prices, v.markets, AS_OF, 7)
+    return ops.price_series(v.price_lines, v.markets, AS_OF, 7)
 
 
 @registry.query("J9_market_products", sql(f"""
@@ -40,7 +40,7 @@ SELECT p.product_id, product_name, category_name, COUNT(*) AS lines, CAST(MAX(pr
 FROM prices p JOIN product ON p.product_id = product.product_id WHERE market_id = {MARKET} AND {_SINCE} GROUP BY ALL"""))
 def market_products(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return ops.market_products(v.prices, v.products, MARKET, AS_OF, DAYS)
+    return ops.market_products(v.price_lines, v.products, MARKET, AS_OF, DAYS)
 
 
 @registry.query("J10_market_supply_rows", sql(f"""
@@ -57,7 +57,7 @@ def product_supply_rows(spark, sf_dir):
 
 @registry.query("J40_scoped_prices", sql(f"SELECT presentation_id, COUNT(*) AS lines FROM prices WHERE market_id = {MARKET} GROUP BY presentation_id"))
 def scoped_prices(spark, sf_dir):
-    rows = ops.scoped(Views(spark, sf_dir).prices, "mercado", MARKET)
+    rows = ops.scoped(Views(spark, sf_dir).price_lines, "mercado", MARKET)
     return rows.groupBy("presentation_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -65,7 +65,7 @@ def scoped_prices(spark, sf_dir):
     f"counts AS (SELECT product_id, presentation_id, COUNT(*) AS lines, MAX(price_date) AS newest FROM prices WHERE {_SINCE} GROUP BY ALL)",
     "SELECT product_id, presentation_id, lines FROM counts QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY lines DESC, newest DESC, presentation_id) = 1"))
 def common_presentation(spark, sf_dir):
-    return ops.common_presentation(Views(spark, sf_dir).prices, AS_OF, DAYS)
+    return ops.common_presentation(Views(spark, sf_dir).price_lines, AS_OF, DAYS)
 
 
 @registry.query("J24_filtered_inputs", sql("""
@@ -78,7 +78,7 @@ def filtered_inputs(spark, sf_dir):
 @registry.query("E27_filter_values", sql("""
 SELECT product_id, STRING_AGG(DISTINCT presentation_id, ',' ORDER BY presentation_id) AS presentations, STRING_AGG(DISTINCT units_id, ',' ORDER BY units_id) AS units FROM prices GROUP BY product_id"""))
 def filter_values(spark, sf_dir):
-    return ops.filter_values(Views(spark, sf_dir).prices)
+    return ops.filter_values(Views(spark, sf_dir).price_lines)
 
 
 @registry.query("J31_spark_signs", sql_with(
@@ -86,7 +86,7 @@ def filter_values(spark, sf_dir):
 ends_ AS (SELECT product_id, FIRST(price ORDER BY price_date, round, order_id, line, price) AS a, FIRST(price ORDER BY price_date DESC, round DESC, order_id DESC, line DESC, price DESC) AS b, MIN(price_date) AS first_day, MAX(price_date) AS last_day FROM priced WHERE price > 0 GROUP BY product_id)""",
     "SELECT product_id, CAST(b >= a AS INTEGER) AS rising, CAST(first_day = last_day AS INTEGER) AS one_day FROM ends_"))
 def spark_signs(spark, sf_dir):
-    return ops.spark_signs(Views(spark, sf_dir).prices, AS_OF, DAYS)
+    return ops.spark_signs(Views(spark, sf_dir).price_lines, AS_OF, DAYS)
 
 
 @registry.query("E31_distinct_origins", sql("SELECT DISTINCT origin FROM supply WHERE origin IS NOT NULL AND origin <> ''"))

@@ -42,18 +42,18 @@ def prices_by_department_for_product(spark, sf_dir):
     f"latest AS (SELECT * FROM prices WHERE {_SINCE} QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id, presentation_id, units_id, market_id ORDER BY {_NEWEST}) = 1)",
     f"SELECT product_id, presentation_id, units_id, {_MEAN2} AS avg_price, CAST(MAX(price_date) AS VARCHAR) AS price_date, COUNT(*) AS market_count FROM latest GROUP BY ALL"))
 def national_price_averages(spark, sf_dir):
-    return ops.national_averages(Views(spark, sf_dir).prices, AS_OF, DAYS)
+    return ops.national_averages(Views(spark, sf_dir).price_lines, AS_OF, DAYS)
 
 
 @registry.query("I17_price_markets_for_product", sql(f"SELECT DISTINCT market_id FROM prices WHERE {_SINCE} AND product_id = {PRODUCT} AND market_id IS NOT NULL"))
 def price_markets_for_product(spark, sf_dir):
-    return markets_of(Views(spark, sf_dir).prices, "price_date", AS_OF, DAYS, product_id=PRODUCT)
+    return markets_of(Views(spark, sf_dir).price_lines, "price_date", AS_OF, DAYS, product_id=PRODUCT)
 
 
 @registry.query("I19_product_presentations", sql(f"""
 SELECT DISTINCT presentation_id, units_id FROM prices WHERE product_id = {PRODUCT} AND {_POSITIVE} AND presentation_id IS NOT NULL AND units_id IS NOT NULL"""))
 def product_presentations(spark, sf_dir):
-    return ops.presentations(Views(spark, sf_dir).prices, PRODUCT, AS_OF, 0)
+    return ops.presentations(Views(spark, sf_dir).price_lines, PRODUCT, AS_OF, 0)
 
 
 _LATEST_PRODUCT = f"ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY {_NEWEST}) = 1"
@@ -63,7 +63,7 @@ _LATEST_PRODUCT = f"ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY {_NEWEST
 SELECT product_id, CAST(market_id AS VARCHAR) AS market_id, CAST(price_date AS VARCHAR) AS price_date, CAST(min_price AS DOUBLE) AS min_price, CAST(max_price AS DOUBLE) AS max_price, CAST(avg_price AS DOUBLE) AS avg_price
 FROM prices WHERE {_SINCE} QUALIFY {_LATEST_PRODUCT}"""))
 def latest_price_per_product(spark, sf_dir):
-    return ops.latest_per_product(Views(spark, sf_dir).prices, AS_OF, DAYS)
+    return ops.latest_per_product(Views(spark, sf_dir).price_lines, AS_OF, DAYS)
 
 
 @registry.query("J6_watchlist_with_default_market", sql_with(
@@ -71,7 +71,7 @@ def latest_price_per_product(spark, sf_dir):
 there AS (SELECT *, 'nacional' AS scope FROM prices WHERE {_SINCE} AND product_id NOT IN (SELECT product_id FROM here) QUALIFY {_LATEST_PRODUCT})""",
     "SELECT product_id, scope, CAST(price_date AS VARCHAR) AS price_date, CAST(max_price AS DOUBLE) AS max_price FROM (SELECT * FROM here UNION ALL SELECT * FROM there)"))
 def watchlist_with_default_market(spark, sf_dir):
-    return ops.with_default_market(Views(spark, sf_dir).prices, MARKET, AS_OF, DAYS)
+    return ops.with_default_market(Views(spark, sf_dir).price_lines, MARKET, AS_OF, DAYS)
 
 
 @registry.query("J18_price_movers", sql_with(
@@ -81,7 +81,7 @@ changes AS (SELECT *, CAST(new_p - old_p AS DOUBLE) / CAST(old_p AS DOUBLE) * 10
 best AS (SELECT * FROM changes QUALIFY ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY ABS(change_pct) DESC, presentation_id) = 1)""",
     "SELECT product_id, presentation_id, CAST(old_p AS DOUBLE) AS old_price, CAST(new_p AS DOUBLE) AS new_price, change_pct FROM best ORDER BY ABS(change_pct) DESC, product_id LIMIT 15"))
 def price_movers(spark, sf_dir):
-    return ops.movers(Views(spark, sf_dir).prices, AS_OF, DAYS)
+    return ops.movers(Views(spark, sf_dir).price_lines, AS_OF, DAYS)
 
 
 @registry.query("J19_week_over_week", sql_with(
@@ -90,20 +90,20 @@ marked AS (SELECT *, MAX(price_date) OVER (PARTITION BY product_id) AS last FROM
 both_ AS (SELECT product_id, MAX(last) AS last, MAX(CASE WHEN price_date = last THEN price END) AS now, ARG_MAX(price, price_date) FILTER (price_date <= last - 7) AS before FROM marked GROUP BY product_id)""",
     "SELECT product_id, CAST(last AS VARCHAR) AS price_date, CAST(now AS DOUBLE) AS price, CAST(before AS DOUBLE) AS price_before, CAST(now - before AS DOUBLE) / CAST(before AS DOUBLE) * 100 AS change_pct FROM both_"))
 def week_over_week(spark, sf_dir):
-    return ops.week_over_week(Views(spark, sf_dir).prices, AS_OF, 0)
+    return ops.week_over_week(Views(spark, sf_dir).price_lines, AS_OF, 0)
 
 
 @registry.query("J21_price_chart", sql(f"""
 SELECT CAST(price_date AS VARCHAR) AS price_date, CAST(MIN(min_price) AS DOUBLE) AS low, CAST(MAX(max_price) AS DOUBLE) AS high, CAST(SUM(min_price + max_price) AS DOUBLE) / (COUNT(*) * 2) AS mean
 FROM prices WHERE product_id = {PRODUCT} AND min_price > 0 AND max_price > 0 GROUP BY price_date"""))
 def price_chart(spark, sf_dir):
-    return ops.chart(Views(spark, sf_dir).prices, PRODUCT, AS_OF)
+    return ops.chart(Views(spark, sf_dir).price_lines, PRODUCT, AS_OF)
 
 
 @registry.query("E17_daily_means", sql("""
 SELECT product_id, CAST(price_date AS VARCHAR) AS price_date, CAST(SUM(avg_price) AS DOUBLE) / COUNT(avg_price) AS mean_price FROM prices WHERE avg_price <> 0 GROUP BY product_id, price_date"""))
 def daily_means(spark, sf_dir):
-    return ops.daily_means(Views(spark, sf_dir).prices, AS_OF, 0)
+    return ops.daily_means(Views(spark, sf_dir).price_lines, AS_OF, 0)
 
 
 @registry.query("J22_market_ranking", sql_with(
@@ -113,7 +113,7 @@ placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY price,
     """SELECT product_id, CAST(SUM(price) FILTER (spot * 2 BETWEEN n AND n + 2) AS DOUBLE) / COUNT(*) FILTER (spot * 2 BETWEEN n AND n + 2) AS median_price,
 CAST(SUM(price) AS DOUBLE) / COUNT(*) AS mean_price, COUNT(*) AS market_count FROM placed GROUP BY product_id"""))
 def market_ranking(spark, sf_dir):
-    return ops.market_ranking(Views(spark, sf_dir).prices, PRESENTATION, AS_OF, 0)
+    return ops.market_ranking(Views(spark, sf_dir).price_lines, PRESENTATION, AS_OF, 0)
 
 
 _COMPARED = f"""
@@ -128,7 +128,7 @@ compared AS (SELECT one.product_id, one.presentation_id, one.units_id, category_
 @registry.query("J25_market_price_comparison", sql_with(_COMPARED, "SELECT * FROM compared"))
 def market_price_comparison(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return ops.compare_markets(v.prices, v.products, MARKET, OTHER_MARKET, AS_OF, 0)
+    return ops.compare_markets(v.price_lines, v.products, MARKET, OTHER_MARKET, AS_OF, 0)
 
 
 @registry.query("E19_comparison_totals", sql_with(_COMPARED, """
@@ -146,7 +146,7 @@ sums AS (SELECT product_id, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(x) AS DOUBLE
 lines_ AS (SELECT *, (n * sxy - sx * sy) / NULLIF(n * sxx - sx * sx, 0) AS slope FROM sums)""",
     "SELECT product_id, slope, (sy - slope * sx) / n AS intercept, CAST(low_date AS VARCHAR) AS low_date, CAST(high_date AS VARCHAR) AS high_date FROM lines_"))
 def trend_lines(spark, sf_dir):
-    return ops.trend_lines(Views(spark, sf_dir).prices, AS_OF, 0)
+    return ops.trend_lines(Views(spark, sf_dir).price_lines, AS_OF, 0)
 
 
 @registry.query("J28_choropleth", sql_with(
@@ -161,4 +161,4 @@ def choropleth(spark, sf_dir):
     f"newest AS (SELECT product_id, CAST(date_diff('day', MAX(price_date), DATE '{AS_OF}') AS INTEGER) AS age_days FROM prices GROUP BY product_id)",
     "SELECT *, CASE WHEN age_days <= 7 THEN '1w' WHEN age_days <= 30 THEN '1m' WHEN age_days <= 90 THEN '3m' WHEN age_days <= 180 THEN '6m' WHEN age_days <= 365 THEN '1y' ELSE 'all' END AS range FROM newest"))
 def time_ranges(spark, sf_dir):
-    return ops.time_ranges(Views(spark, sf_dir).prices, AS_OF)
+    return ops.time_ranges(Views(spark, sf_dir).price_lines, AS_OF)

@@ -37,7 +37,7 @@ def _files(spark, sf_dir):
 
 @registry.query("A2_file_dates", """
 SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, CASE o_orderkey % 3 WHEN 0 THEN 'excel' WHEN 1 THEN 'pdf' ELSE 'zip' END AS kind,
-  CASE o_orderkey % 3 WHEN 2 THEN 'regional' ELSE 'other' END AS category FROM orders""")
+  CASE o_orderkey % 3 WHEN 1 THEN 'boletin' WHEN 2 THEN 'boletin' END AS category FROM orders""")
 def file_dates(spark, sf_dir):
     url = F.col("url")
     return _files(spark, sf_dir).select("o_orderkey", links.url_date(url).cast("string").alias("date"), links.file_kind(url).alias("kind"), links.link_kind(url, F.lit("")).alias("category"))

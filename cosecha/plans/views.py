@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The day that trailing windows end on, so that every scale factor agrees.
@@ -43,25 +43,45 @@ class Views:
     def products(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("category_name"), F.col("p_brand").alias("subcategory_name"))
 
-    @cached_property
-    def prices(self) -> DataFrame:
-        """One row per price line: bounds and mean may each be null, and so may the market."""
+    @staticmethod
+    def _price_columns() -> dict[str, Column]:
         high = F.col("l_extendedprice").cast("decimal(14,2)")
         low = high - (F.col("l_linenumber") * 10).cast("decimal(14,2)")
+        return {
+            "order_id": F.col("l_orderkey"),
+            "line": F.col("l_linenumber"),
+            "product_id": F.col("l_partkey"),
+            "market_id": F.when(F.col("l_orderkey") % 19 != 0, F.col("l_suppkey")),
+            "presentation_id": F.col("l_returnflag"),
+            "units_id": F.col("l_linestatus"),
+            "price_date": F.col("l_shipdate").cast("date"),
+            "round": (1 + F.col("l_linenumber") % 2).cast("int"),
+            "min_price": F.when(F.col("l_orderkey") % 7 != 0, low).cast("decimal(14,2)"),
+            "max_price": F.when(F.col("l_orderkey") % 17 != 0, high).cast("decimal(14,2)"),
+            "avg_price": F.when(F.col("l_linenumber") % 3 == 0, high - F.lit(5).cast("decimal(14,2)")).cast("decimal(14,2)"),
+        }
+
+    @cached_property
+    def price_lines(self) -> DataFrame:
+        """One row per price line: bounds and mean may each be null, and so may the market. Without the city, so without a join."""
+        return self.table("lineitem").select(*(c.alias(n) for n, c in self._price_columns().items()))
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        """``price_lines`` with the city of the market."""
+        line = self.table("lineitem").join(self.markets.select(F.col("market_id").alias("l_suppkey"), "city_id"), "l_suppkey")
+        return line.select(*(c.alias(n) for n, c in self._price_columns().items()), "city_id")
+
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        """One row per arrival of a product at a market, without its origin: no join with orders and customers."""
         line = self.table("lineitem").join(self.markets.select(F.col("market_id").alias("l_suppkey"), "city_id"), "l_suppkey")
         return line.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line"),
+            F.col("l_shipdate").cast("date").alias("observation_date"),
             F.col("l_partkey").alias("product_id"),
             F.when(F.col("l_orderkey") % 19 != 0, F.col("l_suppkey")).alias("market_id"),
             "city_id",
-            F.col("l_returnflag").alias("presentation_id"),
-            F.col("l_linestatus").alias("units_id"),
-            F.col("l_shipdate").cast("date").alias("price_date"),
-            (1 + F.col("l_linenumber") % 2).cast("int").alias("round"),
-            F.when(F.col("l_orderkey") % 7 != 0, low).cast("decimal(14,2)").alias("min_price"),
-            F.when(F.col("l_orderkey") % 17 != 0, high).cast("decimal(14,2)").alias("max_price"),
-            F.when(F.col("l_linenumber") % 3 == 0, high - F.lit(5).cast("decimal(14,2)")).cast("decimal(14,2)").alias("avg_price"),
+            F.col("l_quantity").cast("decimal(14,2)").alias("quantity_kg"),
         )
 
     @cached_property

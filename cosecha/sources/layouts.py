@@ -62,6 +62,59 @@ def input_prices(grid: DataFrame) -> DataFrame:
     return rows.filter("price_date is not null and avg_price is not null")
 
 
+def department_input_prices(grid: DataFrame) -> DataFrame:
+    """Input prices of departments: year, month name, department code and name, classification code, product, article, brand, registration, presentation, price."""
+    price = F.regexp_replace(cell(10), ",", ".").try_cast("double")
+    rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select(
+        "file",
+        "row",
+        _month_start(cell(0), cell(1)).alias("price_date"),
+        cell(2).alias("department_code"),
+        cell(3).alias("department"),
+        cell(4).alias("cpc_code"),
+        cell(5).alias("product"),
+        cell(6).alias("article"),
+        cell(7).alias("brand"),
+        cell(8).alias("registration"),
+        cell(9).alias("presentation"),
+        price.alias("avg_price"),
+    )
+    return rows.filter("price_date is not null and product is not null and avg_price is not null")
+
+
+def sheet_index(grid: DataFrame) -> DataFrame:
+    """(file, sheet, input_group, subgroup) of an index sheet (file, row, cells): a number such as '1.' and a group, then numbers such as '1.1' and the names of its sheets."""
+    group = F.when(cell(0).rlike(r"^\d+\.$"), cell(1))
+    filled = F.last(group, ignorenulls=True).over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    rows = grid.withColumn("input_group", F.coalesce(filled, F.lit(""))).filter(cell(1).rlike(r"^\d+\.\d+$") & cell(2).isNotNull())
+    named = rows.select("file", cell(1).alias("sheet"), "input_group", cell(2).alias("subgroup"), "row")
+    # A sheet that stands twice has its last names.
+    return named.groupBy("file", "sheet").agg(F.max_by(F.struct("input_group", "subgroup"), "row").alias("g")).select("file", "sheet", "g.*")
+
+
+def with_groups(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` (file, sheet, ..) with input_group and subgroup by ``index``; unknown sheets have the group 'Unknown' and their own number."""
+    joined = rows.join(index, ["file", "sheet"], "left")
+    return joined.withColumns({"input_group": F.coalesce("input_group", F.lit("Unknown")), "subgroup": F.coalesce("subgroup", "sheet")})
+
+
+def data_sheets(grid: DataFrame) -> DataFrame:
+    """Rows of the sheets whose name is a number such as '1.2'."""
+    return grid.filter(F.col("sheet").rlike(r"^\d+\.\d+$"))
+
+
+def food_codes(grid: DataFrame) -> DataFrame:
+    """(product, cpc_code) of a correlation sheet (row from 1, cells): food in the third and code in the fourth column from row 10 on, the last of several."""
+    rows = grid.filter((F.col("row") >= 10) & (F.size("cells") >= 5)).select(cell(2).alias("product"), cell(3).alias("cpc_code"), "row")
+    return rows.filter("product is not null and cpc_code is not null").groupBy("product").agg(F.max_by("cpc_code", "row").alias("cpc_code"))
+
+
+def with_food_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Supply ``rows`` whose missing classification code is that of their food."""
+    found = codes.select("product", F.col("cpc_code").alias("_code"))
+    return rows.join(found, "product", "left").withColumn("cpc_code", F.coalesce("cpc_code", "_code")).drop("_code")
+
+
 def classification(rows: DataFrame) -> DataFrame:
     """Codes of one to five digits and longer products with level and ancestors, each a prefix of the code. ``rows``: code, title."""
     code = classification_code(F.col("code"))

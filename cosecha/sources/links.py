@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.functions.text import month_number
+from cosecha.functions.text import MONTHS, calendar_date, dated_text, named_month, short_month
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -24,31 +26,99 @@ def absolute(base: Column, href: Column) -> Column:
 
 
 def url_date(url: Column) -> Column:
-    """The date in a file's address: 24dic2025, noviembre_30_2018 or 28-02-2022; the first form that fits, null if none does."""
+    """The date in a file's address; the first of these forms that fits and is a date: 24dic2025, mayoristas_noviembre_30_2018,
+    anex_feb_28_2022 or bol_feb_28_2022, mayoristas_anexo_sept_28_2012, mayoristas_anexo_agosto_31_2012, bol-reg-28-02-2022, sipsa-08-01-2021."""
+    text = F.lower(url)
+    number = lambda m: m.try_cast("int")
+    forms = [
+        (r"(\d{1,2})([a-z]{3,4})(\d{4})", (3, 2, 1), short_month),
+        (r"mayoristas_([a-z]+)_(\d{1,2})_(\d{4})", (3, 1, 2), named_month),
+        (r"(?:anex|bol)_([a-z]{3,4})_(\d{1,2})_(\d{4})", (3, 1, 2), short_month),
+        (r"mayoristas_anexo_([a-z]{3,4})_(\d{1,2})_(\d{4})", (3, 1, 2), short_month),
+        (r"mayoristas_anexo_([a-z]+)_(\d{1,2})_(\d{4})", (3, 1, 2), named_month),
+        (r"bol-reg-(\d{1,2})-(\d{2})-(\d{4})", (3, 2, 1), number),
+        (r"sipsa-(\d{1,2})-(\d{2})-(\d{4})", (3, 2, 1), number),
+    ]
+
+    def date(pattern: str, places: tuple[int, int, int], month: Callable[[Column], Column]) -> Column:
+        year, name, day = (F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in places)
+        return calendar_date(year, month(name), day)
+
+    return F.coalesce(*(date(*form) for form in forms))
+
+
+def milk_file_date(name: Column) -> Column:
+    """The first of a month ('ene2026.xlsx'), else of a year ('2013-2019.xlsx'), at the end of a file's name."""
+    year = F.nullif(F.regexp_extract(name, r"(\d{4})\.xlsx$", 1), F.lit(""))
+    month = short_month(F.nullif(F.regexp_extract(F.lower(name), r"([a-z]{3,4})\d{4}\.xlsx$", 1), F.lit("")))
+    return calendar_date(year, F.coalesce(month, F.lit(1)), F.lit(1))
+
+
+def file_kind(url: Column, label: Column | None = None) -> Column:
+    """zip, pdf or excel by the address's end, else by words of the address and the label; null for anything else."""
+    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
+    kind = F.when(path.endswith(".zip"), "zip").when(path.endswith(".pdf"), "pdf").when(path.rlike(r"\.xlsx?$"), "excel")
+    text = F.lower(F.coalesce(label, F.lit(""))) if label is not None else F.lit("")
+    return kind.when(text.contains("informes por ciudades") | path.contains("regionales"), "zip").when(text.contains("anexo") | path.contains("anex-"), "excel")
 
-    def date(pattern: str, day: int, month: int, year: int, named: bool) -> Column:
-        part = lambda k: F.regexp_extract(F.lower(url), pattern, k)
-        number = month_number(part(month)).cast("string") if named else part(month)
-        joined = F.concat(part(year), F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(part(day), 2, "0"))
-        return F.when(part(day) != "", F.try_to_timestamp(joined, F.lit("yyyy-MM-dd")).cast("date"))
 
-    return F.coalesce(
-        date(r"(?<!\d)(\d{1,2})([a-z]{3,10})(\d{4})", 1, 2, 3, True),
-        date(r"([a-z]{3,10})[_-](\d{1,2})[_-](\d{4})", 2, 1, 3, True),
-        date(r"(?<!\d)(\d{1,2})[_-](\d{1,2})[_-](\d{4})", 1, 2, 3, False),
-    )
+def link_kind(url: Column, label: Column) -> Column:
+    """informes_ciudades before boletin before anexo, from address and label; null for anything else."""
+    href, text = F.lower(url), F.lower(F.coalesce(label, F.lit("")))
+    cities = text.contains("informes por ciudades") | href.contains("regionales")
+    bulletin = text.contains("boletín") | text.contains("boletin") | href.contains("bol_") | href.contains("bol-") | (href.contains("mayoristas") & href.endswith(".pdf"))
+    annex = text.contains("anexo") | href.contains("anex-") | href.contains("mayoristas")
+    return F.when(cities, "informes_ciudades").when(bulletin, "boletin").when(annex, "anexo")
 
 
-def file_kind(url: Column) -> Column:
-    """zip, pdf or excel by the address's end; null for anything else."""
-    path = F.lower(F.regexp_replace(url, r"[?#].*$", ""))
-    return F.when(path.endswith(".zip"), "zip").when(path.endswith(".pdf"), "pdf").when(path.rlike(r"\.xlsx?$"), "excel")
+def page_layout(target: Column) -> Column:
+    """The layout of a page by the date that it is for; 'current' without one."""
+    from_ = lambda day: target >= F.lit(day).cast("date")
+    return F.when(target.isNull(), "current").when(from_("2020-03-01"), "four_column").when(from_("2015-12-01"), "three_column").when(from_("2012-08-01"), "bullet_list").otherwise("simple_links")
 
 
-def link_kind(url: Column, label: Column) -> Column:
-    """regional before bulletin before annex, from address and label together."""
-    text = F.lower(F.concat_ws(" ", url, label))
-    return F.when(text.rlike("reg"), "regional").when(text.rlike("bol"), "bulletin").when(text.rlike("anex"), "annex").otherwise("other")
+def _cell_links(html: Column) -> Column:
+    """(href, label) of the anchors in ``html`` that point to files."""
+    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("label"))
+    return F.filter(both, lambda x: x["href"].contains("/files/"))
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """File links of ``pages`` (page_id, url, html, target: date or null) by their layout: page_id, place, href, text, kind, category, date.
+
+    Tables: rows of cells; with four columns the third holds annexes and the fourth reports
+    of cities, with three the last holds annexes; the row's first cell has the date, with
+    the target's year or the page address's. Lists: labels 'Anexo - 31 de agosto', the year
+    from the page's address. Simple links: the label is the date. Otherwise, and where a
+    table has none, all file links. A date that no text gives comes from the file's address.
+    """
+    layout = page_layout(F.col("target"))
+    page_year = F.nullif(F.regexp_extract("url", r"(\d{4})", 1), F.lit("")).try_cast("int")
+    base = pages.select("page_id", "html", layout.alias("layout"), page_year.alias("page_year"), F.coalesce(F.year("target"), page_year).alias("year"))
+    all_of = lambda html, pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    plain = lambda html: F.trim(F.regexp_replace(html, "<[^>]*>", ""))
+
+    tables = base.filter(F.col("layout").isin("four_column", "three_column")).withColumn("tr", F.explode(all_of("html", r"(?is)<tr[^>]*>(.*?)</tr>")))
+    cells = tables.withColumn("cells", all_of("tr", r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>")).filter(F.size("cells") > 0)
+    four = F.array(F.struct(F.lit(2).alias("at"), F.lit("anexo").alias("category")), F.struct(F.lit(3).alias("at"), F.lit("informes_ciudades").alias("category")))
+    last = F.when(F.size("cells") >= 3, F.array(F.struct((F.size("cells") - 1).alias("at"), F.lit(None).cast("string").alias("category"))))
+    cells = cells.withColumns({"dated": dated_text(plain(F.get("cells", F.lit(0))), F.col("year")), "column": F.explode(F.when(F.col("layout") == "four_column", four).otherwise(last))})
+    from_tables = cells.withColumn("link", F.explode(_cell_links(F.get("cells", F.col("column.at"))))).select("page_id", "link.href", plain(F.col("link.label")).alias("text"), "column.category", "dated", "layout")
+
+    flat = base.withColumn("link", F.explode(_cell_links(F.col("html")))).select("page_id", "layout", "page_year", "link.href", plain(F.col("link.label")).alias("text"))
+    lists = flat.filter((F.col("layout") == "bullet_list") & F.lower("text").startswith("anexo")).withColumn("dated", dated_text(F.col("text"), F.col("page_year")))
+    simple = flat.filter((F.col("layout") == "simple_links") & F.lower("href").rlike("mayoristas|sipsa")).withColumn("dated", dated_text(F.col("text")))
+    old = lists.unionByName(simple).withColumn("category", F.lit("anexo"))
+    shaped = from_tables.unionByName(old.select(*from_tables.columns))
+    rest = flat.join(shaped.select("page_id").distinct(), "page_id", "left_anti").withColumns({"dated": dated_text(F.col("text")), "category": F.lit(None).cast("string")})
+    found = shaped.unionByName(rest.select(*from_tables.columns))
+
+    kind = file_kind(F.col("href"), F.col("text"))
+    kind = F.when(F.col("layout").isin("bullet_list", "simple_links"), F.coalesce(kind, F.lit("excel"))).otherwise(kind)
+    category = F.coalesce("category", link_kind(F.col("href"), F.col("text")), F.when(F.col("layout") == "three_column", "anexo"))
+    out = found.select("page_id", "href", "text", kind.alias("kind"), category.alias("category"), F.coalesce("dated", url_date(F.col("href"))).alias("date"))
+    return out.filter("kind is not null")
 
 
 def unseen(links: DataFrame, ledger: DataFrame, key: str = "url") -> DataFrame:
@@ -75,7 +145,7 @@ def between(links: DataFrame, date: str, first: str, last: str) -> DataFrame:
 
 def month_index(links: DataFrame, url: str = "url") -> DataFrame:
     """Addresses of each year and month that a page name such as '-mayo-2014' gives; a month must follow a hyphen."""
-    pattern = r"-(enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)-(\d{4})"
+    pattern = rf"-({'|'.join(MONTHS)})-(\d{{4}})"
     name, year = F.regexp_extract(F.lower(F.col(url)), pattern, 1), F.regexp_extract(F.lower(F.col(url)), pattern, 2)
-    found = links.withColumns({"year": year.try_cast("int"), "month": month_number(name)}).filter("month is not null")
+    found = links.withColumns({"year": year.try_cast("int"), "month": named_month(name)}).filter("month is not null")
     return found.groupBy("year", "month").agg(F.sort_array(F.collect_set(url)).alias("urls"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosecha.functions.columns import first_per_key
@@ -41,6 +41,36 @@ def split_rejects(rows: DataFrame, price: str) -> tuple[DataFrame, DataFrame]:
     return marked.filter("error_type is null").drop("error_type"), marked.filter("error_type is not null")
 
 
+def dead_letters(rejects: DataFrame, path: str, source: str) -> None:
+    """Append rejected rows (with error_type) to a table of errors: the row as JSON, its source, and how often it was tried."""
+    data = F.to_json(F.struct(*[c for c in rejects.columns if c != "error_type"]))
+    out = rejects.select("error_type", data.alias("row_data"), F.col(source).cast("string").alias("source"), F.lit(0).alias("retry_count"), F.lit(False).alias("resolved"))
+    out.write.mode("append").parquet(path)
+
+
+def markdown(rows: DataFrame, most: int = 500) -> str:
+    """A table of a report's few rows as Markdown; more than ``most`` are an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+    return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, found)])
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A tab-separated table with a header, such as a snapshot of names."""
+    return spark.read.csv(path, sep="\t", header=True, schema=schema)
+
+
+def reviewed_names(values: DataFrame, mapping: DataFrame | None) -> DataFrame:
+    """(raw, name): the name that a reviewer gave a raw value, else its standard form, else itself. ``mapping``: raw, canonical, standardized."""
+    raw = values.select("raw").filter("raw != ''").distinct()
+    if mapping is None:
+        return raw.withColumn("name", F.col("raw"))
+    one = mapping.groupBy("raw").agg(F.min(F.nullif("canonical", F.lit(""))).alias("_c"), F.min(F.nullif("standardized", F.lit(""))).alias("_s"))
+    return raw.join(one, "raw", "left").select("raw", F.coalesce("_c", "_s", "raw").alias("name"))
+
+
 def export_tsv(rows: DataFrame, path: str) -> None:
     """A tab-separated folder with a header in each file."""
     rows.write.mode("overwrite").csv(path, sep="\t", header=True)

@@ -11,7 +11,9 @@ from cosecha.sources.sinks import replace_by_source
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """The feed (a file or a folder) as a stream of events with a proper timestamp."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{path}*")
+    # A stream reads folders or patterns: this one matches the path and nothing else.
+    exact = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(exact)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
