@@ -52,7 +52,7 @@ def test_url_dates_and_kinds(spark):
     day = dt.date
     assert values(spark, links.url_date, cases) == [day(2025, 12, 24), day(2018, 11, 30), day(2022, 2, 28), day(2022, 2, 28), day(2021, 1, 8), None, None]
     assert values(spark, links.file_kind, ["a.ZIP", "a.pdf?x", "a.xls", "a"]) == ["zip", "pdf", "excel", None]
-    assert values(spark, lambda c: links.link_kind(c, F.lit("")), ["bol-reg", "boletin", "anexo", "x"]) == ["regional", "bulletin", "annex", "other"]
+    assert values(spark, lambda c: links.link_kind(c, F.lit("")), ["bol-reg-regionales", "bol-reg", "mayoristas_a.xls", "x"]) == ["informes_ciudades", "boletin", "anexo", None]
 
 
 def test_freshness(spark):
@@ -129,5 +129,5 @@ def test_fuzzy_best_finds_other_first_letters(spark):
 
 
 def test_transient_errors(spark):
-    rows = spark.createDataFrame([("timeout", None), ("parse", "Connection RESET by peer"), ("parse", "bad row"), (None, None)], "kind string, message string")
+    rows = spark.createDataFrame([("database_error", None), ("parse", "Connection RESET by peer"), ("parse", "bad row"), (None, None)], "kind string, message string")
     assert [r[0] for r in rows.select(quality.transient(F.col("kind"), F.col("message"))).collect()] == [True, True, False, False]
