@@ -10,11 +10,12 @@ into independent cells without losing a match:
    are consecutive and form one *context*. Only hashes are shuffled here.
 2. *Equal contexts* of a cell are counted, not gathered: windows of a context that
    occurs twice all repeat. Most matches end here, whatever the number of copies.
-3. *Cells with several different contexts* get one text each per context, and a suffix
-   array by prefix doubling, truncated at ``length`` bytes with ties in order of
-   position. In that order the previous smaller position of a suffix with a common
-   prefix of ``length`` bytes is its neighbour in the tie, so the longest previous
-   factor reaches ``length`` exactly where such a neighbour exists.
+3. *Cells with several different contexts* get one text each per context, in order of
+   first occurrence, and a suffix array by prefix doubling, truncated at ``length``
+   bytes. Common prefixes of neighbours come from the ranks of the doubling; the previous
+   and next smaller positions in suffix order then give each window's longest previous
+   factor (up to ``length``) and where it stands. Windows whose factor reaches ``length``
+   repeat an earlier one; all comparisons are of bytes.
 4. *Hot cells* (over ``hot_cell`` different contexts, such as the edges of a passage
    that very many documents share) are first halved again and again: a half whose
    common core occurs once has no match, a half that occurs twice whole is a match,
@@ -64,7 +65,7 @@ def _pieces(offsets: np.ndarray, length: int, most: int) -> Iterator[list[tuple[
 
 def _piece_anchors(data: np.ndarray, cuts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For pieces that lie one after another in ``data``: gram hash, context hash, piece, anchor, first and last window start."""
-    hashes = SpanHasher(data)
+    hashes, others = SpanHasher(data), SpanHasher(data[::-1])
     grams = hashes.every(gram)
     width = length - gram + 1
     keys = np.full(-(-len(grams) // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -81,7 +82,9 @@ def _piece_anchors(data: np.ndarray, cuts: np.ndarray, length: int, gram: int) -
     new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
     at = np.flatnonzero(new)
     low, high = inside[at], inside[np.append(at[1:], len(inside)) - 1]
-    return grams[anchor[at]], hashes(low, high + length), piece[at], anchor[at], low, high
+    # Contexts count as equal by their hashes from both ends.
+    both = hashes(low, high + length) ^ (others(len(data) - high - length, len(data) - low) * np.uint64(0x9FB21C651E98DF25))
+    return grams[anchor[at]], both, piece[at], anchor[at], low, high
 
 
 def contexts(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -105,34 +108,68 @@ def contexts(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     return docs.select("_row_key", "doc_id", "text").mapInArrow(cut, schema)
 
 
-def truncated_suffix_ranks(data: np.ndarray, ends: np.ndarray, cells: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by (cell, first ``depth`` bytes), by prefix doubling; ``ends`` holds each position's end of context."""
+def suffix_levels(data: np.ndarray, ends: np.ndarray, cells: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(reach, rank): ranks of all suffixes by (cell, first ``reach`` bytes), by prefix doubling up to ``depth``; ``ends`` holds each position's end of context."""
     count = len(data)
     at = np.arange(count)
     symbols = data.astype(np.int64) + 1
-    key, reach = cells.astype(np.int64), 0
-    for reach in range(min(6, depth)):
-        ahead = np.where(at + reach < ends, symbols[np.minimum(at + reach, count - 1)], 0)
+    key, reach = cells.astype(np.int64), min(6, depth)
+    for k in range(reach):
+        ahead = np.where(at + k < ends, symbols[np.minimum(at + k, count - 1)], 0)
         key = key * 257 + ahead
     rank = np.unique(key, return_inverse=True)[1]
-    reach = min(6, depth)
+    levels = [(reach, rank.astype(np.int32))]
     while reach < depth:
         step = min(reach, depth - reach)
         follow = np.where(at + step < ends, rank[np.minimum(at + step, count - 1)] + 1, 0)
         rank = np.unique(rank * (count + 1) + follow, return_inverse=True)[1]
         reach += step
-    return rank
-
-
-def previous_factors(rank: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix has an earlier one, or any other, with the same truncated prefix; ``order`` ranks positions."""
-    sorted_ = np.lexsort((order, rank))
-    same = rank[sorted_[1:]] == rank[sorted_[:-1]]
-    earlier = np.zeros(len(rank), bool)
-    earlier[sorted_[1:]] = same
-    other = earlier.copy()
-    other[sorted_[:-1]] |= same
-    return earlier, other
+        levels.append((reach, rank.astype(np.int32)))
+    return levels
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, data: np.ndarray, ends: np.ndarray, cells: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Lengths of the common prefixes of the suffixes at ``a`` and ``b``, up to the depth of ``levels``; 0 across cells."""
+    depth, last = levels[-1][0], len(data) - 1
+    found = np.where(levels[-1][1][a] == levels[-1][1][b], depth, 0)
+    for reach, rank in reversed(levels[:-1]):
+        x, y = a + found, b + found
+        inside = (found + reach <= depth) & (x < ends[a]) & (y < ends[b])
+        found += np.where(inside & (rank[np.minimum(x, last)] == rank[np.minimum(y, last)]), reach, 0)
+    open_ = found < depth
+    for _ in range(min(6, depth)):
+        x, y = np.minimum(a + found, last), np.minimum(b + found, last)
+        open_ &= (found < depth) & (a + found < ends[a]) & (b + found < ends[b]) & (data[x] == data[y])
+        found += open_
+    found = np.minimum(found, np.minimum(ends[a] - a, ends[b] - b))
+    return np.where(cells[a] == cells[b], found, 0)
+
+
+def longest_previous_factors(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes in suffix order: the length of the longest earlier match, and the index of one (-1 for none).
+
+    ``places`` are their text positions and ``common`` the common prefixes of neighbours.
+    The longest match at an earlier position is with the nearest suffix of smaller position
+    on one of the two sides in suffix order. All suffixes look for theirs at once: one
+    that finds a larger position goes on from where that one has come to, so the steps double.
+    """
+    count = len(places)
+    best, source = np.zeros(count, np.int64), np.full(count, -1)
+    for side in (-1, 1):
+        to = np.arange(count) + side
+        least = np.concatenate([[0], common]) if side < 0 else np.concatenate([common, [0]])
+        live = np.flatnonzero(least > 0)
+        while True:
+            live = live[least[live] > 0]
+            live = live[places[to[live]] > places[live]]
+            if not len(live):
+                break
+            over = to[live]
+            further, shorter = to[over], np.minimum(least[live], least[over])
+            to[live], least[live] = further, shorter
+        longer = least > best
+        best[longer], source[longer] = least[longer], to[longer]
+    return best, source
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,11 +185,17 @@ def _solve_cells(cells: list[tuple[int, list[tuple[int, bytes]]]], length: int,
     stops = np.cumsum(sizes)
     data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
     owner = np.repeat(np.array([number[c] for c, _, _ in texts]), sizes)
-    rank = truncated_suffix_ranks(data, np.repeat(stops, sizes), owner, length)
+    ends = np.repeat(stops, sizes)
+    levels = suffix_levels(data, ends, owner, length)
     full = np.concatenate([np.arange(e - s, e - length + 1) for s, e in zip(sizes, stops, strict=True)])
-    earlier, other = previous_factors(rank[full], full)
+    places = full[np.lexsort((full, levels[-1][1][full]))]
+    factor, source = longest_previous_factors(places, common_prefixes(places[:-1], places[1:], data, ends, owner, levels))
+    repeats = factor >= length
+    chosen = places[repeats]
+    if not first_stays:
+        # What others repeat goes as well: each chain of sources ends at the first of its kind.
+        chosen = np.union1d(chosen, places[source[repeats]])
     hit = np.zeros(len(data) + 1, np.int64)
-    chosen = full[earlier if first_stays else other]
     np.add.at(hit, chosen, 1)
     np.add.at(hit, chosen + length, -1)
     covered = np.cumsum(hit)[:-1] > 0

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from cosecha.llm import suffix_dedup as sd
@@ -90,3 +91,30 @@ def test_edge_rows(spark):
     assert sorted((x.cell or "", x.n_removed) for x in rows) == [("", 0), ("p", 600), ("q", 600), ("q", 600)]
     assert {"doc_id", "text", "cell", "begin", "kept_bytes"} <= set(rows[0].asDict())
     assert set(sd.digest(df).columns) == {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}
+
+
+def test_longest_previous_factors_match_brute_force():
+    r = random.Random(3)
+    for _ in range(40):
+        texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 5))]
+        cells = [r.randint(0, 1) for _ in texts]
+        cells.sort()
+        depth = r.choice([1, 3, 6, 7, 20])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        ends, owner = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.array(cells), sizes)
+        levels = sd.suffix_levels(data, ends, owner, depth)
+        places = np.lexsort((np.arange(len(data)), levels[-1][1]))
+        common = sd.common_prefixes(places[:-1], places[1:], data, ends, owner, levels)
+        found, source = sd.longest_previous_factors(places, common)
+        raw = data.tobytes()
+
+        def shared(i, j):
+            k = 0
+            while k < depth and i + k < ends[i] and j + k < ends[j] and raw[i + k] == raw[j + k]:
+                k += 1
+            return k if owner[i] == owner[j] else 0
+
+        for at, (place, factor, by) in enumerate(zip(places.tolist(), found.tolist(), source.tolist(), strict=True)):
+            assert factor == max((shared(place, j) for j in range(place)), default=0), at
+            assert factor == 0 or (places[by] < place and shared(place, int(places[by])) >= factor)
