@@ -10,12 +10,14 @@ w of cell j can be within r of a member of cell i only if
 where reach is the largest angle of a member to its pivot. Such a w is copied to cell i
 if i < j, so every pair meets once, and cells join without each other. A cell's members
 are cut into blocks and its visitors into slices, so no task holds a whole cell, however
-many copies it has. A block meets its visitors as a matrix product in single precision;
-products near the threshold are taken again in double precision. Tasks return a count
+many copies it has; a block has as many slices as its own number of visitors asks for.
+A block meets its visitors as a matrix product in single precision; products within the
+rounding of that width around the threshold are taken again in double precision. Tasks return a count
 of links for each vector and a spanning set of links, never the pairs.
 
-Vectors with equal components are one point with a count. A vector that is null, empty
-or zero, has null or non-finite components, or another length than most, links with nothing.
+Vectors with equal directions are one point with a count. A vector that is null, empty
+or zero, or has null or non-finite components, links with nothing; vectors of different
+lengths never link, and each length is joined by itself.
 """
 
 from __future__ import annotations
@@ -36,26 +38,29 @@ from cosecha.llm.tables import written
 BLOCK = 1024
 SLICE = 32_768
 #: Pivots, at most.
-PIVOTS = 256
-#: Single-precision products of unit vectors err by less than this.
-_MARGIN = 2e-5
+PIVOTS = 1024
+
+
+def margin(width: int) -> float:
+    """Single-precision products of unit vectors of ``width`` components err by less than this."""
+    return (width + 8) * 2.0**-23
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, width)
 
 
-def unit_vectors(vectors: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
+def unit_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """``vectors`` with ``unit``: the normalised vector as double-precision bytes, null for vectors that link with nothing."""
     schema = StructType(vectors.schema.fields[:]).add("unit", "binary")
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(vector)
-            lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             units: list[bytes | None] = [None] * batch.num_rows
-            at = np.flatnonzero(lengths == width)
-            if len(at):
+            for width in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == width)
                 flat = column.take(pa.array(at)).flatten().cast(pa.float64())
                 rows = flat.fill_null(math.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
                 # Scaled first, so that squares of very large or small components stay finite.
@@ -88,38 +93,68 @@ def _in_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.mapInArrow(place, "node long, copies long, unit binary, cell long, angle double")
 
 
-def _visits(placed: DataFrame, pivots: np.ndarray, reach: np.ndarray, blocks: np.ndarray, slices: int, radius: float, block: int) -> DataFrame:
-    """Every point in the units (cell, block, slice) that must see it; ``visitor`` 0 for the unit's own block."""
+def _near(angles: np.ndarray, cell: np.ndarray, reach: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells before its own that a point must visit."""
+    own = angles[np.arange(len(cell)), cell]
+    near = (angles - own[:, None] <= 2 * radius) & (angles <= reach[None, :] + radius)
+    near &= np.arange(angles.shape[1])[None, :] < cell[:, None]
+    return np.nonzero(near)
+
+
+def _visitors(placed: DataFrame, pivots: np.ndarray, reach: np.ndarray, radius: float) -> np.ndarray:
+    """How many points of other cells visit each cell: at most one row a cell and task comes back."""
+    width = pivots.shape[1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(pivots), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                _, visited = _near(_angles(_matrix(batch.column("unit"), width), pivots), batch.column("cell").to_numpy(), reach, radius)
+                total += np.bincount(visited, minlength=len(pivots))
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    out = np.zeros(len(pivots), np.int64)
+    for r in placed.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k the numbers first[k], first[k] + 1, .. (count[k] of them), one after another, with k."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
+
+
+def _visits(placed: DataFrame, pivots: np.ndarray, reach: np.ndarray, blocks: np.ndarray, slices: np.ndarray, radius: float) -> DataFrame:
+    """Every point in the units (block, slice) that must see it; ``visitor`` 0 for the unit's own block. ``slices``: of each block."""
     width = pivots.shape[1]
-    total = int(blocks.sum())
     first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            # A point goes to at most every unit; small steps bound what is built at once.
-            step = max(1, 2_000_000 // (total * 8 + slices))
+            # A point may go to every unit; small steps bound what is built at once.
+            step = max(1, 2_000_000 // (int(slices.sum()) + len(pivots)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                angles = _angles(_matrix(batch.column("unit"), width), pivots)
                 node, cell = (batch.column(c).to_numpy() for c in ("node", "cell"))
-                own = angles[np.arange(len(cell)), cell]
-                near = (angles - own[:, None] <= 2 * radius) & (angles <= reach[None, :] + radius)
-                near &= np.arange(len(pivots))[None, :] < cell[:, None]
                 mixed = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                slice_ = ((mixed >> np.uint64(40)) % np.uint64(slices)).astype(np.int64)
                 home = first[cell] + ((mixed >> np.uint64(20)) % blocks[cell].astype(np.uint64)).astype(np.int64)
                 # Visitors of other cells see all blocks of a cell, members its blocks before their own.
-                seen = np.repeat(near, blocks, axis=1)
-                numbers = np.arange(total)[None, :]
-                seen |= (numbers >= first[cell][:, None]) & (numbers < home[:, None])
-                who, unit = np.nonzero(seen)
-                rows = np.concatenate([np.repeat(np.arange(len(cell)), slices), who])
-                units = np.concatenate([np.repeat(home, slices), unit])
-                parts = np.concatenate([np.tile(np.arange(slices), len(cell)), slice_[who]])
-                visitor = np.concatenate([np.zeros(len(cell) * slices, np.int8), np.ones(len(who), np.int8)])
-                take = pa.array(rows)
-                columns = [batch.column(c).take(take) for c in ("node", "copies", "unit")]
-                yield pa.record_batch([pa.array(units), pa.array(parts), pa.array(visitor.astype(np.int32)), *columns], names=["block", "part", "visitor", "node", "copies", "unit"])
+                row, visited = _near(_angles(_matrix(batch.column("unit"), width), pivots), cell, reach, radius)
+                pair, far = _ranges(first[visited], blocks[visited])
+                own, before = _ranges(first[cell], home - first[cell])
+                who, block = np.concatenate([row[pair], own]), np.concatenate([far, before])
+                part = ((mixed[who] >> np.uint64(40)) % slices[block].astype(np.uint64)).astype(np.int64)
+                mine, at_home = _ranges(np.zeros(len(cell), np.int64), slices[home])
+                visitor = np.concatenate([np.zeros(len(mine), np.int32), np.ones(len(who), np.int32)])
+                # All copies of a point one after another, which the shuffle's compression makes small.
+                whose = np.concatenate([mine, who])
+                order = np.argsort(whose, kind="stable")
+                take = pa.array(whose[order])
+                columns = [pa.array(np.concatenate([home[mine], block])[order]), pa.array(np.concatenate([at_home, part])[order]), pa.array(visitor[order])]
+                columns += [batch.column(c).take(take) for c in ("node", "copies", "unit")]
+                yield pa.record_batch(columns, names=["block", "part", "visitor", "node", "copies", "unit"])
 
     return placed.mapInArrow(send, "block long, part long, visitor int, node long, copies long, unit binary")
 
@@ -132,11 +167,12 @@ class _Unit:
         self.single = vectors.astype(np.float32)
         self.label = np.arange(len(node))
         self.links = np.zeros(len(node), np.int64)
+        self.margin = margin(vectors.shape[1])
 
     def _linked(self, vectors: np.ndarray) -> np.ndarray:
         near = self.single @ vectors.astype(np.float32).T
         linked = near >= self.threshold
-        i, j = np.nonzero(np.abs(near - np.float32(self.threshold)) < _MARGIN)
+        i, j = np.nonzero(np.abs(near - np.float32(self.threshold)) < self.margin)
         for at in range(0, len(i), 100_000):
             p, q = i[at : at + 100_000], j[at : at + 100_000]
             linked[p, q] = (self.vectors[p] * vectors[q]).sum(1) >= self.threshold
@@ -207,6 +243,8 @@ def _found(visits: DataFrame, width: int, threshold: float) -> DataFrame:
             return made
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             block, part, visitor = (batch.column(c).to_numpy() for c in ("block", "part", "visitor"))
             cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0) | (np.diff(visitor) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
@@ -235,28 +273,9 @@ def _found(visits: DataFrame, width: int, threshold: float) -> DataFrame:
     return dealt.mapInArrow(join, "node long, links long, peer long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK, slice_: int = SLICE, pivots: int = PIVOTS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept (vec_id = component_id) of every row of ``vectors``; other columns are not read.
-
-    Rows with a null id link like any other, but give no component its id and are not
-    kept; a component without ids has a null one. Rows that repeat an id are vectors of
-    their own. ``threshold`` must be above 0.
-    """
-    narrow = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("embedding"))
-    width = narrow.groupBy(F.size("embedding").alias("n")).count().filter("n > 0").orderBy(F.desc("count"), "n").select("n").first()
-    alone = narrow.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
-    if width is None:
-        return alone
-    width = width["n"]
+def _links_of(points: DataFrame, width: int, count: int, threshold: float, block: int, slice_: int, pivots: int) -> DataFrame:
+    """(node, links, peer) of ``count`` points of one length."""
     radius = math.acos(threshold) + 1e-6
-    units = unit_vectors(narrow, width).withColumn("node", F.xxhash64("unit")).drop("embedding")
-    units = written(units.withColumn("node", F.when(F.col("unit").isNotNull(), F.col("node"))), "units")
-    points = units.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
-    points = written(points, "points")
-    count = points.count()
-    if count == 0:
-        return alone
-
     # Pivots: the points of smallest hash, as many as make cells of a few blocks.
     most = min(pivots, max(4, count // (2 * block)))
     chosen = points.orderBy(F.xxhash64("node"), "node").limit(most).select("unit").collect()
@@ -268,8 +287,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BL
     for r in sizes:
         reach[r["cell"]], members[r["cell"]] = r["reach"], r["n"]
     blocks = np.maximum(-(-members // block), 1)
-    visits = _visits(placed.select("node", "copies", "unit", "cell"), centres, reach, blocks, max(1, -(-count // slice_)), radius, block)
-    found = written(_found(visits, width, threshold), "found")
+    placed = placed.select("node", "copies", "unit", "cell")
+    # A block is visited from other cells and by the members of later blocks of its own.
+    cell, number = _ranges(np.zeros(len(blocks), np.int64), blocks)
+    guests = _visitors(placed, centres, reach, radius)[cell] + members[cell] - np.minimum((number + 1) * block, members[cell])
+    slices = np.maximum(-(-guests // slice_), 1)
+    return written(_found(_visits(placed, centres, reach, blocks, slices, radius), width, threshold), "found")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, block: int = BLOCK, slice_: int = SLICE, pivots: int = PIVOTS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id and kept (vec_id = component_id) of every row of ``vectors``; other columns are not read.
+
+    Rows with a null id link like any other, but give no component its id and are not
+    kept; a component without ids has a null one. Rows that repeat an id are vectors of
+    their own. ``threshold`` must be above 0.
+    """
+    narrow = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("embedding"))
+    units = unit_vectors(narrow).withColumn("node", F.xxhash64("unit")).drop("embedding")
+    units = written(units.withColumn("node", F.when(F.col("unit").isNotNull(), F.col("node"))), "units")
+    points = units.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
+    points = written(points.withColumn("width", (F.octet_length("unit") / 8).cast("int")), "points")
+    # One row for each length of vector.
+    widths = points.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect()
+    if not widths:
+        return narrow.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
+    found = None
+    for r in widths:
+        part = _links_of(points.filter(F.col("width") == r["width"]), r["width"], r["n"], threshold, block, slice_, pivots)
+        found = part if found is None else found.unionByName(part)
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))

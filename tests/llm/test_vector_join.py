@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from cosecha.llm import vector_join
 from cosecha.llm.vector_join import near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label string"
@@ -58,3 +59,30 @@ def test_empty_and_useless_tables(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     found = near_duplicates(spark.createDataFrame([(1, None, "a"), (2, [0.0], "b")], SCHEMA)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_each_length_links_with_its_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.01]), (5, [0.0, 1.0]), (6, []), (7, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_clustered_vectors_are_sent_about_once(spark):
+    rng = np.random.default_rng(8)
+
+    def sent(count):
+        centres = rng.normal(size=(count // 50, 64))
+        data = (centres[:, None, :] + 0.01 * rng.normal(size=(len(centres), 50, 64))).reshape(-1, 64)
+        frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(data)], "vec_id long, embedding array<double>")
+        rows = []
+        real = vector_join._found
+        vector_join._found = lambda visits, *a: (rows.append(visits.count()), real(visits, *a))[1]
+        try:
+            out = near_duplicates(frame, block=32, slice_=1000)
+            assert out.filter("n_links >= 49").count() == count
+        finally:
+            vector_join._found = real
+        return rows[0] / count
+
+    # Unrelated clusters lie at nearly one distance from all pivots, so what is sent still grows, but with a block's slices only.
+    assert sent(2000) < 3 * sent(1000)
