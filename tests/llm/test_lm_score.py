@@ -1,9 +1,11 @@
 import math
+import re
 from collections import Counter
 
 import pytest
 
-from cosecha.llm.lm_score import CELLS, SMOOTHING, Vocabulary, digest, train, with_score, words
+from cosecha.llm import lm_score
+from cosecha.llm.lm_score import SMOOTHING, digest, token_hashes, with_score
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -18,37 +20,58 @@ def labels(spark):
     return spark.createDataFrame([(k, 1) for k in range(10)] + [(k, 0) for k in range(20, 30)] + [(None, 1)], "doc_id long, quality int")
 
 
+def words(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+class ByHand:
+    """The models of (text, is_target), word by word."""
+
+    def __init__(self, docs):
+        self.word, self.context, self.pair = ([Counter(), Counter()] for _ in range(3))
+        for text, target in docs:
+            tokens = words(text)
+            for side in (0, 1) if target else (1,):
+                self.word[side].update(tokens)
+                self.context[side].update(["<s>", *tokens[:-1]] if tokens else [])
+                self.pair[side].update(zip(["<s>", *tokens[:-1]], tokens, strict=bool(tokens)))
+        self.tokens = [sum(c.values()) for c in self.word]
+        self.scale = [1.0, self.tokens[0] / self.tokens[1] if self.tokens[0] else 1.0]
+
+    def chance(self, side, before, word):
+        scale = self.scale[side]
+        unigram = (self.word[side][word] * scale + 1) / (self.tokens[side] * scale + len(self.word[1]) + 1)
+        return (self.pair[side][before, word] * scale + SMOOTHING * unigram) / (self.context[side][before] * scale + SMOOTHING)
+
+    def losses(self, text):
+        tokens = words(text)
+        return [sum(-math.log2(self.chance(side, b, w)) for b, w in zip(["<s>", *tokens[:-1]], tokens, strict=True)) / len(tokens) for side in (0, 1)]
+
+
 def test_models_and_losses_by_hand(spark):
     docs = [(t, k < 20) for k, (_, t, _) in enumerate(rows())]
-    frame = spark.createDataFrame(docs, "text string, is_target boolean").repartition(3)
-    models = train(frame, frame, 12)
-    totals = Counter(w for t, _ in docs for w in words(t))
-    known = [w for w, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:12]]
-    vocabulary = Vocabulary(known)
-    assert models.vocabulary.number == vocabulary.number
-    unigrams, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for text, target in docs:
-        ids = [vocabulary.number.get(w, 0) for w in words(text)]
-        for side in (1, 0) if target else (1,):
-            unigrams[side].update(ids)
-            pairs[side].update(zip([0, *ids[:-1]], ids, strict=True) if ids else [])
-    size = [sum(u.values()) for u in unigrams]
-    scale = [1.0, size[0] / size[1]]
-    text = "the sea is cheap"
-    ids = [vocabulary.number.get(w, 0) for w in words(text)]
-    wanted = []
-    for side in (0, 1):
-        loss, before = 0.0, 0
-        for w in ids:
-            unigram = (unigrams[side][w] * scale[side] + 1) / (size[0] + vocabulary.size)
-            given = unigrams[side][before] * scale[side]
-            pair = min(pairs[side][before, w] * scale[side], given)
-            loss -= math.log2((pair + SMOOTHING * unigram) / (given + SMOOTHING))
-            before = w
-        wanted.append(loss / len(ids))
-    row = with_score(spark.createDataFrame([(1, text)], "doc_id long, text string"), models).first()
-    assert (row["target_loss"], row["background_loss"]) == (pytest.approx(wanted[0], rel=1e-5), pytest.approx(wanted[1], rel=1e-5))
-    assert CELLS > 1000
+    hand = ByHand(docs)
+    for before in ("<s>", "the", "cheap", "never seen"):
+        for side in (0, 1):
+            assert sum(hand.chance(side, before, w) for w in [*hand.word[1], "unknown word"]) == pytest.approx(1)
+    corpus = spark.createDataFrame(docs, "text string, is_target boolean").repartition(3)
+    texts = ["the sea is cheap", "Ünknown the SEA", "pills"]
+    found = with_score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), corpus).orderBy("doc_id").collect()
+    for row, text in zip(found, texts, strict=True):
+        wanted = hand.losses(text)
+        assert (row["target_loss"], row["background_loss"]) == (pytest.approx(wanted[0], rel=1e-9), pytest.approx(wanted[1], rel=1e-9))
+        assert row["score"] == pytest.approx(wanted[1] - wanted[0]) and row["n_tokens"] == len(words(text))
+
+
+def test_words_are_those_of_the_regular_expression():
+    texts = ["Das Ist größer_1 ÀÉ", None, "", "日本 x", "a" * 300 + " b", "İi ΑΣ. ٣ ½ foo-bar"]
+    doc, value = token_hashes(texts)
+    wanted = [(k, w) for k, t in enumerate(texts) for w in words(t)]
+    assert doc.tolist() == [k for k, _ in wanted]
+    named = {}
+    for (_, w), v in zip(wanted, value.tolist(), strict=True):
+        assert named.setdefault(w, v) == v
+    assert len(set(named.values())) == len(named)
 
 
 def test_targets_score_higher_and_edge_cases(spark):
@@ -72,22 +95,25 @@ def test_rare_words_and_bigrams_keep_their_own_counts(spark):
     rare = "zz1 zz2 zz1 zz3"
     docs = [(k, t, "x") for k, t in enumerate([*filler, rare, rare])]
     found = {r["doc_id"]: r for r in digest(spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame([(60, 1), (0, 1)], "doc_id long, quality int")).collect()}
-    unigrams, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for doc, text, _ in docs:
-        tokens = text.split()
-        for side in (1, 0) if doc in (0, 60) else (1,):
-            unigrams[side].update(tokens)
-            pairs[side].update(zip(["", *tokens[:-1]], tokens, strict=True))
-    size = [sum(u.values()) for u in unigrams]
-    wanted = []
-    for side, scale in ((0, 1.0), (1, size[0] / size[1])):
-        loss, before = 0.0, ""
-        for w in rare.split():
-            given = unigrams[side][before] * scale
-            unigram = (unigrams[side][w] * scale + 1) / (size[0] + 60_003 + 1)
-            loss -= math.log2((min(pairs[side][before, w] * scale, given) + SMOOTHING * unigram) / (given + SMOOTHING))
-            before = w
-        wanted.append(loss / 4)
+    wanted = ByHand([(t, k in (0, 60)) for k, t, _ in docs]).losses(rare)
     for doc in (60, 61):
         assert (found[doc]["target_loss"], found[doc]["background_loss"]) == (pytest.approx(wanted[0], rel=1e-9), pytest.approx(wanted[1], rel=1e-9))
         assert found[doc]["n_tokens"] == 4
+
+
+def test_many_groups_and_parts_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    one = sorted(digest(docs, labels(spark)).collect(), key=key)
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 100)
+    monkeypatch.setattr(lm_score, "PART_KEYS", 20)
+    many = sorted(digest(docs.repartition(3), labels(spark)).collect(), key=key)
+    for a, b in zip(one, many, strict=True):
+        assert key(a) == key(b) and (a["score"] is None) == (b["score"] is None)
+        assert a["score"] is None or a["score"] == pytest.approx(b["score"])
+
+
+def test_clashing_names_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "a b", True, 5), (1, "a b", True, 6), (None, "c", None, 7)], "doc_id long, text string, is_target boolean, _row int")
+    got = with_score(docs).collect()
+    assert sorted((r["_row"], r["n_tokens"]) for r in got) == [(5, 2), (6, 2), (7, 1)] and got[0].asDict().keys() >= {"is_target", "_row", "score"}
