@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cosecha.llm.tables import free_name
+
 UNKNOWN = "und"
 #: Ranks of a profile.
 PROFILE = 400
@@ -162,6 +164,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without documents that no language can be given: no letter, or no n-gram of any profile."""
     columns = docs.columns
-    spared = docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"})
+    lang, score = (free_name(n, columns) for n in ("_lang_pred", "_score"))
+    spared = docs.withColumnsRenamed({"lang_pred": lang, "score": score})
     marked = with_language(spared, learned(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0))
-    return marked.drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*columns)
+    return marked.drop("lang_pred", "score").withColumnsRenamed({lang: "lang_pred", score: "score"}).select(*columns)

@@ -24,6 +24,7 @@ tokens and null losses and score. Rows that repeat a document count as often as
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,8 @@ SMOOTHING = 50.0
 #: UTF-8 bytes of text in a group, and hashes in a partition of counts, on average.
 GROUP_BYTES = 4 << 20
 PART_KEYS = 1 << 20
+#: Bytes of a hash that are sent; its leading bits say to which partition.
+KEY_BYTES = 6
 #: Rows of target ids that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: The word before a document's first; no word has it as its hash but by chance.
@@ -87,6 +90,22 @@ class Tokens:
         self.pairs, self.pair_at = np.unique(mix(self.before * np.uint64(0x9FB21C651E98DF25) + self.word), return_inverse=True)
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    """Counts, most of which are small, in little room: their low bytes first, so that the empty high ones vanish."""
+    return zlib.compress(np.ascontiguousarray(counts).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpressed(raw: bytes, fields: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(fields, -1)
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
     """The columns of each run of rows with one ``grp``."""
     now, held = None, None
@@ -113,7 +132,8 @@ def _counts(rows: DataFrame, parts: int) -> DataFrame:
         part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
         begins = np.flatnonzero(np.diff(part, prepend=-1) != 0)
         stops = [*begins[1:].tolist(), len(part)]
-        packed = [[x[..., a:b].tobytes() for a, b in zip(begins.tolist(), stops, strict=True)] for x in (keys, counts)]
+        short = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+        packed = [[short[a:b].tobytes() for a, b in zip(begins.tolist(), stops, strict=True)], [_pressed(counts[:, a:b]) for a, b in zip(begins.tolist(), stops, strict=True)]]
         same = lambda v, t: pa.array([v] * len(begins), t)
         return pa.record_batch([pa.array(part[begins]), same(kind, pa.int32()), same(group, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=_SENT)
 
@@ -121,7 +141,7 @@ def _counts(rows: DataFrame, parts: int) -> DataFrame:
         for group, held in _groups(batches):
             tokens = Tokens(held["text"])
             sides = [np.array([bool(t) and bool(c) for t, c in zip(held["is_target"], held["counted"], strict=True)]), np.array(held["counted"], bool)]
-            tally = lambda at, size, side: np.bincount(at[side[tokens.doc]], minlength=size).astype(np.uint32)
+            tally = lambda at, size, side: np.bincount(at[side[tokens.doc]], minlength=size).astype(np.int64)
             words = [tally(at, len(tokens.words), s) for at in (tokens.word_at, tokens.before_at) for s in sides]
             if len(tokens.words):
                 yield cut(tokens.words, np.stack(words), 0, group)
@@ -135,13 +155,13 @@ def _totals(counts: DataFrame) -> DataFrame:
 
     def close(part: int, kind: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         fields = 4 if kind == 0 else 2
-        keys = [np.frombuffer(k, np.uint64) for _, k, _ in held]
-        tallies = np.concatenate([np.frombuffer(c, np.uint32).reshape(fields, -1) for _, _, c in held], axis=1)
+        keys = [_keys(k) for _, k, _ in held]
+        tallies = np.concatenate([_unpressed(c, fields) for _, _, c in held], axis=1)
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.stack([np.bincount(place, t, len(known)) for t in tallies]).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        for (group, k, _), end in zip(held, ends.tolist(), strict=True):
-            found = totals[:, place[end - len(k) // 8 : end]].tobytes()
+        for (group, _, _), k, end in zip(held, keys, ends.tolist(), strict=True):
+            found = _pressed(totals[:, place[end - len(k) : end]])
             columns = [pa.array([group]), pa.array([kind], pa.int32()), pa.array([part]), pa.array([found], pa.binary()), *(pa.array([None], pa.int64()) for _ in range(3))]
             yield pa.record_batch(columns, names=[f.split()[0] for f in _BACK.split(", ")])
         if kind == 0:
@@ -200,7 +220,7 @@ def _scored(rows: DataFrame, smoothing: float) -> DataFrame:
                 totals = []
                 for kind, fields in ((0, 4), (1, 2)):
                     rows = sorted((held["part"][k], k) for k, x in enumerate(held["kind"]) if x == kind)
-                    totals.append(np.concatenate([np.frombuffer(held["totals"][k], np.int64).reshape(fields, -1) for _, k in rows], axis=1))
+                    totals.append(np.concatenate([_unpressed(held["totals"][k], fields) for _, k in rows], axis=1))
                 sums = [np.bincount(tokens.doc, loss, len(docs)) for loss in _losses(tokens, *totals, corpus, smoothing)]
             wanted = np.array([held["wanted"][k] for k in docs], bool)
             means = [pa.array((s / np.maximum(count, 1))[wanted], mask=(count == 0)[wanted]) for s in sums]
@@ -233,8 +253,8 @@ def with_score(docs: DataFrame, corpus: DataFrame | None = None, is_target: str
     return joined.select(*(F.col(f"d.`{c}`") for c in columns), F.coalesce("s.n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "s.target_loss", "s.background_loss", score.alias("score"))
 
 
-def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``with_score``; the target is the documents whose doc_id is in ``target_ids`` (doc_id).
+def score_documents(docs: DataFrame, target_ids: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the columns of ``with_score``, but for those named in ``without``; the target is the documents whose doc_id is in ``target_ids`` (doc_id).
 
     A null doc_id is never a target.
     """
@@ -242,10 +262,10 @@ def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
         marks = written(target_ids.select(F.col("doc_id").alias("_target")).filter("_target is not null").distinct(), "targets")
         side = F.broadcast(marks) if small_enough(marks, BROADCAST_ROWS) else marks
         marked = docs.join(side, F.col("doc_id") == F.col("_target"), "left").withColumn("_target", F.col("_target").isNotNull())
-        return keep(with_score(marked, is_target="_target").drop("_target"), "scored")
+        return keep(with_score(marked, is_target="_target").drop("_target", *without), "scored")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, losses and score of every document; the target is the documents labelled of good quality."""
     good = labels.filter("quality = 1").select("doc_id")
-    return score_documents(docs.select("doc_id", "text"), good).drop("text")
+    return score_documents(docs.select("doc_id", "text"), good, without=("text",))

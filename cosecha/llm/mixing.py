@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import written
+from cosecha.llm.tables import free_name, written
 
 STEP = 16.0
 #: Terms of a distribution function: above them a draw of rate STEP has a chance below 1e-16.
@@ -69,21 +69,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     Columns of these three names are replaced; all others are kept. Rows that repeat a
     key draw alike. A null key is a key like any other.
     """
-    docs = docs.drop("copy", "rate", "shuffle_key", "_steps", "_table")
+    docs = docs.drop("copy", "rate", "shuffle_key")
+    own, steps_, table, copies_ = (free_name(n, docs.columns) for n in ("_source", "_steps", "_table", "_copies"))
     rates = source_rates(docs, weights, temperature, size, source).filter("rate > 0")
     steps = F.ceil(F.col("rate") / STEP)
-    rates = rates.select(F.col("source").alias("_source"), "rate", steps.alias("_steps"), _distribution(F.col("rate") / F.nullif(steps, F.lit(0))).alias("_table"))
-    joined = docs.join(written(rates, "rates"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    rates = rates.select(F.col("source").alias(own), "rate", steps.alias(steps_), _distribution(F.col("rate") / F.nullif(steps, F.lit(0))).alias(table))
+    joined = docs.join(written(rates, "rates"), F.col(source).eqNullSafe(F.col(own))).drop(own)
     name = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
     # Inversion: as many copies as distribution values lie below the draw.
-    draw = lambda step: F.size(F.filter("_table", lambda p: p <= _unit(name, F.lit(seed), step)))
-    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("_steps")), F.lit(0), lambda total, step: total + draw(step))
-    drawn = joined.withColumn("_copies", copies).filter("_copies > 0")
-    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies", "_steps", "_table")
+    draw = lambda step: F.size(F.filter(table, lambda p: p <= _unit(name, F.lit(seed), step)))
+    copies = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col(steps_)), F.lit(0), lambda total, step: total + draw(step))
+    drawn = joined.withColumn(copies_, copies).filter(F.col(copies_) > 0)
+    each = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(copies_) - 1))).drop(copies_, steps_, table)
     each = each.withColumn("shuffle_key", F.xxhash64(name, F.lit(seed), F.lit("place"), F.col("copy")))
     return each.orderBy("shuffle_key", key, "copy")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, source, copy, rate and shuffle_key of the mix of square-root weights, as large as the input."""
-    return mix_sources(docs.select("doc_id", "source"))
+    """doc_id, source, text, copy, rate and shuffle_key of the mix of square-root weights, as large as the input."""
+    return mix_sources(docs.select("doc_id", "source", "text"))

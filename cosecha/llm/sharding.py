@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import written
+from cosecha.llm.tables import free_name, written
 
 #: Pieces that a shard is numbered in.
 SLICES = 1024
@@ -40,14 +40,17 @@ def numbered(rows: DataFrame, shard: str, key: str, slot: str = "slot", slices:
     A shard is numbered in slices, so no task sees a whole shard. Rows that repeat a key
     get different numbers, in any order among equal rows.
     """
-    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(key), slices))
-    counts = rows.groupBy(shard, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    slice_, count, start, place = (free_name(n, rows.columns) for n in ("_slice", "_rows", "_start", "_place"))
+    others = [c for c in rows.columns if c not in (shard, key)]
+    # The whole row decides the slice, so that rows without a key, or with one key, are not all in one.
+    rows = rows.withColumn(slice_, F.pmod(F.xxhash64(key, *others), slices))
+    counts = rows.groupBy(shard, slice_).agg(F.count(F.lit(1)).alias(count))
     # At most shards x slices rows.
-    before = Window.partitionBy(shard).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_slice").orderBy(F.xxhash64(key, F.lit(1)), key, *[c for c in rows.columns if c not in (shard, "_slice", key)])
-    placed = rows.withColumn("_place", F.row_number().over(within) - 1).join(starts, [shard, "_slice"])
-    return placed.withColumn(slot, (F.col("_start") + F.col("_place")).cast("long")).drop("_slice", "_start", "_place")
+    before = Window.partitionBy(shard).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(shard, slice_, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(shard, slice_).orderBy(F.xxhash64(key, F.lit(1)), key, *others)
+    placed = rows.withColumn(place, F.row_number().over(within) - 1).join(starts, [shard, slice_])
+    return placed.withColumn(slot, (F.col(start) + F.col(place)).cast("long")).drop(slice_, start, place)
 
 
 def shard_records(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", grown_weight: float | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import scratch, written
+from cosecha.llm.tables import free_name, scratch, written
 from cosecha.llm.text_kernels import CHUNK_BYTES, SpanHasher, text_bytes
 
 GRAM = 100
@@ -344,7 +344,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True,
     ``whole_characters``: a character that a removed run covers in part is kept, so that kept_bytes is valid UTF-8.
     """
     added = ["kept_bytes", "n_bytes", "n_removed", "n_spans"]
-    keyed = with_row_key(docs.drop(*added))
+    docs = docs.drop(*added)
+    # Columns that are named like those made here get their names back at the end.
+    own = {c: free_name(f"_own{c}", docs.columns) for c in docs.columns if c in ("_row_key", "_ranges")}
+    keyed = with_row_key(docs.withColumnsRenamed(own))
     ranges = repeated_ranges(keyed.select("_row_key", "doc_id", "text"), length, first_stays, gram, hot_cell)
     per_doc = ranges.groupBy("_row_key").agg(F.collect_set(F.struct("begin", "end")).alias("_ranges"))
     joined = keyed.join(per_doc, "_row_key", "left").drop("_row_key")
@@ -364,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True,
             new = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *new], names=[*plain, *added])
 
-    return joined.mapInArrow(apply, schema)
+    return joined.mapInArrow(apply, schema).withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def digest(docs: DataFrame) -> DataFrame:

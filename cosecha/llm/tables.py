@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders made here for sessions that name none (local tests), by application.
 _own: dict[str, str] = {}
-#: Paths of the tables written in each open ``scratch`` block, the innermost last.
-_open: list[list[str]] = []
+#: Paths of the tables written in each open ``scratch`` block of this thread or task, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,8 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cosecha/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,20 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A block whose written tables go at its end, but for those that the given function writes."""
     inner: list[str] = []
-    _open.append(inner)
+    outer = _open.get()
+    _open.set((*outer, inner))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         # The table belongs to the block around this one, if there is any.
-        _open.pop()
+        _open.set(outer)
         try:
             return written(df, name)
         finally:
-            _open.append(inner)
+            _open.set((*outer, inner))
 
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.set(outer)
         files = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in inner:
             place = files.Path(path)
@@ -61,3 +63,11 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (a written table) has at most ``rows`` rows, so that it may be broadcast."""
     return df.count() <= rows
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with as many underscores before it as keep it apart from ``taken``, whatever their case."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name = f"_{name}"
+    return name

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cosecha.llm.tables import free_name
+
 #: Labelled rows of each verdict that the model may learn from.
 SAMPLE = 2000
 BUCKETS = 1 << 14
@@ -133,8 +135,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, labelled: pd.Dat
     path and is judged by the model like any other.
     """
     added = ["host", "path", "rule", "verdict", "allow_score"]
-    parsed = pages.withColumns({"_host": url_host(F.col(url)), "_path": url_path(F.col(url))}).drop(*added)
-    parsed = parsed.withColumnsRenamed({"_host": "host", "_path": "path"}).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
+    host, path = (free_name(n, pages.columns) for n in ("_host", "_path"))
+    parsed = pages.withColumns({host: url_host(F.col(url)), path: url_path(F.col(url))}).drop(*added)
+    parsed = parsed.withColumnsRenamed({host: "host", path: "path"}).withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     known = labelled_urls(parsed.select("host", "path", "rule"), rules) if labelled is None else labelled
     model = UrlModel(known["host"].tolist(), known["path"].tolist(), known["allowed"].tolist())
     schema = StructType(parsed.schema.fields[:]).add("allow_score", "double")

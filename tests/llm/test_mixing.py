@@ -60,3 +60,9 @@ def test_inversion_against_one_step_at_a_time(spark):
 
 def test_empty_table(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_columns_named_like_those_made_here_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 5, 6, 7), (2, None, "y", 8, 9, 10)], "doc_id long, source string, _source string, _steps int, _table int, _copies int")
+    got = mix_sources(docs, size=200.0).collect()
+    assert {(r["_source"], r["_steps"], r["_table"], r["_copies"]) for r in got} == {("x", 5, 6, 7), ("y", 8, 9, 10)}

@@ -1,6 +1,6 @@
 import zlib
 
-from cosecha.llm.sharding import digest, shard_of, shard_records
+from cosecha.llm.sharding import digest, numbered, shard_of, shard_records
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, shard string"
@@ -40,3 +40,9 @@ def test_other_columns_pass_and_empty_tables(spark):
     frame = spark.createDataFrame(rows(), SCHEMA)
     assert "text" in shard_records(frame, [1.0] * 4).columns
     assert digest(frame.limit(0)).count() == 0
+
+
+def test_rows_without_a_key_are_numbered_in_many_slices(spark):
+    rows = spark.range(500).selectExpr("cast(null as long) as doc_id", "id as text_crc32", "0 as shard", "id % 7 as _slice", "id as _rows")
+    got = numbered(rows, "shard", "doc_id").collect()
+    assert sorted(r["slot"] for r in got) == list(range(500)) and all(r["_slice"] == r["_rows"] % 7 for r in got)

@@ -118,3 +118,9 @@ def test_longest_previous_factors_match_brute_force():
         for at, (place, factor, by) in enumerate(zip(places.tolist(), found.tolist(), source.tolist(), strict=True)):
             assert factor == max((shared(place, j) for j in range(place)), default=0), at
             assert factor == 0 or (places[by] < place and shared(place, int(places[by])) >= factor)
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "word " * 120, "p", 3)], "doc_id long, text string, _ranges string, _row_key int")
+    row = sd.remove_repeats(df, first_stays=True).first()
+    assert (row["_ranges"], row["_row_key"]) == ("p", 3) and row["n_removed"] > 0

@@ -1,5 +1,7 @@
+import random
 import re
 
+from cosecha.llm import url_filter
 from cosecha.llm.url_filter import RULES, digest
 
 CASES = [
@@ -48,3 +50,14 @@ def test_the_model_learns_what_the_rules_say(spark):
 
 def test_empty_table(spark):
     assert digest(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_the_model_tells_held_out_urls_apart():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    good = [("docs.example.edu", f"/papers/{word()}/{word()}.html") for _ in range(300)]
+    bad = [(f"{word()}.win-cash.biz", f"/casino/{word()}?") for _ in range(300)]
+    learn, rest = good[:200] + bad[:200], good[200:] + bad[200:]
+    model = url_filter.UrlModel([h for h, _ in learn], [p for _, p in learn], [k < 200 for k in range(400)])
+    said = model.score([h for h, _ in rest], [p for _, p in rest]) >= 0.5
+    assert (said == [k < 100 for k in range(200)]).mean() > 0.95
