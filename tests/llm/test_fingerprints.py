@@ -1,3 +1,8 @@
+from collections import Counter
+
+import pytest
+import xxhash
+from cosecha.llm import fingerprints
 import hashlib
 import random
 
@@ -66,3 +71,59 @@ def test_short_and_unspaced_near_copies_are_alike(spark):
     alike = [r[0] for r in frame.orderBy("k").select(likeness(F.col("a_print"), F.col("b_print"))).collect()]
     assert min(alike[:3]) > 0.1 and min(alike[3:5]) > 0.5
     assert max(alike[5:7]) < 0.1 and alike[7:] == [1.0, 0.0, 1.0]
+
+
+def _top_bits(*parts):
+    """Spark's xxhash64 of the parts, its leading 39 bits."""
+    seed = 42
+    for part in parts:
+        raw = part.encode() if isinstance(part, str) else part.to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed >> 25
+
+
+def _sketch(text, k=5, sample=128, bits=6, size=2):
+    """{place: hashes of its tuple} by listing every k-mer with its number."""
+    folded = " ".join(text.split())
+    if not folded:
+        return {}
+    padded = " " * (k - 1) + folded + " " * (k - 1)
+    hashes = [_top_bits(padded[i : i + k]) for i in range(len(padded) - k + 1)]
+    largest = sorted(set(hashes))[:sample][-1]
+    seen, items = Counter(), []
+    for place, value in enumerate(h for h in hashes if h <= largest):
+        seen[value] += 1
+        items.append((_top_bits(value, seen[value]), place))
+    out = {}
+    for value, place in sorted(items):
+        out.setdefault(value >> (39 - bits), []).append((place, value))
+    return {b: tuple(v for _, v in sorted(found[:size])) for b, found in out.items()}
+
+
+def _alike(a, b):
+    either = a.keys() | b.keys()
+    return 1.0 if not either else sum(a.get(p) == b.get(p) for p in either) / len(either)
+
+
+def test_likeness_matches_brute_force_and_follows_edits(spark):
+    rng = random.Random(2)
+    letters = {"latin": "abcdefghij   ", "unspaced": "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生"}
+    rows = []
+    for script, alphabet in letters.items():
+        base = [rng.choice(alphabet) for _ in range(400)]
+        for edits in (0, 1, 5, 20, 80, 300):
+            other = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(other))
+                other[at : at + 1] = rng.choice([[], [rng.choice(alphabet)], [rng.choice(alphabet)] * 2])
+            rows.append((script, edits, "".join(base), "".join(other)))
+        rows.append((script, -1, "".join(base), "".join(base[200:] + base[:200])))
+    rows += [("short", 0, "ab", "ab"), ("short", 1, "ab", "ac"), ("repeats", 0, "ab " * 90, "ab " * 91), ("empty", 0, "", " "), ("empty", 1, "", "x")]
+    df = spark.createDataFrame(rows, "script string, edits int, a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = {(r["script"], r["edits"]): r["l"] for r in df.select("script", "edits", fingerprints.likeness(df["fa"], df["fb"]).alias("l")).collect()}
+    for script, edits, a, b in rows:
+        assert got[script, edits] == pytest.approx(_alike(_sketch(a), _sketch(b))), (script, edits)
+    for script in letters:
+        assert got[script, 0] == 1 and got[script, 1] > 0.8
+        assert got[script, 1] >= got[script, 20] > got[script, 300] and got[script, 5] > got[script, 80]
