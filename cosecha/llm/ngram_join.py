@@ -58,6 +58,8 @@ _FAN_OUT = 4
 _DENSE = 3
 #: Elements that a task gathers before it passes their sets on.
 _ELEMENTS = 1 << 18
+#: Links or candidates that a task holds before it passes them on, a unit's at least.
+_FOUND = 1 << 14
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -493,7 +495,7 @@ def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]
                 if key != unit:
                     close()
                     unit, rows = key, {}
-                    if len(out) > CELLS:
+                    if len(out) > _FOUND:
                         yield taken()
                 rows[node] = (label, block, elements[at].as_py())
         close()

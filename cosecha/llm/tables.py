@@ -10,6 +10,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that reach Python at a time inside a ``scratch`` block; a longer row goes by itself.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Folders made here for sessions that name none (local tests), by application.
 _own: dict[str, str] = {}
 #: Paths of the tables written in each open ``scratch`` block of this thread or task, the innermost last.
@@ -37,9 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """A block whose written tables go at its end, but for those that the given function writes."""
+    """A block whose written tables go at its end, but for those that the given function writes.
+
+    What is written inside passes to Python in batches of about ``BATCH_BYTES``, so that neither
+    a worker nor its executor holds ten thousand whole texts; the session's own bound returns after it.
+    """
     inner: list[str] = []
     outer = _open.get()
+    bound = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
     _open.set((*outer, inner))
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield keep
     finally:
         _open.set(outer)
+        spark.conf.set(_BATCH, bound)
         files = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in inner:
             place = files.Path(path)
