@@ -239,13 +239,17 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, pattern)
-        for batch in batches:
-            # Small slices keep what a worker holds independent of the batch size.
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = list(encoder.encode_all([t or "" for t in part.column(text).to_pylist()]))
-                decoded = [encoder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*part.schema.names, "ids", "decoded"])
+        try:
+            for batch in batches:
+                # Small slices keep what a worker holds independent of the batch size.
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    ids = list(encoder.encode_all([t or "" for t in part.column(text).to_pylist()]))
+                    decoded = [encoder.decode(x) for x in ids]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*part.schema.names, "ids", "decoded"])
+        finally:
+            # Workers outlive their tasks: tables and remembered pre-tokens would stand beside the next stage's rows.
+            _encoder.cache_clear()
 
     return docs.mapInArrow(run, schema)
 
