@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cosecha.llm import bpe, fingerprints, language_id, lm_score, mixing, ngram_join, prefix_trie, sharding, suffix_dedup, url_filter, vector_join
+from cosecha.llm import bpe, fingerprints, language_id, license_scan, lm_score, mixing, ngram_join, prefix_trie, sharding, suffix_dedup, url_filter, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(_table(spark, sf_dir, "conversations"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op9_suffix_dedup,
         op10_rendezvous_shards,
         op11_conversation_trie,
+        op12_license_scan,
     )
 }
 
