@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cosecha.llm import bpe, fingerprints, language_id, license_scan, lm_score, mixing, ngram_join, prefix_trie, sharding, suffix_dedup, url_filter, vector_join
+from cosecha.llm import bpe, fingerprints, language_id, license_scan, lm_score, mixing, ngram_join, prefix_trie, sharding, spelling_variants, suffix_dedup, url_filter, vector_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op10_rendezvous_shards,
         op11_conversation_trie,
         op12_license_scan,
+        op13_spelling_variants,
     )
 }
 
