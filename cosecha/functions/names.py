@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cosecha.functions.text import MONTH_FORMS, MONTHS, collapse_spaces, is_doubled, lower_inner_accents, slug, strip_accents, undouble
+from cosecha.functions.text import MONTH_FORMS, MONTHS, collapse_spaces, is_doubled, lower_inner_accents, slug, strip_accents, stripped, undouble
 
 # Text that other encodings left, and what it becomes, in the order of replacement.
 ENCODING_REPAIRS = {
@@ -69,7 +69,7 @@ def standard_key(value: Column) -> Column:
 
 def group_key(value: Column) -> Column:
     """The key that groups duplicates: undoubled, no accents, lower case, without * + , and ., without hyphens and slashes at the ends."""
-    plain = F.translate(F.lower(strip_accents(F.trim(undouble(F.coalesce(value, F.lit("")))))), "*+,.", "")
+    plain = F.translate(F.lower(strip_accents(stripped(undouble(F.coalesce(value, F.lit("")))))), "*+,.", "")
     return F.regexp_replace(collapse_spaces(plain), "^[-/ ]+|[-/ ]+$", "")
 
 
@@ -81,7 +81,7 @@ def standard_category(value: Column) -> Column:
     """Repaired and respelled; the first word gets one capital, other words stay."""
     text = collapse_spaces(_spelled(repaired(value)))
     first = F.regexp_extract(text, r"^\S*", 0)
-    return F.concat(F.upper(F.left(first, F.lit(1))), F.lower(F.substring(first, 2, 10_000)), F.substring(text, F.length(first) + 1, F.length(text)))
+    return F.concat(F.upper(F.left(first, F.lit(1))), F.lower(F.substring(first, F.lit(2), F.length(first))), F.substring(text, F.length(first) + 1, F.length(text)))
 
 
 def standard_city(value: Column) -> Column:
@@ -107,7 +107,7 @@ def normalized(value: Column) -> Column:
 
 def title_case(value: Column) -> Column:
     """Each run of letters with one capital, also after digits and apostrophes."""
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 10_000)))), "")
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
 
 
 def name_quality(name: Column) -> Column:
@@ -141,15 +141,30 @@ def input_stem(name: Column) -> Column:
     return collapse_spaces(F.regexp_replace(bare, r"[^a-z0-9\s]", " "))
 
 
+def _picture_text(name: Column) -> Column:
+    return collapse_spaces(F.lower(F.regexp_replace(name, r"[*+]+$", "")))
+
+
 def base_product(name: Column, category: Column) -> Column:
-    """The key of a product's picture: what it is, without cut, state or region."""
-    text = collapse_spaces(F.trim(F.lower(F.regexp_replace(name, r"[*+]+$", ""))))
+    """The key of a product's picture: the slug of what it is, without cut, state or region."""
+    text = _picture_text(name)
     head = F.trim(F.substring_index(text, ",", 1))
-    fish = collapse_spaces(F.regexp_replace(head, rf"\b({'|'.join(FISH_WORDS)})\b", ""))
-    produce = F.array_join(F.filter(F.split(text, r"\s+"), lambda w: ~w.isin(REGION_WORDS)), " ")
+    fish = reduce(lambda v, word: F.trim(F.regexp_replace(v, rf"\b{word}\b", "")), FISH_WORDS, head)
+    produce = F.array_join(F.filter(F.split(text, " "), lambda w: ~w.isin(REGION_WORDS)), " ")
     return F.when(category == "Carnes", slug(head)).when(text.contains("huevo"), "huevo").when(category == "Pescados", slug(fish)).otherwise(slug(produce))
 
 
+def searched_product(name: Column, category: Column) -> Column:
+    """The words by which a product's picture is sought: as ``base_product``, but with rules for cheese, processed food and grain, and no slug."""
+    text = _picture_text(name)
+    head = F.trim(F.substring_index(text, ",", 1))
+    fish = reduce(lambda v, word: F.trim(F.replace(v, F.lit(word), F.lit(""))), FISH_WORDS, head)
+    produce = F.array_join(F.filter(F.split(text, " "), lambda w: ~w.isin(REGION_WORDS)), " ")
+    rules = [(category == "Carnes", head), (text.contains("huevo"), F.lit("huevo")), (text.contains("queso"), text), (category == "Pescados", fish), (category == "Procesados", text)]
+    rules += [(text.rlike("fr[ií]jol"), F.lit("frijol")), (text.contains("arroz"), F.lit("arroz")), (text.rlike("ma[ií]z"), F.lit("maiz"))]
+    return F.coalesce(*(F.when(rule, words) for rule, words in rules), produce)
+
+
 def _fixed(value: Column, places: int) -> Column:
     """``value`` with ``places`` decimals, halves away from zero."""
     return F.round(value.cast("decimal(38,12)"), places).cast(f"decimal(38,{places})").cast("string")

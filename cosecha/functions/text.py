@@ -11,28 +11,44 @@ from pyspark.sql import functions as F
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 MONTH_FORMS = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic"]
 
+#: White space of any script, as a class of regular expressions.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one letter or digit and marks, with that letter; and the marks, which stand for nothing."""
-    letters, plain, marks = [], [], []
-    for code in (*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)):
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """By compatibility decomposition without marks: letters that become one other, these others, and letters that become several.
+
+    The marks, which stand for nothing, end the first text. Syllables of Hangul, which a rule composes, stay.
+    """
+    letters, plain, marks, several = [], [], [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0xFFF0)):
         char = chr(code)
-        rest = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+        rest = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if unicodedata.combining(char):
             marks.append(char)
-        elif len(rest) == 1 and rest[0] != char and rest[0].isalnum():
+        elif len(rest) == 1 and rest != char:
             letters.append(char)
-            plain.append(rest[0])
-    return "".join(letters + marks), "".join(plain)
+            plain.append(rest)
+        elif len(rest) > 1:
+            several[char] = rest
+    return "".join(letters + marks), "".join(plain), several
+
+
+ACCENTED, PLAIN, SEVERAL = _plain_letters()
+_SEVERAL = "[" + "".join(sorted(SEVERAL)) + "]"
+# Letters that canonical decomposition reduces to one of ASCII.
+_LATIN = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x2200) if unicodedata.normalize("NFD", chr(c))[0].isascii()}
 
 
-ACCENTED, PLAIN = _plain_letters()
+def stripped(value: Column) -> Column:
+    """A text without white space of any script at its ends."""
+    return F.regexp_replace(value, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def parse_price(value: Column) -> Column:
-    """A positive number from text with dots for thousands and a comma for decimals; otherwise null."""
-    number = F.translate(F.translate(F.trim(value), ".", ""), ",", ".").try_cast("double")
+    """A positive number from text with dots for thousands and a comma for decimals; otherwise null, also for words such as 'nan'."""
+    plain = F.translate(F.translate(stripped(value), ".", ""), ",", ".")
+    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
     return F.when(number > 0, number)
 
 
@@ -101,13 +117,16 @@ def split_at_last_comma(value: Column) -> Column:
 
 
 def collapse_spaces(value: Column) -> Column:
-    """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(value, r"[ \t\n\r\f\x0B]+", " "))
+    """Runs of white space of any script as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(value, f"{BLANK}+", " "))
 
 
 def strip_accents(value: Column) -> Column:
-    """Letters without their accents, and no marks; letters that decompose into several others stay."""
-    return F.translate(value, ACCENTED, PLAIN)
+    """Letters without their accents and forms, and no marks: compatibility decomposition; ligatures become their letters."""
+    letters = F.str_to_map(F.lit("\n".join(f"{a}\t{b}" for a, b in SEVERAL.items() if "\n" not in b and "\t" not in b)), F.lit("\n"), F.lit("\t"))
+    apart = F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(letters, c), c)), "")
+    # Few texts have such letters, and only these are taken apart.
+    return F.translate(F.when(value.rlike(_SEVERAL), apart).otherwise(value), ACCENTED, PLAIN)
 
 
 def lower_inner_accents(value: Column) -> Column:
@@ -126,9 +145,18 @@ def comparison_key(value: Column) -> Column:
     return collapse_spaces(plain)
 
 
+def norm_key(value: Column) -> Column:
+    """The key of duplicate candidates: undoubled, no accents, lower case; signs and white space are single blanks. Letters of any script count."""
+    plain = F.lower(strip_accents(stripped(undouble(F.coalesce(value, F.lit(""))))))
+    return collapse_spaces(F.regexp_replace(plain, r"[^\p{L}\p{N}_]", " "))
+
+
 def slug(value: Column) -> Column:
-    """The comparison key with hyphens."""
-    return F.translate(comparison_key(value), " ", "-")
+    """A name for a file: no accents, lower case, words joined by underscores; other signs than hyphens go."""
+    plain = F.regexp_replace(F.translate(value, "".join(_LATIN), "".join(_LATIN.values())), r"[\u0300-\u036F]", "")
+    words = F.regexp_replace(stripped(F.lower(plain)), rf"[^A-Za-z0-9_\-{BLANK[1:-1]}]", "")
+    joined = F.regexp_replace(F.regexp_replace(words, rf"[_{BLANK[1:-1]}]+", "_"), "-+", "-")
+    return F.regexp_replace(joined, "^[_-]+|[_-]+$", "")
 
 
 def is_doubled(value: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cosecha.functions.columns import first_per_key
-from cosecha.functions.text import comparison_key
+from cosecha.functions.names import normalized
+from cosecha.functions.text import comparison_key, norm_key
 from cosecha.session import shared_folder
 
 #: Dimension rows that may be sent to every executor; more are joined by a shuffle.
@@ -25,16 +26,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def resolve(staging: DataFrame, raw: str, aliases: DataFrame, members: DataFrame) -> DataFrame:
-    """``staging`` with member_id and how it was found: by exact alias, by the alias's key, by a member's key, or not at all.
+    """``staging`` with member_id and how it was found: by its exact alias, by the alias of its repaired text, by a member of that name, or not at all.
 
-    ``aliases``: raw_value, member_id. ``members``: member_id, name. Each distinct raw
-    value is resolved once; keys that several members share go to the smallest id.
+    ``aliases``: raw_value, member_id. ``members``: member_id, name. Repaired is a text with single blanks and
+    its inner accents lower-cased; case and accents count. Each distinct raw value is resolved once; what several
+    members share goes to the smallest id.
     """
-    values = staging.select(F.col(raw).alias("raw_value")).distinct().withColumn("_key", comparison_key(F.col("raw_value")))
+    values = staging.select(F.col(raw).alias("raw_value")).distinct().withColumn("_name", normalized(F.col("raw_value")))
     exact = aliases.groupBy("raw_value").agg(F.min("member_id").alias("by_alias"))
-    folded = aliases.groupBy(comparison_key(F.col("raw_value")).alias("_key")).agg(F.min("member_id").alias("by_key"))
-    named = members.groupBy(comparison_key(F.col("name")).alias("_key")).agg(F.min("member_id").alias("by_name"))
-    found = values.join(exact, "raw_value", "left").join(folded, "_key", "left").join(named, "_key", "left")
+    again = exact.select(F.col("raw_value").alias("_name"), F.col("by_alias").alias("by_key"))
+    named = members.groupBy(F.col("name").alias("_name")).agg(F.min("member_id").alias("by_name"))
+    found = values.join(exact, "raw_value", "left").join(again, "_name", "left").join(named, "_name", "left")
     how = F.when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_key").isNotNull(), "alias_key").when(F.col("by_name").isNotNull(), "name").otherwise("none")
     found = found.select(F.col("raw_value").alias(raw), F.coalesce("by_alias", "by_key", "by_name").alias("member_id"), how.alias("resolved_by"))
     return staging.join(found, raw, "left")
@@ -82,17 +84,22 @@ def rewrite_keys(facts: DataFrame, key: str, merges: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(members: DataFrame, name: str = "name") -> DataFrame:
-    """Keys that several members share, with how many."""
-    keyed = members.groupBy(comparison_key(F.col(name)).alias("norm_key")).agg(F.count(F.lit(1)).alias("members"), F.min("member_id").alias("smallest"))
-    return keyed.filter("members > 1")
+    """Keys that several members share, with how many; names without letters and digits have none."""
+    keyed = members.groupBy(norm_key(F.col(name)).alias("norm_key")).agg(F.count(F.lit(1)).alias("members"), F.min("member_id").alias("smallest"))
+    return keyed.filter("members > 1 and norm_key != ''")
 
 
-def survivors(members: DataFrame, references: DataFrame) -> DataFrame:
-    """Of each duplicate group the most referenced member wins, the smaller id on ties: (loser, winner)."""
+def survivors(members: DataFrame, references: DataFrame, before: DataFrame) -> DataFrame:
+    """(loser, winner): members that are new since ``before`` (member_id) go to the most referenced older one of their key, the smaller id on ties.
+
+    Older members are never merged, and new ones without an older one stay for a person to decide.
+    """
     counts = references.groupBy("member_id").agg(F.count(F.lit(1)).alias("uses"))
-    rows = members.join(counts, "member_id", "left").withColumn("uses", F.coalesce("uses", F.lit(0))).withColumn("norm_key", comparison_key(F.col("name")))
-    best = first_per_key(rows, ["norm_key"], F.desc("uses"), F.asc("member_id")).select("norm_key", F.col("member_id").alias("winner"))
-    return rows.join(best, "norm_key").filter("member_id != winner").select(F.col("member_id").alias("loser"), "winner")
+    older = before.select("member_id", F.lit(True).alias("older")).distinct()
+    rows = members.join(counts, "member_id", "left").join(older, "member_id", "left").withColumn("norm_key", norm_key(F.col("name"))).filter("norm_key != ''")
+    anchors = rows.filter("older").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    best = first_per_key(anchors, ["norm_key"], F.desc("uses"), F.asc("member_id")).select("norm_key", F.col("member_id").alias("winner"))
+    return rows.filter("older is null").join(best, "norm_key").select(F.col("member_id").alias("loser"), "winner")
 
 
 def most_frequent_parent(rows: DataFrame, child: str, parent: str) -> DataFrame:

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosecha.functions.columns import first_per_key
-from cosecha.functions.text import collapse_spaces, comparison_key, slug
+from cosecha.functions.names import standard_forms
+from cosecha.functions.text import collapse_spaces
 
 
-def raw_values(rows: DataFrame, column: str) -> DataFrame:
-    """The distinct values of a column with their frequency and three standard forms, most frequent first."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("raw")).agg(F.count(F.lit(1)).alias("rows"))
-    tidy = collapse_spaces(F.col("raw"))
-    return counts.select("raw", "rows", tidy.alias("tidy"), comparison_key(F.col("raw")).alias("norm_key"), slug(F.col("raw")).alias("slug")).orderBy(F.desc("rows"), "raw")
+def raw_values(rows: DataFrame, column: str, kind: Column) -> DataFrame:
+    """(raw, rows, standardized, comparison_key): the distinct values of a column with their frequency and standard forms, most frequent first.
+
+    ``kind`` (category, city, product or another word) tells which rules a value follows.
+    """
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("raw"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+    forms = standard_forms(F.col("raw"), F.col("kind"))
+    return counts.select("raw", "kind", "rows", *(forms[c].alias(c) for c in ("original", "standardized", "comparison_key"))).orderBy(F.desc("rows"), "raw")
 
 
 def with_ids(names: DataFrame, column: str) -> DataFrame:
@@ -29,25 +33,29 @@ def backfilled(rows: DataFrame, found: DataFrame, key: str, column: str) -> Data
 
 
 def linked_codes(members: DataFrame, prices: DataFrame, codes: DataFrame) -> DataFrame:
-    """(member_id, code, linked_by): a member's own code if the classification has it, else that of its newest price that has one, else none."""
+    """(member_id, code, linked_by, own_code): the classification's code of each member.
+
+    It is the member's own code if the classification has it, else that of its newest price with a code, if the classification
+    has that one; the smallest code on ties. An empty own code is filled with what was found.
+    """
     known = codes.select(F.col("code").alias("_code")).distinct()
-    own = members.join(known, F.col("code") == F.col("_code"), "left").select("member_id", F.col("_code").alias("own"))
-    valid = prices.join(known, F.col("code") == F.col("_code"), "left_semi")
-    newest = first_per_key(valid, ["member_id"], F.desc("price_date"), F.asc("code")).select("member_id", F.col("code").alias("latest"))
-    both = own.join(newest, "member_id", "left")
+    own = members.join(known, F.col("code") == F.col("_code"), "left").select("member_id", F.nullif("code", F.lit("")).alias("own_code"), F.col("_code").alias("own"))
+    coded = prices.filter("code is not null and code != ''")
+    newest = first_per_key(coded, ["member_id"], F.desc("price_date"), F.asc("code")).join(known, F.col("code") == F.col("_code"), "left_semi")
+    both = own.join(newest.select("member_id", F.col("code").alias("latest")), "member_id", "left")
     how = F.when(F.col("own").isNotNull(), "direct").when(F.col("latest").isNotNull(), "latest_price").otherwise("none")
-    return both.select("member_id", F.coalesce("own", "latest").alias("code"), how.alias("linked_by"))
-
-
-def name_score(name: Column, aliases: Column) -> Column:
-    """A preference among names of one place: more aliases, no capitals throughout, a capital first, no odd signs."""
-    return aliases * 10 + F.when(F.upper(name) != name, 5).otherwise(0) + F.when(F.left(name, F.lit(1)).rlike(r"\p{Lu}"), 2).otherwise(0) - F.when(name.rlike(r"[*?#]"), 7).otherwise(0)
+    linked = F.coalesce("own", "latest")
+    return both.select("member_id", linked.alias("code"), how.alias("linked_by"), F.coalesce("own_code", linked).alias("own_code"))
 
 
 def merged_by_code(members: DataFrame, code: str = "code") -> DataFrame:
-    """(loser, winner) of members that share an official code: the best name wins, the smaller id on ties. ``members``: member_id, name, aliases, code."""
-    coded = members.filter(F.col(code).isNotNull() & (F.col(code) != "")).withColumn("score", name_score(F.col("name"), F.col("aliases")))
-    best = first_per_key(coded, [code], F.desc("score"), F.asc("member_id")).select(code, F.col("member_id").alias("winner"))
+    """(loser, winner) of members that share an official code. ``members``: member_id, name, aliases, code.
+
+    More aliases win, then a name with letters of both cases, then the smallest first letter, then the smallest id.
+    """
+    coded = members.filter(F.col(code).isNotNull() & (F.col(code) != ""))
+    both_cases = F.col("name").rlike(r"\p{Ll}") & F.col("name").rlike(r"\p{Lu}")
+    best = first_per_key(coded, [code], F.desc("aliases"), F.desc(both_cases), F.asc(F.ascii("name")), F.asc("member_id")).select(code, F.col("member_id").alias("winner"))
     return coded.join(best, code).filter("member_id != winner").select(F.col("member_id").alias("loser"), "winner")
 
 

@@ -172,7 +172,8 @@ def snapshot_groups(before: DataFrame, after: DataFrame, key: Column) -> DataFra
     marked = after.join(before.select("member_id", F.lit(1).alias("_old")), "member_id", "left").withColumn("norm_key", key)
     groups = marked.groupBy("norm_key").agg(F.count("_old").alias("old_members"), F.count_if(F.col("_old").isNull()).alias("new_members"))
     kind = F.when(F.col("old_members") > 0, "NEW+EXISTING").otherwise("NEW+NEW")
-    return groups.filter("new_members > 0 and old_members + new_members > 1").select("norm_key", kind.alias("kind"), "old_members", "new_members")
+    # Names without a key are no group.
+    return groups.filter("norm_key != '' and new_members > 0 and old_members + new_members > 1").select("norm_key", kind.alias("kind"), "old_members", "new_members")
 
 
 def retried(errors: DataFrame, succeeded: DataFrame, most: int = 3) -> DataFrame:

@@ -10,27 +10,26 @@ from cosecha.plans.views import Views
 
 registry = Registry()
 
-_KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
-_RAW = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' *' WHEN 2 THEN 'xx' || p_name ELSE p_name || '?' || p_brand END"
+_RAW = """CASE p_partkey % 5 WHEN 0 THEN chr(160) || replace(p_name, ' ', '  ' || chr(160)) WHEN 1 THEN 'xx ' || p_name || ' cafÉ' WHEN 2 THEN 'xx  ' || p_name || ' cafÉ ' WHEN 3 THEN 'yy ' || p_name ELSE upper(p_name) END"""
 _NAMES = """
 members AS (SELECT p_name AS name, MIN(p_partkey) AS member_id FROM part GROUP BY p_name),
-aliases AS (SELECT 'xx' || name AS raw_value, member_id FROM members WHERE length(name) > 8)"""
+aliases AS (SELECT 'xx ' || name || ' cafÉ' AS raw_value, member_id FROM members WHERE length(name) > 8 UNION ALL SELECT 'xx ' || name || ' café', member_id + 1 FROM members)"""
 _RESOLVED = f"""{_NAMES},
-staging AS (SELECT p_partkey, {_RAW} AS raw FROM part),
+staging AS (SELECT p_partkey, {_RAW} AS raw, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'xx ' || p_name || ' café' WHEN 2 THEN 'xx ' || p_name || ' café' WHEN 3 THEN 'yy ' || p_name ELSE upper(p_name) END AS tidy FROM part),
 resolved AS (SELECT p_partkey, raw, COALESCE(a.member_id, k.member_id, m.member_id) AS member_id,
   CASE WHEN a.member_id IS NOT NULL THEN 'alias' WHEN k.member_id IS NOT NULL THEN 'alias_key' WHEN m.member_id IS NOT NULL THEN 'name' ELSE 'none' END AS resolved_by
-  FROM staging s LEFT JOIN (SELECT raw_value, MIN(member_id) AS member_id FROM aliases GROUP BY 1) a ON s.raw = a.raw_value
-  LEFT JOIN (SELECT {_KEY.format('raw_value')} AS k, MIN(member_id) AS member_id FROM aliases GROUP BY 1) k ON {_KEY.format('s.raw')} = k.k
-  LEFT JOIN (SELECT {_KEY.format('name')} AS k, MIN(member_id) AS member_id FROM members GROUP BY 1) m ON {_KEY.format('s.raw')} = m.k)"""
+  FROM staging s LEFT JOIN aliases a ON s.raw = a.raw_value LEFT JOIN aliases k ON s.tidy = k.raw_value LEFT JOIN members m ON s.tidy = m.name)"""
 
 
 def _names(spark, sf_dir):
+    """Raw names with blanks of two kinds, inner capitals and other letters, aliases of some, and the members."""
     part = Views(spark, sf_dir).table("part")
     members = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("member_id"))
-    aliases = members.filter(F.length("name") > 8).select(F.concat(F.lit("xx"), "name").alias("raw_value"), "member_id")
-    kind = F.col("p_partkey") % 4
-    raw = F.when(kind == 0, F.upper("p_name")).when(kind == 1, F.concat("p_name", F.lit(" *"))).when(kind == 2, F.concat(F.lit("xx"), "p_name"))
-    raw = raw.otherwise(F.concat("p_name", F.lit("?"), "p_brand"))
+    alias = lambda end: F.concat(F.lit("xx "), "name", F.lit(end))
+    aliases = members.filter(F.length("name") > 8).select(alias(" cafÉ").alias("raw_value"), "member_id").unionByName(members.select(alias(" café").alias("raw_value"), (F.col("member_id") + 1).alias("member_id")))
+    kind = F.col("p_partkey") % 5
+    raw = F.when(kind == 0, F.concat(F.lit("\u00a0"), F.replace("p_name", F.lit(" "), F.lit("  \u00a0")))).when(kind == 1, F.concat(F.lit("xx "), "p_name", F.lit(" cafÉ")))
+    raw = raw.when(kind == 2, F.concat(F.lit("xx  "), "p_name", F.lit(" cafÉ "))).when(kind == 3, F.concat(F.lit("yy "), "p_name")).otherwise(F.upper("p_name"))
     return part.select("p_partkey", raw.alias("raw")), aliases, members
 
 
@@ -46,22 +45,32 @@ def alias_gaps(spark, sf_dir):
     return conform.gaps(conform.resolve(staging, "raw", aliases, members), "raw")
 
 
-_MEMBERS = "parts AS (SELECT p_partkey AS member_id, p_name AS name FROM part)"
+# Doubled letters, Cyrillic, signs and accents; the key is worked out by hand.
+_NAMED = """CASE p_partkey % 5 WHEN 0 THEN regexp_replace(p_name, '(.)', '\\1\\1', 'g') WHEN 1 THEN 'Груша*' || p_brand WHEN 2 THEN 'Яблоко, ' || p_brand WHEN 3 THEN '** !' ELSE 'Ñ' || upper(p_name) END"""
+_KEYED = """CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN 'груша ' || replace(lower(p_brand), '#', ' ') WHEN 2 THEN 'яблоко ' || replace(lower(p_brand), '#', ' ') WHEN 3 THEN '' ELSE 'n' || p_name END"""
+_MEMBERS = f"parts AS (SELECT p_partkey AS member_id, {_NAMED} AS name, {_KEYED} AS k, p_partkey % 3 <> 0 AS old FROM part)"
 _MERGES = f"""{_MEMBERS},
-used AS (SELECT member_id, name, COUNT(l_partkey) AS uses FROM parts LEFT JOIN lineitem ON member_id = l_partkey GROUP BY ALL),
-best AS (SELECT {_KEY.format('name')} AS k, member_id AS winner FROM used QUALIFY ROW_NUMBER() OVER (PARTITION BY {_KEY.format('name')} ORDER BY uses DESC, member_id) = 1),
-merges AS (SELECT member_id AS loser, winner FROM used JOIN best ON {_KEY.format('name')} = k WHERE member_id <> winner)"""
+used AS (SELECT member_id, k, old, COUNT(l_partkey) AS uses FROM parts LEFT JOIN lineitem ON member_id = l_partkey WHERE k <> '' GROUP BY ALL),
+best AS (SELECT k, member_id AS winner FROM used WHERE old QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY uses DESC, member_id) = 1),
+merges AS (SELECT member_id AS loser, winner FROM used JOIN best ON used.k = best.k WHERE NOT old)"""
+
+
+def _members(spark, sf_dir):
+    kind = F.col("p_partkey") % 5
+    name = F.when(kind == 0, F.regexp_replace("p_name", "(.)", "$1$1")).when(kind == 1, F.concat(F.lit("Груша*"), "p_brand")).when(kind == 2, F.concat(F.lit("Яблоко, "), "p_brand"))
+    name = name.when(kind == 3, F.lit("** !")).otherwise(F.concat(F.lit("Ñ"), F.upper("p_name")))
+    return Views(spark, sf_dir).table("part").select(F.col("p_partkey").alias("member_id"), name.alias("name"))
 
 
 def _merges(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    members = v.table("part").select(F.col("p_partkey").alias("member_id"), F.col("p_name").alias("name"))
-    return conform.survivors(members, v.table("lineitem").select(F.col("l_partkey").alias("member_id")))
+    members = _members(spark, sf_dir)
+    references = Views(spark, sf_dir).table("lineitem").select(F.col("l_partkey").alias("member_id"))
+    return conform.survivors(members, references, members.filter("member_id % 3 != 0"))
 
 
-@registry.query("J38_duplicate_groups", f"WITH {_MEMBERS} SELECT {_KEY.format('name')} AS norm_key, COUNT(*) AS members, MIN(member_id) AS smallest FROM parts GROUP BY 1 HAVING COUNT(*) > 1")
+@registry.query("J38_duplicate_groups", f"WITH {_MEMBERS} SELECT k AS norm_key, COUNT(*) AS members, MIN(member_id) AS smallest FROM parts WHERE k <> '' GROUP BY 1 HAVING COUNT(*) > 1")
 def duplicate_groups(spark, sf_dir):
-    return conform.duplicate_groups(Views(spark, sf_dir).table("part").select(F.col("p_partkey").alias("member_id"), F.col("p_name").alias("name")))
+    return conform.duplicate_groups(_members(spark, sf_dir))
 
 
 @registry.query("M10_survivors", f"WITH {_MERGES} SELECT * FROM merges")

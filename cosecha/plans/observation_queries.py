@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cosecha.functions.text import comparison_key
+from cosecha.functions.text import norm_key
 from cosecha.operators import observations as ops
 from cosecha.operators import quality
 from cosecha.plans.golden_queries import _every_file, _grid
@@ -15,7 +15,6 @@ from cosecha.sources import sinks
 
 registry = Registry()
 
-_KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 _STAGED = """
 staged AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS price_date,
     CASE WHEN l_orderkey % 29 = 0 THEN 'zz' || p_name WHEN l_orderkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS product,
@@ -233,13 +232,13 @@ def lasting_errors(spark, sf_dir):
     return quality.lasting_errors(_errors(spark, sf_dir), _done(spark, sf_dir))
 
 
-@registry.query("J38_snapshot_groups", f"""WITH marked AS (SELECT {_KEY.format("p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ?' ELSE '' END")} AS norm_key, p_partkey % 3 <> 0 AS old FROM part),
+@registry.query("J38_snapshot_groups", """WITH marked AS (SELECT p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ж' ELSE '' END AS norm_key, p_partkey % 3 <> 0 AS old FROM part WHERE p_partkey % 11 <> 0),
 groups_ AS (SELECT norm_key, COUNT(*) FILTER (old) AS old_members, COUNT(*) FILTER (NOT old) AS new_members FROM marked GROUP BY 1)
 SELECT norm_key, CASE WHEN old_members > 0 THEN 'NEW+EXISTING' ELSE 'NEW+NEW' END AS kind, old_members, new_members FROM groups_ WHERE new_members > 0 AND old_members + new_members > 1""")
 def snapshot_groups(spark, sf_dir):
-    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " ?").otherwise(""))
-    after = Views(spark, sf_dir).table("part").select(F.col("p_partkey").alias("member_id"), name.alias("name"))
-    return ops.snapshot_groups(after.filter("member_id % 3 != 0"), after, comparison_key(F.col("name")))
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " - Ж?").otherwise(""))
+    after = Views(spark, sf_dir).table("part").select(F.col("p_partkey").alias("member_id"), F.when(F.col("p_partkey") % 11 != 0, name).otherwise("¿?").alias("name"))
+    return ops.snapshot_groups(after.filter("member_id % 3 != 0"), after, norm_key(F.col("name")))
 
 
 @registry.query("H2_new_members", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")

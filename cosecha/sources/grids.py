@@ -1,57 +1,17 @@
-"""Workbook and table grids: rows of cells (file, row number, array of text) to typed rows."""
+"""Table grids (file, row number, cells) to typed rows, and archives."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cosecha.functions.text import parse_price
-
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_COLUMN = re.compile(r"[A-Z]+")
-
-
-def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row number, cells) of a workbook in the zipped XML format."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si"):
-                shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
-        for name in sorted(n for n in names if n.startswith("xl/worksheets/sheet")):
-            for row in ElementTree.fromstring(book.read(name)).iter(f"{_SHEET}row"):
-                cells: list[str] = []
-                for cell in row.iter(f"{_SHEET}c"):
-                    place = 0
-                    for letter in _COLUMN.match(cell.get("r", "A")).group():
-                        place = place * 26 + ord(letter) - 64
-                    value = cell.findtext(f"{_SHEET}v") or "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
-                    cells += [""] * (place - len(cells))
-                    cells[place - 1] = shared[int(value)] if cell.get("t") == "s" and value else value
-                yield name.rsplit("/", 1)[-1].removesuffix(".xml"), int(row.get("r", 0)), cells
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, cells) of every workbook under ``path``, each file in one task."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = list(sheet_rows(content))
-                columns = [pa.array([name] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-                yield pa.record_batch(columns, names=["path", "sheet", "row", "cells"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInArrow(decode, "path string, sheet string, row int, cells array<string>")
-
+from cosecha.sources.workbooks import price_of, read_workbooks, text_of, typed_cells  # noqa: F401
 
 def zipped_files(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, content) of the files in every zip under ``path``, without hidden ones."""
@@ -84,19 +44,22 @@ def daily_grid(grid: DataFrame) -> DataFrame:
     after the first are all empty names the category of the rows below it; columns that
     start with 'Var' and cells without a price are skipped.
     """
+    grid = typed_cells(grid)
     by_file = Window.partitionBy("file")
-    named = F.size(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: c.contains(","))) > 0
-    first = F.min(F.when(named & ~F.exists("cells", lambda c: parse_price(c).isNotNull()), F.col("row"))).over(by_file)
+    below = F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0)))
+    named = F.exists(below, lambda c: F.coalesce(c["text"].contains(","), F.lit(False)))
+    first = F.min(F.when(named & ~F.exists("cells", lambda c: price_of(c).isNotNull()), F.col("row"))).over(by_file)
     rows = grid.withColumn("_header", first)
     headers = rows.filter("row = _header").select("file", F.col("cells").alias("names"))
     body = rows.filter("row > _header")
-    alone = F.size(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: F.trim(c) != "")) == 0
-    body = body.withColumn("category", F.when(alone & (F.trim(F.get("cells", F.lit(0))) != ""), F.trim(F.get("cells", F.lit(0)))))
+    alone = ~F.exists(below, lambda c: text_of(c).isNotNull())
+    body = body.withColumn("category", F.when(alone, text_of(F.get("cells", F.lit(0)))))
     filled = F.last("category", ignorenulls=True).over(by_file.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     body = body.withColumn("category", filled).filter(~alone)
-    cells = body.join(headers, "file").select("file", "row", "category", F.trim(F.get("cells", F.lit(0))).alias("product"), "names", F.posexplode("cells").alias("at", "cell"))
-    market = F.trim(F.get("names", F.col("at")))
-    out = cells.filter("at > 0").select("file", "row", "category", "product", market.alias("market"), parse_price(F.col("cell")).alias("price"))
+    product = text_of(F.get("cells", F.lit(0)))
+    cells = body.join(headers, "file").select("file", "row", "category", product.alias("product"), "names", F.posexplode("cells").alias("at", "cell"))
+    market = text_of(F.get("names", F.col("at")))
+    out = cells.filter("at > 0").select("file", "row", "category", "product", market.alias("market"), price_of(F.col("cell")).alias("price"))
     return out.filter(F.col("price").isNotNull() & (F.col("market") != "") & ~F.col("market").startswith("Var"))
 
 

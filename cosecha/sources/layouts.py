@@ -1,20 +1,31 @@
-"""Layouts of published workbooks and documents: rows of text cells (file, row, cells) to typed rows."""
+"""Layouts of published workbooks and documents: rows of cells (file, row, cells), typed or plain text, to typed rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cosecha.functions.names import title_case
 from cosecha.functions.text import classification_code, month_number, parse_price, parse_spanish_date
+from cosecha.sources.workbooks import date_of, number_of, price_of, text_of, typed_cells
 
 
 def cell(k: int) -> Column:
-    """The k-th cell (from 0) without outer blanks; null if it is missing or empty."""
-    return F.nullif(F.trim(F.get("cells", F.lit(k))), F.lit(""))
+    """The k-th typed cell (from 0) as text without outer blanks; null if it is missing or empty."""
+    return text_of(F.get("cells", F.lit(k)))
 
 
-def _date(value: Column) -> Column:
-    return F.try_to_timestamp(F.left(value, F.lit(10)), F.lit("yyyy-MM-dd")).cast("date")
+def _date(k: int) -> Column:
+    return date_of(F.get("cells", F.lit(k)))
+
+
+def _price(k: int) -> Column:
+    return price_of(F.get("cells", F.lit(k)))
+
+
+def _number(k: int) -> Column:
+    return number_of(F.get("cells", F.lit(k)))
+
 
 
 def _month_start(year: Column, month: Column) -> Column:
@@ -23,48 +34,69 @@ def _month_start(year: Column, month: Column) -> Column:
 
 
 def milk_prices(grid: DataFrame) -> DataFrame:
-    """Milk prices of three layouts, told apart row by row: year and month, full date, or monthly ranges dated by the file's title."""
-    title = F.max(F.struct(parse_spanish_date(F.concat(F.lit("1 de "), F.regexp_extract(F.concat_ws(" ", "cells"), r"(?i)(\p{L}+ de \d{4})", 1))).alias("d"))).over(Window.partitionBy("file"))["d"]
-    rows = grid.withColumn("_title", title)
-    by_month = rows.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select("file", "row", _month_start(cell(0), cell(1)).alias("price_date"), cell(2).alias("department"), cell(4).alias("municipality"), F.lit(None).cast("double").alias("min_price"), F.lit(None).cast("double").alias("max_price"), parse_price(cell(6)).alias("avg_price"))
-    by_date = rows.filter(cell(0).rlike(r"^\d{4}-\d{2}-\d{2}")).select("file", "row", _date(cell(0)).alias("price_date"), cell(1).alias("department"), cell(3).alias("municipality"), F.lit(None).cast("double").alias("min_price"), F.lit(None).cast("double").alias("max_price"), parse_price(cell(5)).alias("avg_price"))
-    ranges = rows.filter(cell(0).rlike(r"^\d{1,2}$") & cell(2).rlike(r"^\d{4,5}$")).select("file", "row", F.col("_title").alias("price_date"), cell(1).alias("department"), cell(3).alias("municipality"), parse_price(cell(4)).alias("min_price"), parse_price(cell(5)).alias("max_price"), parse_price(cell(6)).alias("avg_price"))
-    priced = by_month.unionByName(by_date).unionByName(ranges)
-    return priced.filter(F.coalesce("avg_price", "min_price", "max_price").isNotNull() & F.col("price_date").isNotNull())
+    """Milk prices of three layouts, told apart row by row: year and month, full date, or monthly ranges dated by the file's title.
+
+    Dates are date cells, or texts that begin with one. Municipalities of the oldest layout get their capitals anew.
+    """
+    grid = typed_cells(grid)
+    words = F.concat_ws(" ", F.transform("cells", lambda c: c["text"]))
+    titled = parse_spanish_date(F.concat(F.lit("1 de "), F.regexp_extract(words, r"(?i)(\p{L}+\s+de\s+\d{4})", 1)))
+    rows = grid.withColumn("_title", F.max(titled).over(Window.partitionBy("file")))
+    none = F.lit(None).cast("double")
+
+    def priced(of: DataFrame, date: Column, department: int, municipality: Column, low: Column, high: Column, mean: int) -> DataFrame:
+        columns = {"price_date": date, "department": cell(department), "municipality": municipality, "min_price": low, "max_price": high, "avg_price": _price(mean)}
+        return of.select("file", "row", *(c.alias(n) for n, c in columns.items()))
+
+    dated = F.get("cells", F.lit(0))["kind"] == "date"
+    by_month = rows.filter(cell(0).rlike(r"^(19|20)\d{2}$"))
+    by_date = rows.filter(dated | cell(0).rlike(r"^\d{4}-\d{2}-\d{2}"))
+    ranges = rows.filter(~dated & cell(0).rlike(r"^\d{1,2}$") & cell(2).rlike(r"^\d{4,5}$"))
+    found = priced(by_month, _month_start(cell(0), cell(1)), 2, title_case(cell(4)), none, none, 6)
+    found = found.unionByName(priced(by_date, _date(0), 1, cell(3), none, none, 5))
+    found = found.unionByName(priced(ranges, F.col("_title"), 1, cell(3), _price(4), _price(5), 6))
+    return found.filter(F.coalesce("avg_price", "min_price", "max_price").isNotNull() & F.col("price_date").isNotNull())
 
 
 def rice_prices(grid: DataFrame) -> DataFrame:
-    """Rice prices of the old layout (year and month) and the new one (full date)."""
-    old = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select("file", "row", _month_start(cell(0), cell(1)).alias("price_date"), cell(2).alias("product"), cell(4).alias("municipality"), cell(6).alias("department"), parse_price(cell(7)).alias("avg_price"))
-    new = grid.filter(cell(0).rlike(r"^\d{4}-\d{2}-\d{2}")).select("file", "row", _date(cell(0)).alias("price_date"), cell(1).alias("product"), cell(3).alias("municipality"), cell(5).alias("department"), parse_price(cell(6)).alias("avg_price"))
-    return old.unionByName(new).filter("price_date is not null and avg_price is not null")
+    """Rice prices of the old layout (year and month) and the new one (full date, as a date cell or as text)."""
+    grid = typed_cells(grid)
+
+    def priced(of: DataFrame, date: Column, product: int, municipality: int, department: int, mean: int) -> DataFrame:
+        columns = {"price_date": date, "product": cell(product), "municipality": cell(municipality), "department": cell(department), "avg_price": _price(mean)}
+        return of.select("file", "row", *(c.alias(n) for n, c in columns.items()))
+
+    dated = (F.get("cells", F.lit(0))["kind"] == "date") | cell(0).rlike(r"^\d{4}-\d{2}-\d{2}")
+    old = priced(grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")), _month_start(cell(0), cell(1)), 2, 4, 6, 7)
+    return old.unionByName(priced(grid.filter(dated), _date(0), 1, 3, 5, 6)).filter("price_date is not null and avg_price is not null")
 
 
 def supply_rows(grid: DataFrame) -> DataFrame:
     """Arrivals of the layout without and with a classification code, told apart by the number of cells."""
-    date = _date(cell(1))
+    grid = typed_cells(grid)
     coded = F.size("cells") >= 10
-    last = lambda k: F.when(coded, cell(k + 1)).otherwise(cell(k))
-    rows = grid.filter(date.isNotNull()).select(
-        "file", "row", cell(0).alias("city_market"), date.alias("observation_date"), cell(2).alias("department_code"), cell(3).alias("municipality_code"), cell(4).alias("department"), cell(5).alias("municipality"), cell(6).alias("food_group"),
-        F.when(coded, classification_code(cell(7))).alias("cpc_code"), last(7).alias("product"), last(8).try_cast("double").alias("quantity_kg"),
-    )
-    return rows.filter("quantity_kg is not null")
+    quoted = lambda k: F.coalesce(classification_code(cell(k)), F.lit(""))
+    named = {"city_market": cell(0), "observation_date": _date(1), "department_code": quoted(2), "municipality_code": quoted(3)}
+    named |= {"department": cell(4), "municipality": cell(5), "food_group": cell(6), "cpc_code": F.when(coded, classification_code(cell(7)))}
+    named |= {"product": F.when(coded, cell(8)).otherwise(cell(7)), "quantity_kg": F.when(coded, _number(9)).otherwise(_number(8))}
+    rows = grid.select("file", "row", *(c.alias(n) for n, c in named.items()))
+    return rows.filter("city_market is not null and observation_date is not null and product is not null and quantity_kg is not null")
 
 
 def input_prices(grid: DataFrame) -> DataFrame:
     """Input prices of municipalities: year, month name, department, municipality, product, presentation if there is one, price."""
+    grid = typed_cells(grid)
     wide = F.size("cells") >= 9
-    rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select(
-        "file", "row", _month_start(cell(0), cell(1)).alias("price_date"), cell(2).alias("department_code"), cell(4).alias("municipality_code"), cell(6).alias("product"),
-        F.when(wide, cell(7)).alias("presentation"), parse_price(F.when(wide, cell(8)).otherwise(cell(7))).alias("avg_price"),
-    )
-    return rows.filter("price_date is not null and avg_price is not null")
+    named = {"price_date": _month_start(cell(0), cell(1)), "department_code": cell(2), "municipality_code": cell(4), "product": cell(6)}
+    named |= {"presentation": F.when(wide, cell(7)), "avg_price": F.when(wide, _price(8)).otherwise(_price(7))}
+    rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select("file", "row", *(c.alias(n) for n, c in named.items()))
+    return rows.filter("price_date is not null and product is not null and avg_price is not null")
 
 
 def department_input_prices(grid: DataFrame) -> DataFrame:
     """Input prices of departments: year, month name, department code and name, classification code, product, article, brand, registration, presentation, price."""
-    price = F.regexp_replace(cell(10), ",", ".").try_cast("double")
+    grid = typed_cells(grid)
+    price = F.coalesce(_number(10), F.regexp_replace(cell(10), ",", ".").try_cast("double"))
     rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select(
         "file",
         "row",
@@ -84,6 +116,7 @@ def department_input_prices(grid: DataFrame) -> DataFrame:
 
 def sheet_index(grid: DataFrame) -> DataFrame:
     """(file, sheet, input_group, subgroup) of an index sheet (file, row, cells): a number such as '1.' and a group, then numbers such as '1.1' and the names of its sheets."""
+    grid = typed_cells(grid)
     group = F.when(cell(0).rlike(r"^\d+\.$"), cell(1))
     filled = F.last(group, ignorenulls=True).over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
     rows = grid.withColumn("input_group", F.coalesce(filled, F.lit(""))).filter(cell(1).rlike(r"^\d+\.\d+$") & cell(2).isNotNull())
@@ -105,7 +138,7 @@ def data_sheets(grid: DataFrame) -> DataFrame:
 
 def food_codes(grid: DataFrame) -> DataFrame:
     """(product, cpc_code) of a correlation sheet (row from 1, cells): food in the third and code in the fourth column from row 10 on, the last of several."""
-    rows = grid.filter((F.col("row") >= 10) & (F.size("cells") >= 5)).select(cell(2).alias("product"), cell(3).alias("cpc_code"), "row")
+    rows = typed_cells(grid).filter((F.col("row") >= 10) & (F.size("cells") >= 5)).select(cell(2).alias("product"), cell(3).alias("cpc_code"), "row")
     return rows.filter("product is not null and cpc_code is not null").groupBy("product").agg(F.max_by("cpc_code", "row").alias("cpc_code"))
 
 
