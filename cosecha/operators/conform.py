@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -16,8 +18,10 @@ from cosecha.session import shared_folder
 
 #: Dimension rows that may be sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: What a comparison key is made of.
-KEY_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Characters from rare to frequent in names; what is not among them is rarest. Any order is right, this one is quick.
+RARE_FIRST = "0123456789wkxqyjzfhvgbpmctudlnrsioea "
+#: Characters of a key from which its marks are single letters.
+PAIRED = 256
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -114,35 +118,69 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def _letter_counts(key: Column) -> Column:
-    """How often each character of a comparison key stands in it."""
-    counts = (F.length(key) - F.length(F.translate(key, c, "")) for c in KEY_CHARACTERS)
-    return F.array(*counts)
+def _tokens(key: Column) -> Column:
+    """The characters of a key, each with how often it stood before it: what two keys share of these is what they share of letters. Rare ones come first."""
+    each = lambda c: F.transform(
+        F.sequence(F.lit(1), F.length(key) - F.length(F.replace(key, c, F.lit("")))), lambda k: F.struct((-k).alias("k"), F.instr(F.lit(RARE_FIRST), c).alias("r"), c.alias("c"))
+    )
+    numbered = F.flatten(F.transform(F.array_distinct(F.split(key, "")), each))
+    return F.transform(F.sort_array(numbered), lambda t: F.concat(t["c"], t["k"].cast("string")))
+
+
+def _signatures(keys: DataFrame, key: str, threshold: float, reach: Sequence[int]) -> DataFrame:
+    """(key, tokens, band, mark): what a key must share with one of length band ``band``, for its own band and those ``reach`` beside it.
+
+    A ratio t of 2 m / (a + b) needs m >= t a / (2 - t) shared tokens whatever b is, so of the first a - m + s tokens of each,
+    rare ones first, s are shared. s is two from a length on where two must be, so marks are pairs; one for single letters and very long keys.
+    """
+    span = (2 - threshold) / threshold * (1 + 1e-9)
+    size = F.length(key)
+    rows = keys.withColumns({"tokens": _tokens(F.col(key)), "_own": F.floor(F.log(size.cast("double")) / math.log(span))})
+    rows = rows.withColumn("band", F.explode(F.array(*[F.col("_own") + k for k in reach])))
+    shortest = F.pow(F.lit(span), F.col("band"))
+    pairs = (threshold * shortest / (2 - threshold) > 1.001) & (shortest < PAIRED)
+    first = (size - F.ceil(size * (threshold / (2 - threshold)) - 1e-9) + F.when(pairs, 2).otherwise(1)).cast("int")
+    rows = rows.withColumn("_first", F.slice("tokens", F.lit(1), first))
+    two = F.flatten(F.transform("_first", lambda x, i: F.transform(F.slice("_first", i + 2, F.size("_first")), lambda y: F.xxhash64(x, y))))
+    marks = F.when(pairs, two).otherwise(F.transform("_first", lambda x: F.xxhash64(x)))
+    return rows.select(key, "tokens", "band", F.explode(marks).alias("mark"))
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, ratio): all pairs of the distinct keys ``left`` (a) and ``right`` (b) whose matching-blocks ratio reaches ``threshold`` (above 0).
+
+    Pairs meet on marks of rare letters and on length, by an equi-join that loses none; those that share enough letters get
+    their ratio. Empty keys are alike only with each other.
+    """
+    marked = _signatures(left.filter("a != ''"), "a", threshold, (0,)).withColumnRenamed("tokens", "_a")
+    others = _signatures(right.filter("b != ''"), "b", threshold, (-1, 0, 1)).withColumnRenamed("tokens", "_b")
+    enough = lambda m: 2.0 * m / (F.length("a") + F.length("b")) >= threshold
+    met = marked.join(others, ["band", "mark"]).filter(enough(F.least(F.length("a"), F.length("b")))).select("a", "b", "_a", "_b").dropDuplicates(["a", "b"])
+    close = met.filter(enough(F.size(F.array_intersect("_a", "_b")))).select("a", "b").withColumn("ratio", matching_ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    return close.unionByName(left.filter("a = ''").join(right.filter("b = ''"), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("ratio")))
 
 
 def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """The most alike member of each value (value, name, ratio) at or above ``threshold``.
+    """The most alike member of each value (value, name, ratio) at or above ``threshold``; the smallest name on ties.
 
-    Each distinct key of a value without an equal member key meets every distinct key of
-    the members, in blocks; the ratio is taken where lengths and shared characters let it
-    reach the threshold, which loses no match. The cost is the product of the two numbers.
+    An equal key is taken first. Keys are distinct before they meet, and names of one key have one ratio.
     """
-    keyed = values.select("value").distinct().withColumn("_a", comparison_key(F.col("value"))).filter("_a is not null")
-    # Names of one key have one ratio, so only the first of them can be the best.
-    right = members.select("name", comparison_key(F.col("name")).alias("_b")).filter("_b is not null").groupBy("_b").agg(F.min("name").alias("name"))
-    left = keyed.select("_a").distinct()
+    keyed = values.select("value").distinct().withColumn("a", comparison_key(F.col("value"))).filter("a is not null")
+    right = members.select("name", comparison_key(F.col("name")).alias("b")).filter("b is not null").groupBy("b").agg(F.min("name").alias("name"))
+    left = keyed.select("a").distinct()
     # From 200 characters on the ratio leaves out frequent ones, also of equal keys.
-    same = left.join(right, F.col("_a") == F.col("_b")).filter(F.length("_a") < 200).select("_a", "name", F.lit(1.0).alias("ratio"))
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = left.join(same.select("_a"), "_a", "left_anti").repartition(parts, "_a").withColumns({"_m": F.length("_a"), "_p": _letter_counts(F.col("_a"))})
-    right = right.withColumns({"_n": F.length("_b"), "_q": _letter_counts(F.col("_b"))})
-    # ratio = 2 m / (a + b) with m at most the shorter length, and at most the characters that both have.
-    can_reach = lambda m: 2.0 * m / (F.col("_m") + F.col("_n")) >= threshold
-    shared = F.aggregate(F.zip_with("_p", "_q", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    pairs = rest.join(small(right), can_reach(F.least("_m", "_n")) & can_reach(shared))
-    pairs = pairs.withColumn("ratio", matching_ratio("_a", "_b")).filter(F.col("ratio") >= threshold)
-    best = first_per_key(pairs.select("_a", "name", "ratio"), ["_a"], F.desc("ratio"), F.asc("name")).select("_a", "name", "ratio")
-    return keyed.join(same.filter(F.col("ratio") >= threshold).unionByName(best), "_a").select("value", "name", "ratio")
+    same = left.join(right, F.col("a") == F.col("b")).filter(F.length("a") < 200).select("a", "name", F.lit(1.0).alias("ratio"))
+    pairs = fuzzy_pairs(left.join(same.select("a"), "a", "left_anti"), right.select("b"), threshold).join(right, "b")
+    best = first_per_key(pairs.select("a", "name", "ratio"), ["a"], F.desc("ratio"), F.asc("name")).select("a", "name", "ratio")
+    return keyed.join(same.unionByName(best), "a").select("value", "name", "ratio")
+
+
+def fuzzy_matches(values: DataFrame, members: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Every member of each value (value, name, ratio) at or above ``threshold``."""
+    keyed = values.select("value").distinct().withColumn("a", comparison_key(F.col("value"))).filter("a is not null")
+    named = members.select("name").distinct().withColumn("b", comparison_key(F.col("name"))).filter("b is not null")
+    pairs = fuzzy_pairs(keyed.select("a").distinct(), named.select("b").distinct(), threshold)
+    return keyed.join(pairs, "a").join(named, "b").select("value", "name", "ratio")
 
 
 def forward_filled(rows: DataFrame, value: str, order: str, within: list[str]) -> Column:

@@ -96,6 +96,30 @@ def fuzzy_best_match(spark, sf_dir):
     return conform.fuzzy_best(staging.select(F.col("raw").alias("value")), members)
 
 
+# The longest common piece of two stretches, the first of equal ones; then those to its left and right.
+_PIECE = """list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+  {'k': coalesce(list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: a[i + 1:i + n] = b[j + 1:j + n])), 0), 'i': -i, 'j': -j}))))"""
+
+
+@registry.query("D15_fuzzy_all_matches", f"""
+WITH RECURSIVE staging AS (SELECT DISTINCT {_RAW} AS value, CASE p_partkey % 5 WHEN 1 THEN 'xx ' || p_name || ' cafe' WHEN 2 THEN 'xx ' || p_name || ' cafe' WHEN 3 THEN 'yy ' || p_name ELSE p_name END AS a FROM part),
+names AS (SELECT DISTINCT p_name AS b FROM part),
+pairs AS (SELECT a, b FROM (SELECT DISTINCT a FROM staging), names WHERE 2.0 * least(length(a), length(b)) / (length(a) + length(b)) >= 0.6),
+pieces AS (
+  SELECT a, b, alo, ahi, blo, bhi, {_PIECE} AS m FROM (SELECT a, b, 0 AS alo, length(a) AS ahi, 0 AS blo, length(b) AS bhi FROM pairs)
+  UNION ALL
+  SELECT a, b, alo, ahi, blo, bhi, {_PIECE} AS m FROM (
+    SELECT a, b, c.alo, c.ahi, c.blo, c.bhi FROM (
+      SELECT a, b, UNNEST([{{'alo': alo, 'ahi': -m.i, 'blo': blo, 'bhi': -m.j}}, {{'alo': m.k - m.i, 'ahi': ahi, 'blo': m.k - m.j, 'bhi': bhi}}]) AS c FROM pieces WHERE m.k > 0)
+    WHERE c.alo < c.ahi AND c.blo < c.bhi)),
+ratios AS (SELECT a, b, 2.0 * SUM(m.k) / (length(a) + length(b)) AS ratio FROM pieces GROUP BY a, b)
+SELECT value, b AS name, round(ratio, 6) AS ratio, ratio >= 0.7 AS over_70, ratio >= 0.85 AS over_85 FROM staging JOIN ratios USING (a) WHERE ratio >= 0.6""")
+def fuzzy_all_matches(spark, sf_dir):
+    staging, _, members = _names(spark, sf_dir)
+    found = conform.fuzzy_matches(staging.select(F.col("raw").alias("value")), members, 0.6)
+    return found.select("value", "name", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= 0.7).alias("over_70"), (F.col("ratio") >= 0.85).alias("over_85"))
+
+
 @registry.query("F11_forward_fill", """
 SELECT event_id, user_id, LAST_VALUE(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events""")
 def forward_fill(spark, sf_dir):
