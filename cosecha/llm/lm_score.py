@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosecha.llm.tables import scratch, small_enough, written
+from cosecha.llm.tables import free_name, scratch, small_enough, written
 from cosecha.llm.text_kernels import mix, word_hashes, word_spans
 
 #: Strength of the unigram model in the bigram model, in tokens.
@@ -249,7 +249,8 @@ def with_score(docs: DataFrame, corpus: DataFrame | None = None, is_target: str
     # Rows that repeat a document have equal scores.
     scores = _scored(rows, smoothing).groupBy("_row").agg(*(F.first(c).alias(c) for c in ("n_tokens", "target_loss", "background_loss")))
     score = F.col("s.background_loss") - F.col("s.target_loss")
-    joined = docs.withColumn("_lm_row", row).alias("d").join(written(scores, "scores").alias("s"), F.col("d._lm_row") == F.col("s._row"), "left")
+    key = free_name("_lm_row", columns)
+    joined = docs.withColumn(key, row).alias("d").join(written(scores, "scores").alias("s"), F.col(f"d.`{key}`") == F.col("s._row"), "left")
     return joined.select(*(F.col(f"d.`{c}`") for c in columns), F.coalesce("s.n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "s.target_loss", "s.background_loss", score.alias("score"))
 
 
@@ -259,10 +260,11 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, without: tuple[str,
     A null doc_id is never a target.
     """
     with scratch(docs.sparkSession) as keep:
-        marks = written(target_ids.select(F.col("doc_id").alias("_target")).filter("_target is not null").distinct(), "targets")
+        mark = free_name("_target", docs.columns)
+        marks = written(target_ids.select(F.col("doc_id").alias(mark)).filter(F.col(mark).isNotNull()).distinct(), "targets")
         side = F.broadcast(marks) if small_enough(marks, BROADCAST_ROWS) else marks
-        marked = docs.join(side, F.col("doc_id") == F.col("_target"), "left").withColumn("_target", F.col("_target").isNotNull())
-        return keep(with_score(marked, is_target="_target").drop("_target", *without), "scored")
+        marked = docs.join(side, F.col("doc_id") == F.col(mark), "left").withColumn(mark, F.col(mark).isNotNull())
+        return keep(with_score(marked, is_target=mark).drop(mark, *without), "scored")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -117,3 +117,12 @@ def test_clashing_names_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b", True, 5), (1, "a b", True, 6), (None, "c", None, 7)], "doc_id long, text string, is_target boolean, _row int")
     got = with_score(docs).collect()
     assert sorted((r["_row"], r["n_tokens"]) for r in got) == [(5, 2), (6, 2), (7, 1)] and got[0].asDict().keys() >= {"is_target", "_row", "score"}
+
+
+def test_columns_named_like_those_made_inside_pass_through(spark):
+    rows = [(1, "uno dos tres", "a", 5), (2, "uno dos", "b", 6), (None, None, "c", 7), (2, "uno dos", "b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _target string, _lm_row long")
+    got = lm_score.score_documents(docs, spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert sorted((r["_target"], r["_lm_row"]) for r in got) == [("a", 5), ("b", 6), ("b", 6), ("c", 7)]
+    plain = lm_score.score_documents(docs.select("doc_id", "text"), spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert sorted(str(r["score"]) for r in got) == sorted(str(r["score"]) for r in plain)
