@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from cosecha.llm.text_kernels import giving_back
+
 #: Pre-tokens whose encoding a worker remembers, longest bytes of one that it does, and bytes encoded at a time.
 REMEMBERED = 300_000
 REMEMBERED_BYTES = 64
@@ -251,7 +253,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") ->
             # Workers outlive their tasks: tables and remembered pre-tokens would stand beside the next stage's rows.
             _encoder.cache_clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -270,4 +272,4 @@ def digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 decoded.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

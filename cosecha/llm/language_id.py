@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cosecha.llm.text_kernels import giving_back
+
 from cosecha.llm.tables import free_name
 
 UNKNOWN = "und"
@@ -93,7 +95,7 @@ def learn_profiles(docs: DataFrame, most: int = PROFILE) -> DataFrame:
         yield from rows(list(held))
 
     labelled = docs.select("text", "lang").filter("text is not null and lang is not null")
-    counts = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(giving_back(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # First each slice's best, then the best of those: no task ranks a whole language.
     for by in (["lang", "slice"], ["lang"]):
         counts = counts.withColumn("slice", F.pmod(F.xxhash64("gram"), F.lit(64))) if "slice" in by else counts
@@ -147,7 +149,7 @@ def with_language(docs: DataFrame, model: RankModel, text: str = "text") -> Data
             new = [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(giving_back(predict), schema)
 
 
 def learned(docs: DataFrame, most: int = PROFILE) -> RankModel:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from cosecha.llm.components import connected
 from cosecha.llm.tables import scratch, small_enough, written
-from cosecha.llm.text_kernels import chunks, mix, text_bytes, word_hashes, word_spans
+from cosecha.llm.text_kernels import chunks, giving_back, mix, text_bytes, word_hashes, word_spans
 
 #: Sets of a cell that one task compares at a time; a set of more than WEIGHT elements counts as several.
 BLOCK = 256
@@ -208,7 +208,7 @@ def signed_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 columns += [pa.array(k.view(np.int64), mask=size == 0) for k in (key, check)]
                 yield pa.record_batch([*columns, *(pa.array(x.astype(np.int64)) for x in (cells, *needs))], names=names)
 
-    return docs.select("row_id", "doc_id", "text").mapInArrow(sign, ", ".join(f"{n} long" for n in names))
+    return docs.select("row_id", "doc_id", "text").mapInArrow(giving_back(sign), ", ".join(f"{n} long" for n in names))
 
 
 def _five(values: np.ndarray) -> bytes:
@@ -308,8 +308,8 @@ def shared_cells(docs: DataFrame, words: int, percent: int, parts: int) -> DataF
         if held:
             yield closed()
 
-    packed = docs.select("text").mapInArrow(emit, "to long, part long, sure boolean, cells binary, sets binary")
-    return packed.repartition("to").sortWithinPartitions("part", "sure").mapInArrow(meet, "cell long, short long, down long")
+    packed = docs.select("text").mapInArrow(giving_back(emit), "to long, part long, sure boolean, cells binary, sets binary")
+    return packed.repartition("to").sortWithinPartitions("part", "sure").mapInArrow(giving_back(meet), "cell long, short long, down long")
 
 
 def _apart(rows: DataFrame, by: str) -> DataFrame:
@@ -375,7 +375,7 @@ def member_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
                         held = 0
         yield rows()
 
-    return texts.select("text", "set_key").mapInArrow(make, "set_key long, weight long, elements binary, bitmap binary")
+    return texts.select("text", "set_key").mapInArrow(giving_back(make), "set_key long, weight long, elements binary, bitmap binary")
 
 
 def _unit_members(sets: DataFrame, units: DataFrame, what: str) -> DataFrame:
@@ -502,7 +502,7 @@ def _per_unit(members: DataFrame, percent: int, find: Callable, names: list[str]
         yield taken()
 
     dealt = members.repartition("i", "j").sortWithinPartitions("i", "j")
-    return dealt.mapInArrow(join, ", ".join(f"{n} long" for n in names))
+    return dealt.mapInArrow(giving_back(join), ", ".join(f"{n} long" for n in names))
 
 
 def _units(rows: DataFrame, block: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cosecha.llm.tables import free_name, scratch, written
-from cosecha.llm.text_kernels import CHUNK_BYTES, SpanHasher, text_bytes
+from cosecha.llm.text_kernels import CHUNK_BYTES, SpanHasher, giving_back, text_bytes
 
 GRAM = 100
 HOT_CELL = 256
@@ -105,7 +105,7 @@ def contexts(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
                 columns += [pa.array(low + shift), pa.array(high + shift), pa.array((anchor - low).astype(np.int32))]
                 yield pa.record_batch(columns, names=["cell", "context", "_row_key", "doc_id", "low", "high", "lead"])
 
-    return docs.select("_row_key", "doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("_row_key", "doc_id", "text").mapInArrow(giving_back(cut), schema)
 
 
 def suffix_levels(data: np.ndarray, ends: np.ndarray, cells: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
@@ -225,7 +225,7 @@ def _cell_ranges(members: DataFrame, length: int, first_stays: bool) -> DataFram
             yield _solve_cells(held, length, first_stays)
 
     dealt = members.repartition("cell").sortWithinPartitions("cell", "first", "context")
-    return dealt.select("cell", "context", "bytes").mapInArrow(solve, "cell long, context long, begin long, end long")
+    return dealt.select("cell", "context", "bytes").mapInArrow(giving_back(solve), "cell long, context long, begin long, end long")
 
 
 def _split_ranges(members: DataFrame, length: int, first_stays: bool) -> DataFrame:
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, first_stays: bool = True,
             new = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *new], names=[*plain, *added])
 
-    return joined.mapInArrow(apply, schema).withColumnsRenamed({new: old for old, new in own.items()})
+    return joined.mapInArrow(giving_back(apply), schema).withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def digest(docs: DataFrame) -> DataFrame:
