@@ -80,23 +80,27 @@ def recognised_prices(spark, sf_dir):
     return layouts.recognised_prices(rows)
 
 
-_FOUR = '<table><tr><th>Día</th><th>Boletín</th><th>Anexos</th><th>Ciudades</th></tr><tr><td>5 de enero</td><td><a href="/files/b.pdf">Boletín</a></td><td><a href="/files/anex-5ene2021.xlsx"><b>Anexo</b></a></td><td><a href="/files/c.zip">Informes por ciudades</a></td></tr></table>'
-_THREE = '<table><tr><td>7 de marzo de 2017</td><td><a href="/files/bol_x.pdf">Doc</a></td><td><a href="/files/mayoristas_marzo_8_2017.xlsx">Excel</a></td></tr></table>'
-_BULLETS = '<ul><li><a href="/files/bol_ago_31_2012.pdf">Boletín - 31 de agosto</a></li><li><a href="/files/mayoristas_anexo_x">Anexo - 31 de agosto</a></li></ul>'
-_SIMPLE = '<a href="/files/mayoristas_julio_31_2012.xls">31 de julio de 2012</a> <a href="/files/otro.xls">x</a>'
-_PAGES = [("https://example.org/p", _FOUR, "2021-01-31"), ("https://example.org/p", _THREE, "2017-03-31"), ("https://example.org/agosto-de-2012-1", _BULLETS, "2012-08-31"), ("https://example.org/p", _SIMPLE, "2012-07-31"), ("https://example.org/p", _SIMPLE, None)]
+# Pages of each layout, with addresses and texts of a part; quotes of both kinds, entities, a comment and a nested table.
+_FOUR = """concat('<table class=x><tr><th>Día<th>Boletín<th>Anexos<th>Ciudades</tr><tr><td>5 de enero</td><td><a href="/files/b', k, '.pdf">Boletín</a></td><td><A class="x" HREF=\\'/files/anex-', k, '&amp;x.xlsx\\'><b>Anexo</b> ', p_name, '</A></td>',
+  '<td><table><tr><td>x</table><a href=/files/c', k, '.zip>Informes por ciudades</a></td></tr></table><!-- <a href="/files/no.pdf">no</a> --><a href="/files/out.pdf">fuera</a>')"""
+_THREE = """concat('<table><tr><td>7 de marzo de 2017<td><a href="/files/bol_', k, '.pdf">Doc</a><td><a href="/files/mayoristas_marzo_8_2017.xlsx">', p_name, '</a></tr></table>')"""
+_BULLETS = """concat('<ul><li><a href="/files/bol_ago_31_2012.pdf">Boletín - 31 de agosto</a></li><li><a href="/files/mayoristas_', k, '">Anexo - 31 de agosto</a></li></ul>')"""
+_SIMPLE = """concat('<a href="/files/mayoristas_julio_31_2012.xls">31 de julio de 2012</a> <a href="/files/otro', k, '.xls">', p_name, '</a>')"""
+_PAGES = [("/p-2021", _FOUR, "CAST(NULL AS DATE)"), ("/p", _FOUR, "DATE '2021-01-31'"), ("/p", _THREE, "DATE '2017-03-31'"), ("/agosto-de-2012-1", _BULLETS, "DATE '2012-08-31'"), ("/p", _SIMPLE, "DATE '2012-07-31'"), ("/p", _SIMPLE, "CAST(NULL AS DATE)")]
 
 
 @registry.query("A1_page_files", """
-SELECT p_partkey AS page_id, v.href, v.text, v.kind, v.category, v.date FROM part JOIN (VALUES
-  (0, '/files/anex-5ene2021.xlsx', 'Anexo', 'excel', 'anexo', '2021-01-05'), (0, '/files/c.zip', 'Informes por ciudades', 'zip', 'informes_ciudades', '2021-01-05'),
-  (1, '/files/mayoristas_marzo_8_2017.xlsx', 'Excel', 'excel', 'anexo', '2017-03-07'), (2, '/files/mayoristas_anexo_x', 'Anexo - 31 de agosto', 'excel', 'anexo', '2012-08-31'),
-  (3, '/files/mayoristas_julio_31_2012.xls', '31 de julio de 2012', 'excel', 'anexo', '2012-07-31'), (4, '/files/mayoristas_julio_31_2012.xls', '31 de julio de 2012', 'excel', 'anexo', '2012-07-31'),
-  (4, '/files/otro.xls', 'x', 'excel', NULL, NULL)) v(k, href, text, kind, category, date) ON p_partkey % 5 = v.k""")
+SELECT p_partkey AS page_id, v.href, v.text, v.kind, v.category, v.date FROM part, LATERAL (VALUES
+  (0, '/files/anex-' || p_partkey || '&x.xlsx', 'Anexo' || p_name, 'excel', 'anexo', '2021-01-05'), (0, '/files/c' || p_partkey || '.zip', 'Informes por ciudades', 'zip', 'informes_ciudades', '2021-01-05'),
+  (1, '/files/anex-' || p_partkey || '&x.xlsx', 'Anexo' || p_name, 'excel', 'anexo', '2021-01-05'), (1, '/files/c' || p_partkey || '.zip', 'Informes por ciudades', 'zip', 'informes_ciudades', '2021-01-05'),
+  (2, '/files/mayoristas_marzo_8_2017.xlsx', p_name, 'excel', 'anexo', '2017-03-07'), (3, '/files/mayoristas_' || p_partkey, 'Anexo - 31 de agosto', 'excel', 'anexo', '2012-08-31'),
+  (4, '/files/mayoristas_julio_31_2012.xls', '31 de julio de 2012', 'excel', 'anexo', '2012-07-31'), (5, '/files/mayoristas_julio_31_2012.xls', '31 de julio de 2012', 'excel', 'anexo', '2012-07-31'),
+  (5, '/files/otro' || p_partkey || '.xls', p_name, 'excel', NULL, NULL)) v(k, href, text, kind, category, date) WHERE p_partkey % 6 = v.k""")
 def page_files(spark, sf_dir):
-    place = (F.col("p_partkey") % 5).cast("int")
-    one = lambda k: F.get(F.array(*[F.lit(p[k]) for p in _PAGES]), place)
-    pages = Views(spark, sf_dir).table("part").select(F.col("p_partkey").alias("page_id"), one(0).alias("url"), one(1).alias("html"), one(2).cast("date").alias("target"))
+    one = lambda k: F.expr(f"case p_partkey % {len(_PAGES)} {' '.join(f'when {n} then {p[k]}' for n, p in enumerate(_PAGES))} end")
+    part = Views(spark, sf_dir).table("part").withColumn("k", F.col("p_partkey").cast("string"))
+    url = F.concat(F.lit("https://example.org"), F.get(F.array(*[F.lit(p[0]) for p in _PAGES]), (F.col("p_partkey") % len(_PAGES)).cast("int")))
+    pages = part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), one(1).alias("html"), one(2).cast("date").alias("target"))
     return links.page_files(pages).withColumn("date", F.col("date").cast("string"))
 
 

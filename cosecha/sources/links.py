@@ -2,21 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cosecha.functions.text import MONTHS, calendar_date, dated_text, named_month, short_month
 
 
+_ANCHORS = "place int, href string, text string, label string, cell int, cells int, first string"
+
+
+class _Page(HTMLParser):
+    """The anchors of a page in order, each with the place of its table cell in its row, and that row's first cell."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self._anchor: dict | None = None
+        self._pieces: list[str] = []
+        # Rows that are open, the innermost last: texts of their cells, and what waits for the row's end.
+        self._rows: list[tuple[list[list[str]], list[dict]]] = []
+        # Whether a cell of each open row is open, and how many rows were open where each open table began.
+        self._inside: list[bool] = []
+        self._tables: list[int] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "table":
+            self._tables.append(len(self._rows))
+        elif tag == "tr":
+            # A row that was left open ends where the next of its table begins.
+            self._end_rows()
+            self._rows.append(([], []))
+            self._inside.append(False)
+        elif tag in ("td", "th") and self._rows:
+            self._rows[-1][0].append([])
+            self._inside[-1] = True
+        elif tag == "a":
+            self._end_anchor()
+            href = dict(attrs).get("href")
+            if href is not None:
+                row = self._rows[-1] if self._rows and self._inside[-1] else None
+                self._anchor = {"href": href, "cell": len(row[0]) - 1 if row else None, "cells": None, "first": None}
+                if row:
+                    row[1].append(self._anchor)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self._end_anchor()
+        elif tag in ("td", "th") and self._rows:
+            self._inside[-1] = False
+        elif tag == "tr":
+            self._end_rows()
+        elif tag == "table":
+            self._end_rows()
+            del self._tables[-1:]
+
+    def handle_data(self, data: str) -> None:
+        if self._anchor is not None:
+            self._pieces.append(data)
+        for texts, _ in self._rows:
+            if texts:
+                texts[-1].append(data)
+
+    def _end_anchor(self) -> None:
+        if self._anchor is not None:
+            whole = "".join(self._pieces)
+            self.found.append(self._anchor | {"text": whole.strip(" "), "label": _strings(self._pieces), "of": self._anchor})
+            self._anchor, self._pieces = None, []
+
+    def _end_rows(self) -> None:
+        """End the open rows of the innermost table."""
+        while len(self._rows) > (self._tables[-1] if self._tables else 0):
+            texts, anchors = self._rows.pop()
+            self._inside.pop()
+            for anchor in anchors:
+                anchor.update(cells=len(texts), first=_strings(texts[0]) if texts else None)
+
+    def anchors(self, html: str) -> list[dict]:
+        self.feed(html)
+        self.close()
+        self._end_anchor()
+        self._tables = []
+        self._end_rows()
+        return [f | {"cells": f["of"]["cells"], "first": f["of"]["first"]} for f in self.found]
+
+
+def _strings(pieces: list[str]) -> str:
+    """Texts without blanks at their ends, one after another."""
+    return "".join(p.strip() for p in pieces)
+
+
+def page_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
+    """A row for each anchor with an address: page_id, place from 0, href, text and label (each piece of text without outer blanks).
+
+    Inside tables also the cell's place in its row, how many cells the row has and the text of its first. Attributes may be quoted
+    in any way, entities are resolved, comments and scripts are no part of a page; pages are read whole, one at a time.
+    """
+    names = [f.name for f in StructType.fromDDL(_ANCHORS)]
+    schema = StructType([pages.schema["page_id"], *StructType.fromDDL(_ANCHORS)])
+    arrow = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, page in enumerate(batch.column(1)):
+                found = _Page().anchors(page.as_py() or "")
+                if found:
+                    columns = [pa.array([x if n == "place" else f[n] for x, f in enumerate(found)], arrow.field(n).type) for n in names]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(found))), *columns], names=["page_id", *names])
+
+    return pages.select("page_id", html).mapInArrow(read, schema)
+
+
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row for each anchor with an address: page_id, place from 0, href and text (tags and outer blanks gone)."""
-    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("label"))
-    each = pages.select("page_id", F.posexplode(both).alias("place", "link"))
-    label = F.trim(F.regexp_replace(F.col("link.label"), "<[^>]*>", ""))
-    return each.select("page_id", "place", F.col("link.href").alias("href"), label.alias("text"))
+    return page_anchors(pages, html).select("page_id", "place", "href", "text")
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -77,48 +181,31 @@ def page_layout(target: Column) -> Column:
     return F.when(target.isNull(), "current").when(from_("2020-03-01"), "four_column").when(from_("2015-12-01"), "three_column").when(from_("2012-08-01"), "bullet_list").otherwise("simple_links")
 
 
-def _cell_links(html: Column) -> Column:
-    """(href, label) of the anchors in ``html`` that point to files."""
-    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(pattern), F.lit(2)).alias("label"))
-    return F.filter(both, lambda x: x["href"].contains("/files/"))
-
-
 def page_files(pages: DataFrame) -> DataFrame:
-    """File links of ``pages`` (page_id, url, html, target: date or null) by their layout: page_id, place, href, text, kind, category, date.
+    """File links of ``pages`` (page_id, url, html, target: date or null) by their layout: page_id, href, text, kind, category, date.
 
-    Tables: rows of cells; with four columns the third holds annexes and the fourth reports
-    of cities, with three the last holds annexes; the row's first cell has the date, with
-    the target's year or the page address's. Lists: labels 'Anexo - 31 de agosto', the year
-    from the page's address. Simple links: the label is the date. Otherwise, and where a
-    table has none, all file links. A date that no text gives comes from the file's address.
+    Current pages are tables of four columns: the third holds annexes and the fourth reports of cities; with three columns the
+    last holds annexes. The row's first cell has the date, with the target's year or the page address's. Lists: labels 'Anexo - 31 de
+    agosto', the year from the page's address. Simple links: the label is the date. A date that no text gives comes from
+    the file's address. A page whose layout gives no link has all its file links, by their addresses alone.
     """
-    layout = page_layout(F.col("target"))
-    page_year = F.nullif(F.regexp_extract("url", r"(\d{4})", 1), F.lit("")).try_cast("int")
-    base = pages.select("page_id", "html", layout.alias("layout"), page_year.alias("page_year"), F.coalesce(F.year("target"), page_year).alias("year"))
-    all_of = lambda html, pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    plain = lambda html: F.trim(F.regexp_replace(html, "<[^>]*>", ""))
-
-    tables = base.filter(F.col("layout").isin("four_column", "three_column")).withColumn("tr", F.explode(all_of("html", r"(?is)<tr[^>]*>(.*?)</tr>")))
-    cells = tables.withColumn("cells", all_of("tr", r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>")).filter(F.size("cells") > 0)
-    four = F.array(F.struct(F.lit(2).alias("at"), F.lit("anexo").alias("category")), F.struct(F.lit(3).alias("at"), F.lit("informes_ciudades").alias("category")))
-    last = F.when(F.size("cells") >= 3, F.array(F.struct((F.size("cells") - 1).alias("at"), F.lit(None).cast("string").alias("category"))))
-    cells = cells.withColumns({"dated": dated_text(plain(F.get("cells", F.lit(0))), F.col("year")), "column": F.explode(F.when(F.col("layout") == "four_column", four).otherwise(last))})
-    from_tables = cells.withColumn("link", F.explode(_cell_links(F.get("cells", F.col("column.at"))))).select("page_id", "link.href", plain(F.col("link.label")).alias("text"), "column.category", "dated", "layout")
-
-    flat = base.withColumn("link", F.explode(_cell_links(F.col("html")))).select("page_id", "layout", "page_year", "link.href", plain(F.col("link.label")).alias("text"))
-    lists = flat.filter((F.col("layout") == "bullet_list") & F.lower("text").startswith("anexo")).withColumn("dated", dated_text(F.col("text"), F.col("page_year")))
-    simple = flat.filter((F.col("layout") == "simple_links") & F.lower("href").rlike("mayoristas|sipsa")).withColumn("dated", dated_text(F.col("text")))
-    old = lists.unionByName(simple).withColumn("category", F.lit("anexo"))
-    shaped = from_tables.unionByName(old.select(*from_tables.columns))
-    rest = flat.join(shaped.select("page_id").distinct(), "page_id", "left_anti").withColumns({"dated": dated_text(F.col("text")), "category": F.lit(None).cast("string")})
-    found = shaped.unionByName(rest.select(*from_tables.columns))
-
-    kind = file_kind(F.col("href"), F.col("text"))
-    kind = F.when(F.col("layout").isin("bullet_list", "simple_links"), F.coalesce(kind, F.lit("excel"))).otherwise(kind)
-    category = F.coalesce("category", link_kind(F.col("href"), F.col("text")), F.when(F.col("layout") == "three_column", "anexo"))
-    out = found.select("page_id", "href", "text", kind.alias("kind"), category.alias("category"), F.coalesce("dated", url_date(F.col("href"))).alias("date"))
-    return out.filter("kind is not null")
+    year = F.nullif(F.regexp_extract("url", r"(\d{4})", 1), F.lit("")).try_cast("int")
+    base = pages.select("page_id", page_layout(F.col("target")).alias("layout"), year.alias("page_year"), F.coalesce(F.year("target"), year).alias("year"))
+    links = page_anchors(pages).filter(F.col("href").contains("/files/")).join(base, "page_id").withColumn("text", F.col("label"))
+    layout, text, href = F.col("layout"), F.col("text"), F.col("href")
+    four, three = layout.isin("four_column", "current") & F.col("cell").isin(2, 3), (layout == "three_column") & (F.col("cells") >= 3) & (F.col("cell") == F.col("cells") - 1)
+    listed = (layout == "bullet_list") & F.lower(text).startswith("anexo")
+    simple = (layout == "simple_links") & F.lower(href).rlike("mayoristas|sipsa")
+    shaped = F.coalesce(four | three | listed | simple, F.lit(False))
+    kind = F.coalesce(file_kind(href, text), F.when(listed | simple, "excel"))
+    fixed = F.when(four & (F.col("cell") == 3), "informes_ciudades").when(shaped & ~three, "anexo")
+    category = F.coalesce(fixed, link_kind(href, text), F.when(three, "anexo"))
+    # The row's date, or the label's; where no year stands, that of the target or the page, and none in simple links.
+    in_row = four | three
+    said = dated_text(F.when(in_row, F.col("first")).when(listed | simple, text), F.when(in_row, F.col("year")).when(listed, F.col("page_year")))
+    rows = links.select("page_id", "href", "text", kind.alias("kind"), category.alias("category"), F.coalesce(said, url_date(href)).alias("date"), shaped.alias("shaped")).filter("kind is not null")
+    some = rows.filter("shaped").select("page_id").distinct().withColumn("_some", F.lit(True))
+    return rows.join(some, "page_id", "left").filter("shaped or _some is null").drop("shaped", "_some")
 
 
 def unseen(links: DataFrame, ledger: DataFrame, key: str = "url") -> DataFrame:
