@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from cosecha.functions import names
@@ -40,28 +40,39 @@ def _every_file(columns: str, rows: Sequence[Sequence[object]]) -> str:
     return f"SELECT c_custkey AS file, v.* FROM customer CROSS JOIN (VALUES {values}) v({columns})"
 
 
-_BULLETIN = [
-    (0, ["PRECIOS DE VENTA", "", ""]), (1, ["Sin grupo", "kg", "1", "100", "120"]), (2, ["Frutas"]), (3, ["Cítricos"]), (4, ["Limón", "kg", "1", "1.200", "1.300", "1.250", "1.400"]),
-    (5, ["Otras frutas"]), (6, ["Mango", "caja", "10", "900", "n.d."]), (7, ["Producto sin precio", "kg"]), (8, ["Uva", "kg", "1", "n.d.", "2.000", "0", "2.100"]),
-    (9, ["Nota"]), (10, ["CARNES"]), (11, ["Res", "kg", "1", "15.000", "16.000"]), (12, ["Pescados"]), (13, ["Bagre entero"]), (14, ["Bocachico", "kg", "1", "8.000", "9.000"]),
-]
+def _bulletin(spark, sf_dir: str):
+    """(file, row, cells): a bulletin for each order, with a heading for each of its lines' brands as they change."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    v = Views(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))
+    lines = v.table("lineitem").select("l_orderkey", *order).join(v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").withColumn("nth", nth)
+    row = lambda at, *cells: F.struct(F.lit(at).cast("int").alias("row") if isinstance(at, int) else at.cast("int").alias("row"), F.array(*cells).alias("cells"))
+    text, local = F.lit, lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    heads = [row(0, text("PRECIOS DE VENTA"), text(""), text("")), row(1, text("Sin grupo"), text("kg"), text("1"), text("100"), text("120")), row(2, text("Frutas")), row(3, text("Cítricos"))]
+    heads += [row(1000, text("Nota")), row(1001, text("CARNES")), row(1002, text("Res"), text("kg"), text("1"), text("15.000"), text("16.000"))]
+    bare = v.table("orders").select(F.col("o_orderkey").alias("file"), F.explode(F.array(*heads)).alias("r"))
+    low, high = local(F.col("l_extendedprice")), local(F.col("l_extendedprice") + 10)
+    second = [F.when(F.col("nth") % 2 == 0, local(F.col("l_quantity"))).otherwise("0"), F.when(F.col("nth") % 2 == 0, local(F.col("l_quantity") + 1)).otherwise("n.d.")]
+    above = F.when(F.col("nth") > 1, row(2 * F.col("nth") + 3, F.when(F.col("nth") % 3 == 0, "Otras frutas").otherwise("Cítricos")))
+    body = F.array_compact(F.array(above, row(2 * F.col("nth") + 4, F.col("p_name"), text("caja"), F.col("nth").cast("string"), low, high, *second)))
+    return bare.unionByName(lines.select(F.col("l_orderkey").alias("file"), F.explode(body).alias("r"))).select("file", "r.*")
 
 
-@registry.query("A10_bulletin_prices", _every_file('"row", category, subcategory, product, presentation, units, round, min_price, max_price', [
-    (4, "Frutas", "Cítricos", "Limón", "kg", "1", 1, 1200.0, 1300.0),
-    (4, "Frutas", "Cítricos", "Limón", "kg", "1", 2, 1250.0, 1400.0),
-    (6, "Frutas", "Otras frutas", "Mango", "caja", "10", 1, 900.0, None),
-    (8, "Frutas", "Otras frutas", "Uva", "kg", "1", 1, None, 2000.0),
-    (11, "CARNES", "", "Res", "kg", "1", 1, 15000.0, 16000.0),
-    (14, "Pescados", "", "Bocachico", "kg", "1", 1, 8000.0, 9000.0),
-]))
+_BULLETIN_LINES = """lines AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS nth FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@registry.query("A10_bulletin_prices", f"""WITH {_BULLETIN_LINES}
+SELECT l_orderkey AS file, 2 * nth + 4 AS "row", 'Frutas' AS category, CASE WHEN nth % 3 = 0 THEN 'Otras frutas' ELSE 'Cítricos' END AS subcategory, p_name AS product, 'caja' AS presentation, CAST(nth AS VARCHAR) AS units, r.k AS round, r.low AS min_price, r.high AS max_price
+FROM lines, LATERAL (VALUES (1, l_extendedprice, l_extendedprice + 10), (2, CASE WHEN nth % 2 = 0 THEN l_quantity END, CASE WHEN nth % 2 = 0 THEN l_quantity + 1 END)) r(k, low, high) WHERE r.low IS NOT NULL
+UNION ALL SELECT o_orderkey, 1002, 'CARNES', '', 'Res', 'kg', '1', 1, 15000, 16000 FROM orders""")
 def bulletin_prices(spark, sf_dir):
-    return bulletins.bulletin_prices(_grid(spark, sf_dir, _BULLETIN, "row int, cells array<string>"))[0]
+    found = bulletins.bulletin_prices(_bulletin(spark, sf_dir))[0]
+    return found.withColumns({c: F.round(c, 2) for c in ("min_price", "max_price")})
 
 
-@registry.query("B8_rows_without_category", _every_file('"row", error_type, error_message', [(1, "missing_category", "no category: Sin grupo")]))
+@registry.query("B8_rows_without_category", """SELECT o_orderkey AS file, 1 AS "row", 'missing_category' AS error_type, 'no category: Sin grupo' AS error_message FROM orders""")
 def rows_without_category(spark, sf_dir):
-    return bulletins.bulletin_prices(_grid(spark, sf_dir, _BULLETIN, "row int, cells array<string>"))[1]
+    return bulletins.bulletin_prices(_bulletin(spark, sf_dir))[1]
 
 
 @registry.query("A12_arrival_tables", "SELECT c_custkey AS file, c_custkey % 3 <> 0 AS arrivals FROM customer")
@@ -73,11 +84,16 @@ def arrival_tables(spark, sf_dir):
     return bulletins.is_arrival_table(grid)
 
 
-@registry.query("A13_recognised_prices", _every_file("product, presentation, units, min_price, max_price", [("Papa", "kg", "1", 1200.0, 1300.0), ("Uva", None, None, None, 2000.0)]))
+@registry.query("A13_recognised_prices", """
+SELECT o_orderkey AS file, 'p' || o_custkey AS product, CASE WHEN o_orderkey % 2 = 0 THEN 'kg' END AS presentation, CASE WHEN o_orderkey % 2 = 0 THEN '1' END AS units, round(o_totalprice, 2) AS min_price, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) + 1 END AS max_price FROM orders WHERE o_orderkey % 7 <> 0""")
 def recognised_prices(spark, sf_dir):
-    payload = '[{"producto": "Papa", "presentacion": "kg", "unidades": "1", "precio_minimo": "1.200", "precio_maximo": "1.300"}, {"product": "Uva", "max_price": "2.000"}, {"product": "Ajo"}]'
-    rows = Views(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("file"), F.lit(payload).alias("payload"))
-    return layouts.recognised_prices(rows)
+    local = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    low, product = local(F.round("o_totalprice", 2)), F.concat(F.lit(" p"), F.col("o_custkey").cast("string"))
+    spanish = F.to_json(F.array(F.struct(product.alias("producto"), F.lit("kg").alias("presentacion"), F.lit("1").alias("unidades"), low.alias("precio_minimo"), local(F.round("o_totalprice", 2) + 1).alias("precio_maximo"))))
+    english = F.to_json(F.array(F.struct(product.alias("product"), low.alias("min_price")), F.struct(F.lit("Ajo").alias("product"), F.lit("n.d.").alias("min_price"))))
+    payload = F.when(F.col("o_orderkey") % 7 == 0, F.lit("no list")).when(F.col("o_orderkey") % 2 == 0, spanish).otherwise(english)
+    rows = layouts.recognised_prices(Views(spark, sf_dir).table("orders").select(F.col("o_orderkey").alias("file"), payload.alias("payload")))
+    return rows.withColumns({c: F.round(c, 2) for c in ("min_price", "max_price")})
 
 
 # Pages of each layout, with addresses and texts of a part; quotes of both kinds, entities, a comment and a nested table.

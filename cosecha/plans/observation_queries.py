@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cosecha.functions.text import norm_key
+from cosecha.functions.text import MONTHS, norm_key
 from cosecha.operators import observations as ops
 from cosecha.operators import quality
 from cosecha.plans.golden_queries import _every_file, _grid
 from cosecha.plans.registry import Registry
 from cosecha.plans.sql_surface import register_scalars
 from cosecha.plans.views import Views
-from cosecha.sources import sinks
+from cosecha.sources import layouts, sinks
+from cosecha.sources.workbooks import date_cell, number_cell, text_cell
 
 registry = Registry()
 
@@ -320,6 +321,16 @@ def sql_scalar_functions(spark, sf_dir):
       max(origin_label(CASE WHEN l_orderkey % 4 = 0 THEN '' WHEN l_orderkey % 2 = 1 THEN l_returnflag END)) AS origin FROM scalar_lines GROUP BY ALL""")
 
 
-@registry.query("H4_union_of_layouts", _every_file("layout, price", [("old", 1.0), ("new", 2.0)]))
+@registry.query("H4_union_of_layouts", """
+SELECT l_orderkey % 2 = 0 AS dated, p_name AS product, COUNT(*) AS rows, MIN(l_extendedprice) AS least, MAX(l_extendedprice) AS most FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 def union_of_layouts(spark, sf_dir):
-    return _grid(spark, sf_dir, [("old", 1.0)], "layout string, price double").unionByName(_grid(spark, sf_dir, [("new", 2.0)], "layout string, price double"))
+    v = Views(spark, sf_dir)
+    lines = v.table("lineitem").join(v.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    day, name, price = F.col("l_shipdate").cast("date"), text_cell(F.col("p_name")), number_cell(F.col("l_extendedprice"))
+    place = [text_cell(F.lit(x)) for x in ("73001", "Ibagué", "73", "Tolima")]
+    new = F.array(date_cell(day), name, *place, price)
+    old = F.array(number_cell(F.year(day)), text_cell(F.get(F.array(*map(F.lit, MONTHS)), F.month(day) - 1)), name, *place, price)
+    dated = F.col("l_orderkey") % 2 == 0
+    sheets = lines.select(F.col("l_orderkey").alias("file"), F.lit(8).alias("row"), F.when(dated, new).otherwise(old).alias("cells"))
+    rows = layouts.rice_prices(sheets)
+    return rows.groupBy((F.col("file") % 2 == 0).alias("dated"), "product").agg(F.count(F.lit(1)).alias("rows"), F.min("avg_price").alias("least"), F.max("avg_price").alias("most"))
