@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
@@ -131,3 +132,27 @@ def test_fuzzy_best_finds_other_first_letters(spark):
 def test_transient_errors(spark):
     rows = spark.createDataFrame([("database_error", None), ("parse", "Connection RESET by peer"), ("parse", "bad row"), (None, None)], "kind string, message string")
     assert [r[0] for r in rows.select(quality.transient(F.col("kind"), F.col("message"))).collect()] == [True, True, False, False]
+
+
+def test_strip_accents_of_every_letter(spark):
+    plain = lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
+    # Vowel signs made of marks only are none of the table's.
+    letters = [v for v in map(chr, (*range(0x20, 0xAC00), *range(0xF900, 0xFFF0))) if plain(v) or unicodedata.combining(v)]
+    wanted = [plain(v) for v in letters]
+    cases = [f"a{v}b {v}{v}\n" for v in letters] + ["", None, "plain", "\U0001f600ﬀ"]
+    assert values(spark, text.strip_accents, cases) == [f"a{w}b {w}{w}\n" for w in wanted] + ["", None, "plain", "\U0001f600ff"]
+
+
+def test_strip_accents_reads_its_text_once_and_tests_few_ranges(spark):
+    # A class of single letters tries each of a thousand at every character of a text.
+    assert text._SEVERAL.count(r"\x") < 250
+    planned = spark.range(1).select(text.strip_accents(text.strip_accents(text.strip_accents(F.concat(F.lit("x"), F.col("id").cast("string"))))))
+    assert planned._jdf.queryExecution().analyzed().toString().count("concat(x, cast(id#") == 1
+
+
+def test_keys_collapse_any_run_of_blanks(spark):
+    cases = ["a b", " a  b ", "a\tb", "a b", "a  \n b", "　a　", "   ", "", None, "a,b", "é,  Ü--x!", "a-b c -d"]
+    plain = lambda v: None if v is None else " ".join(v.split())
+    assert values(spark, text.collapse_spaces, cases) == [plain(v) for v in cases]
+    key = lambda v: None if v is None else " ".join(re.sub("[^a-z0-9]", " ", "".join(c for c in unicodedata.normalize("NFKD", v.lower()) if not unicodedata.combining(c))).split())
+    assert values(spark, text.comparison_key, cases) == [key(v) for v in cases]
