@@ -36,7 +36,7 @@ def _row(number: Column | int, *cells: Column) -> Column:
 
 def _sheet(table, file: str, *rows: Column):
     """(file, row, cells): each of ``rows`` for every row of ``table``; null ones are left out."""
-    return table.select(F.col(file).alias("file"), F.explode(F.array_compact(F.array(*rows))).alias("r")).select("file", "r.*")
+    return table.select(F.col(file).alias("file"), F.explode(F.array(*rows)).alias("r")).filter("r is not null").select("file", "r.*")
 
 
 def _in_words(date: Column) -> Column:

@@ -140,3 +140,17 @@ def test_literal_layout_cases(spark):
     rows = [("m", 1, ["Precios, marzo de 2020"]), ("m", 2, ["2015", "enero", "Antioquia", "05", "BELLO", "05088", "900"]), ("m", 4, ["05", "Antioquia", "05001", "Medellín", "900", "1.000", "950", "="])]
     found = sorted((r["row"], r["price_date"], r["municipality"]) for r in layouts.milk_prices(spark.createDataFrame(rows, text)).collect())
     assert found == [(2, dt.date(2015, 1, 1), "Bello"), (4, dt.date(2020, 3, 1), "Medellín")]
+
+
+def test_daily_problems_read_their_sheets_once(spark):
+    cells = "array<string>"
+    rows = [(1, 1, ["5 de enero de 2020"]), (1, 2, ["Producto", "Bogotá, D.C., Plaza", "Var", "Cali"]), (1, 4, ["Papa", "100", "", ""]), (1, 5, ["Frutas"]), (1, 6, ["Mora", "n.d.", "", "200"])]
+    rows += [(2, 1, ["nada"]), (3, 30, ["Papa", "1"])]
+    grid = spark.createDataFrame(rows, f"file int, row int, cells {cells}")
+    dates = spark.createDataFrame([(1, None), (2, None)], "file int, price_date date")
+    found = daily.daily_problems(grid, dates)
+    wanted = {(1, 4, "missing_category"), (1, None, "missing_date"), (2, None, "invalid_city_headers"), (3, None, "invalid_city_headers")}
+    assert {tuple(r)[:3] for r in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+    assert [(r["product"], r["city"], r["min_price"]) for r in daily.daily_prices(grid).collect()] == [("Mora", "Cali", 200)]
