@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cosecha.functions.text import collapse_spaces, parse_price, parse_spanish_date, split_city_market
+from cosecha.functions.text import collapse_spaces, once, parse_price, parse_spanish_date, split_city_market
 
 # Headings of bulletins, in the spellings that occur; capitals throughout count too.
 CATEGORIES = [
@@ -36,14 +39,14 @@ _DATE = r"(?i)\d{1,2}\s+de\s+[\p{L}\p{N}_]+\s+de\s+\d{4}"
 
 
 def _any(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+    return once(text, lambda t: reduce(or_, (t.contains(w) for w in words)))
 
 
 def has_price(cells: Column, start: int = 3) -> Column:
     """Whether a cell from place ``start`` on is digits above 0 once dots and commas are gone."""
     rest = F.slice(cells, start + 1, F.greatest(F.size(cells) - start, F.lit(0)))
     digits = lambda c: F.regexp_replace(F.trim(c), "[.,]", "")
-    return F.coalesce(F.exists(rest, lambda c: F.coalesce(digits(c).rlike("^[0-9]+$") & digits(c).rlike("[1-9]"), F.lit(False))), F.lit(False))
+    return F.coalesce(F.exists(rest, lambda c: F.coalesce(digits(c).rlike("^[0-9]*[1-9][0-9]*$"), F.lit(False))), F.lit(False))
 
 
 def is_heading(cells: Column) -> Column:

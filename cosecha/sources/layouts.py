@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cosecha.functions.names import title_case
-from cosecha.functions.text import classification_code, month_number, parse_price, parse_spanish_date
+from cosecha.functions.text import classification_code, month_number, once, parse_price, parse_spanish_date
 from cosecha.sources.workbooks import date_of, number_of, price_of, text_of, typed_cells
 
 
@@ -29,8 +29,15 @@ def _number(k: int) -> Column:
 
 
 def _month_start(year: Column, month: Column) -> Column:
-    number = F.coalesce(month_number(month), month.try_cast("int"))
-    return F.when(number.between(1, 12) & year.rlike(r"^\d{4}$"), F.make_date(year.try_cast("int"), number, F.lit(1)))
+    number = once(month, lambda m: F.coalesce(month_number(m), m.try_cast("int")))
+    date = lambda n: F.when(n.between(1, 12) & year.rlike(r"^\d{4}$"), F.make_date(year.try_cast("int"), n, F.lit(1)))
+    return once(number, date)
+
+
+def _built(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """file, row and ``columns``; above an explode a later test of a column does not work it out again."""
+    one = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return rows.select("file", "row", F.explode(one).alias("_r")).select("file", "row", "_r.*")
 
 
 def milk_prices(grid: DataFrame) -> DataFrame:
@@ -40,13 +47,14 @@ def milk_prices(grid: DataFrame) -> DataFrame:
     """
     grid = typed_cells(grid)
     words = F.concat_ws(" ", F.transform("cells", lambda c: c["text"]))
-    titled = parse_spanish_date(F.concat(F.lit("1 de "), F.regexp_extract(words, r"(?i)(\p{L}+\s+de\s+\d{4})", 1)))
+    month = F.regexp_extract(words, r"(?i)(\p{L}++\s+de\s+\d{4})", 1)
+    titled = once(month, lambda m: F.when(m != "", parse_spanish_date(F.concat(F.lit("1 de "), m))))
     rows = grid.withColumn("_title", F.max(titled).over(Window.partitionBy("file")))
     none = F.lit(None).cast("double")
 
     def priced(of: DataFrame, date: Column, department: int, municipality: Column, low: Column, high: Column, mean: int) -> DataFrame:
         columns = {"price_date": date, "department": cell(department), "municipality": municipality, "min_price": low, "max_price": high, "avg_price": _price(mean)}
-        return of.select("file", "row", *(c.alias(n) for n, c in columns.items()))
+        return _built(of, columns)
 
     dated = F.get("cells", F.lit(0))["kind"] == "date"
     by_month = rows.filter(cell(0).rlike(r"^(19|20)\d{2}$"))
@@ -89,7 +97,7 @@ def input_prices(grid: DataFrame) -> DataFrame:
     wide = F.size("cells") >= 9
     named = {"price_date": _month_start(cell(0), cell(1)), "department_code": cell(2), "municipality_code": cell(4), "product": cell(6)}
     named |= {"presentation": F.when(wide, cell(7)), "avg_price": F.when(wide, _price(8)).otherwise(_price(7))}
-    rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select("file", "row", *(c.alias(n) for n, c in named.items()))
+    rows = _built(grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")), named)
     return rows.filter("price_date is not null and product is not null and avg_price is not null")
 
 
@@ -97,20 +105,9 @@ def department_input_prices(grid: DataFrame) -> DataFrame:
     """Input prices of departments: year, month name, department code and name, classification code, product, article, brand, registration, presentation, price."""
     grid = typed_cells(grid)
     price = F.coalesce(_number(10), F.regexp_replace(cell(10), ",", ".").try_cast("double"))
-    rows = grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")).select(
-        "file",
-        "row",
-        _month_start(cell(0), cell(1)).alias("price_date"),
-        cell(2).alias("department_code"),
-        cell(3).alias("department"),
-        cell(4).alias("cpc_code"),
-        cell(5).alias("product"),
-        cell(6).alias("article"),
-        cell(7).alias("brand"),
-        cell(8).alias("registration"),
-        cell(9).alias("presentation"),
-        price.alias("avg_price"),
-    )
+    texts = ("department_code", "department", "cpc_code", "product", "article", "brand", "registration", "presentation")
+    named = {"price_date": _month_start(cell(0), cell(1)), **{n: cell(k) for k, n in enumerate(texts, 2)}, "avg_price": price}
+    rows = _built(grid.filter(cell(0).rlike(r"^(19|20)\d{2}$")), named)
     return rows.filter("price_date is not null and product is not null and avg_price is not null")
 
 

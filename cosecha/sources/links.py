@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -204,8 +204,9 @@ def page_files(pages: DataFrame) -> DataFrame:
     in_row = four | three
     said = dated_text(F.when(in_row, F.col("first")).when(listed | simple, text), F.when(in_row, F.col("year")).when(listed, F.col("page_year")))
     rows = links.select("page_id", "href", "text", kind.alias("kind"), category.alias("category"), F.coalesce(said, url_date(href)).alias("date"), shaped.alias("shaped")).filter("kind is not null")
-    some = rows.filter("shaped").select("page_id").distinct().withColumn("_some", F.lit(True))
-    return rows.join(some, "page_id", "left").filter("shaped or _some is null").drop("shaped", "_some")
+    # A page has a bounded number of links; a window reads pages once, a join with those that have some would read them twice.
+    rows = rows.withColumn("_some", F.max("shaped").over(Window.partitionBy("page_id")))
+    return rows.filter("shaped or not _some").drop("shaped", "_some")
 
 
 def unseen(links: DataFrame, ledger: DataFrame, key: str = "url") -> DataFrame:

@@ -154,3 +154,10 @@ def test_daily_problems_read_their_sheets_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
     assert [(r["product"], r["city"], r["min_price"]) for r in daily.daily_prices(grid).collect()] == [("Mora", "Cali", 200)]
+
+
+def test_a_column_of_a_layout_is_worked_out_once(spark):
+    grid = spark.createDataFrame([(1, 10, ["2020", "mayo", "05", "Antioquia", "05001", "Medellín", "Urea", "50 kg", "1.200"])], "file int, row int, cells array<string>")
+    found = layouts.input_prices(grid)
+    assert [(str(r["price_date"]), r["product"], r["avg_price"]) for r in found.collect()] == [("2020-05-01", "Urea", 1200)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("make_date") == 1
