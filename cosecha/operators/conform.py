@@ -24,6 +24,13 @@ RARE_FIRST = "0123456789wkxqyjzfhvgbpmctudlnrsioea "
 PAIRED = 256
 
 
+def _table(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table of its own in the shared folder."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -59,13 +66,7 @@ def closed_merges(merges: DataFrame) -> DataFrame:
     lead to it, go to the cycle's smallest member, which is no loser. Each round is a
     table in the shared folder, so the plan does not grow.
     """
-    spark = merges.sparkSession
-
-    def table(rows: DataFrame) -> DataFrame:
-        path = shared_folder(spark, "merges")
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
+    table = lambda rows: _table(rows, "merges")
     pairs = merges.filter("loser != winner").groupBy("loser").agg(F.min("winner").alias("winner"))
     current = table(pairs.withColumn("least", F.least("loser", "winner")))
     total, reach = current.count(), 1
@@ -160,13 +161,22 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     return close.unionByName(left.filter("a = ''").join(right.filter("b = ''"), F.col("a") == F.col("b")).select("a", "b", F.lit(1.0).alias("ratio")))
 
 
+def _keyed(texts: DataFrame, text: str, key: str) -> DataFrame:
+    """The distinct texts that have a comparison key, with it.
+
+    Conditions on the key would go below the distinct and work it out for every row, so what is distinct is a table first.
+    """
+    distinct = _table(texts.select(text).filter(F.col(text).isNotNull()).distinct(), "texts")
+    return _table(distinct.withColumn(key, comparison_key(F.col(text))), "keys").filter(F.col(key).isNotNull())
+
+
 def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85) -> DataFrame:
     """The most alike member of each value (value, name, ratio) at or above ``threshold``; the smallest name on ties.
 
     An equal key is taken first. Keys are distinct before they meet, and names of one key have one ratio.
     """
-    keyed = values.select("value").distinct().withColumn("a", comparison_key(F.col("value"))).filter("a is not null")
-    right = members.select("name", comparison_key(F.col("name")).alias("b")).filter("b is not null").groupBy("b").agg(F.min("name").alias("name"))
+    keyed = _keyed(values, "value", "a")
+    right = _keyed(members, "name", "b").groupBy("b").agg(F.min("name").alias("name"))
     left = keyed.select("a").distinct()
     # From 200 characters on the ratio leaves out frequent ones, also of equal keys.
     same = left.join(right, F.col("a") == F.col("b")).filter(F.length("a") < 200).select("a", "name", F.lit(1.0).alias("ratio"))

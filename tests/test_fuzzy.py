@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from cosecha.operators import conform
 
@@ -31,3 +32,18 @@ def test_all_matches_have_every_name_of_a_key(spark):
     members = spark.createDataFrame([("Papa",), ("papa",), ("Yuca",), (None,)], "name string")
     found = conform.fuzzy_matches(spark.createDataFrame([("pápa",), ("pappa",), ("zz",), (None,)], "value string"), members, 0.7)
     assert sorted((r["value"], r["name"]) for r in found.collect()) == [("pappa", "Papa"), ("pappa", "papa"), ("pápa", "Papa"), ("pápa", "papa")]
+
+
+@pytest.mark.parametrize("find", [conform.fuzzy_best])
+def test_a_key_is_worked_out_once_for_a_text_however_many_rows_have_it(spark, monkeypatch, find):
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def key(text):
+        worked_out.add(1)
+        return text and text.lower()
+
+    monkeypatch.setattr(conform, "comparison_key", F.udf(key, "string"))
+    values = spark.createDataFrame([("Papa",), ("Papo",), ("zz",), (None,)] * 50, "value string").repartition(4)
+    members = spark.createDataFrame([("papa",), ("Yuca",)] * 50, "name string").repartition(4)
+    assert sorted((r["value"], r["name"]) for r in find(values, members, 0.7).collect()) == [("Papa", "papa"), ("Papo", "papa")]
+    assert worked_out.value <= 6
