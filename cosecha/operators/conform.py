@@ -187,8 +187,7 @@ def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85) -
 
 def fuzzy_matches(values: DataFrame, members: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Every member of each value (value, name, ratio) at or above ``threshold``."""
-    keyed = values.select("value").distinct().withColumn("a", comparison_key(F.col("value"))).filter("a is not null")
-    named = members.select("name").distinct().withColumn("b", comparison_key(F.col("name"))).filter("b is not null")
+    keyed, named = _keyed(values, "value", "a"), _keyed(members, "name", "b")
     pairs = fuzzy_pairs(keyed.select("a").distinct(), named.select("b").distinct(), threshold)
     return keyed.join(pairs, "a").join(named, "b").select("value", "name", "ratio")
 

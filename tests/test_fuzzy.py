@@ -34,7 +34,7 @@ def test_all_matches_have_every_name_of_a_key(spark):
     assert sorted((r["value"], r["name"]) for r in found.collect()) == [("pappa", "Papa"), ("pappa", "papa"), ("pápa", "Papa"), ("pápa", "papa")]
 
 
-@pytest.mark.parametrize("find", [conform.fuzzy_best])
+@pytest.mark.parametrize("find", [conform.fuzzy_best, conform.fuzzy_matches])
 def test_a_key_is_worked_out_once_for_a_text_however_many_rows_have_it(spark, monkeypatch, find):
     worked_out = spark.sparkContext.accumulator(0)
 
