@@ -24,7 +24,7 @@ RARE_FIRST = "0123456789wkxqyjzfhvgbpmctudlnrsioea "
 PAIRED = 256
 
 
-def _table(rows: DataFrame, name: str) -> DataFrame:
+def table(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a table of its own in the shared folder."""
     path = shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
@@ -66,16 +66,15 @@ def closed_merges(merges: DataFrame) -> DataFrame:
     lead to it, go to the cycle's smallest member, which is no loser. Each round is a
     table in the shared folder, so the plan does not grow.
     """
-    table = lambda rows: _table(rows, "merges")
     pairs = merges.filter("loser != winner").groupBy("loser").agg(F.min("winner").alias("winner"))
-    current = table(pairs.withColumn("least", F.least("loser", "winner")))
+    current = table(pairs.withColumn("least", F.least("loser", "winner")), "merges")
     total, reach = current.count(), 1
     onward = lambda rows: rows.select(F.col("loser").alias("winner"), F.col("winner").alias("_next"), F.col("least").alias("_least"))
     while reach < 2 * total:
         following = current.join(onward(current), "winner", "left")
         if following.filter("_next is not null").isEmpty():
             return current.select("loser", "winner")
-        current = table(following.select("loser", F.coalesce("_next", "winner").alias("winner"), F.least("least", "_least").alias("least")))
+        current = table(following.select("loser", F.coalesce("_next", "winner").alias("winner"), F.least("least", "_least").alias("least")), "merges")
         reach *= 2
     # Whatever has a next one still goes round; its winner lies on the cycle and has seen all of it.
     ends = current.join(onward(current), "winner", "left")
@@ -166,8 +165,8 @@ def _keyed(texts: DataFrame, text: str, key: str) -> DataFrame:
 
     Conditions on the key would go below the distinct and work it out for every row, so what is distinct is a table first.
     """
-    distinct = _table(texts.select(text).filter(F.col(text).isNotNull()).distinct(), "texts")
-    return _table(distinct.withColumn(key, comparison_key(F.col(text))), "keys").filter(F.col(key).isNotNull())
+    distinct = table(texts.select(text).filter(F.col(text).isNotNull()).distinct(), "texts")
+    return table(distinct.withColumn(key, comparison_key(F.col(text))), "keys").filter(F.col(key).isNotNull())
 
 
 def fuzzy_best(values: DataFrame, members: DataFrame, threshold: float = 0.85) -> DataFrame:

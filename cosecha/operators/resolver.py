@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from cosecha.functions.columns import first_per_key
 from cosecha.functions.names import normalized
 from cosecha.functions.text import split_at_last_comma, strip_accents
-from cosecha.operators.conform import resolve
+from cosecha.operators.conform import resolve, table
 
 # Names that are given to what has none of its own.
 OWN_MARKET, GENERAL = "Mercado municipal de ", "General ({0})"
@@ -40,30 +41,32 @@ def _added(found: DataFrame, new: DataFrame, aliases: DataFrame) -> Resolution:
     return Resolution(both.select("raw_value", F.coalesce("member_id", "_new").alias("member_id"), how.alias("resolved_by")), members, fresh)
 
 
-def _values(values: DataFrame) -> DataFrame:
-    return values.select("raw_value").filter(normalized(F.col("raw_value")) != "").distinct()
+def _values(values: DataFrame, keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """The distinct raw values that are not empty. The distinct ones are a table first, by ``keep``: else every row would be repaired."""
+    distinct = values.select("raw_value").distinct()
+    return (keep(distinct) if keep else table(distinct, "values")).filter(normalized(F.col("raw_value")) != "")
 
 
-def resolve_or_create(values: DataFrame, kind: str, members: DataFrame, aliases: DataFrame, parent: Column | None = None) -> Resolution:
+def resolve_or_create(values: DataFrame, kind: str, members: DataFrame, aliases: DataFrame, parent: Column | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Resolution:
     """Raw values (raw_value, and what ``parent`` reads) against ``members`` (member_id, name) and ``aliases`` (raw_value, member_id).
 
     An unknown value becomes a member by its repaired text; spellings that are repaired to one text become one member. Of several
     parents of a new member the smallest counts. Empty and null values resolve to nothing.
     """
-    found = resolve(_values(values), "raw_value", aliases, members)
+    found = resolve(_values(values, keep), "raw_value", aliases, members)
     name = normalized(F.col("raw_value"))
     above = values.groupBy("raw_value").agg(F.min(parent if parent is not None else F.lit(None).cast("string")).alias("parent_id"))
     missing = found.filter("member_id is null").select("raw_value").join(above, "raw_value", "left")
     return _added(found, missing.select("raw_value", member_id(kind, name).alias("member_id"), name.alias("name"), "parent_id"), aliases)
 
 
-def resolve_cities(values: DataFrame, members: DataFrame, aliases: DataFrame, gazetteer: DataFrame) -> Resolution:
+def resolve_cities(values: DataFrame, members: DataFrame, aliases: DataFrame, gazetteer: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> Resolution:
     """As ``resolve_or_create``, but a new city must be in the ``gazetteer`` (name, parent, code): by its capitals, else by its capitals without accents.
 
     A city is created under its repaired raw text, below its department; of several places of one name the one of smallest code counts.
     What the gazetteer lacks stays unresolved.
     """
-    found = resolve(_values(values), "raw_value", aliases, members)
+    found = resolve(_values(values, keep), "raw_value", aliases, members)
     bare = lambda c: F.upper(strip_accents(c))
     exact = first_per_key(gazetteer.withColumn("_key", F.upper("name")), ["_key"], F.asc("code")).select("_key", F.col("parent").alias("_parent"))
     plain = first_per_key(gazetteer.withColumn("_bare", bare(F.col("name"))), ["_bare"], F.asc("code")).select("_bare", F.col("parent").alias("_other"))

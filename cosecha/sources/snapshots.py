@@ -98,6 +98,11 @@ class Store:
         if not files.rename(draft, final):
             raise RuntimeError(f"another writer changed {self.path}")
 
+    def delete(self, folder: str) -> None:
+        """Delete a folder of the same file system, if it is there."""
+        hadoop, files = self._files()
+        files.delete(hadoop.Path(folder), True)
+
     def vacuum(self) -> None:
         """Delete the folders and manifests that the newest manifest does not name; no reader may use older ones."""
         hadoop, files = self._files()

@@ -7,6 +7,10 @@ a queue, which is a stream of its own: each run tries them again, up to ``TRIES`
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,33 +38,45 @@ def open_store(spark: SparkSession, path: str) -> Store:
     return Store(spark, f"{path}/tables", TABLES, _KEYS)
 
 
-def _settled(store: Store, rows: DataFrame, gazetteer: DataFrame, held: list[DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+@contextmanager
+def _steps(store: Store, path: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that makes a table of what a micro-batch works out, so that plans stay small; the tables go at its end."""
+    folder, made = f"{path}/work/{uuid.uuid4().hex}", []
+
+    def keep(frame: DataFrame) -> DataFrame:
+        made.append(f"{folder}/{len(made)}")
+        frame.write.parquet(made[-1])
+        return frame.sparkSession.read.schema(frame.schema).parquet(made[-1])
+
+    try:
+        yield keep
+    finally:
+        store.delete(folder)
+
+
+def _settled(store: Store, rows: DataFrame, gazetteer: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
     """``rows`` with price, product_id, city_id, market_id and what is wrong with them; the members and the aliases to add, by kind.
 
-    What a micro-batch has of distinct names is computed once and kept in ``held`` for its end.
+    What a micro-batch has of distinct names is worked out once, as tables by ``keep``.
     """
 
-    def once(frame: DataFrame) -> DataFrame:
-        held.append(frame.persist())
-        return held[-1]
-
     def resolved(found: resolver.Resolution) -> resolver.Resolution:
-        return resolver.Resolution(*map(once, (found.found, found.members, found.aliases)))
+        return resolver.Resolution(*map(keep, (found.found, found.members, found.aliases)))
 
     members, aliases = store.read("members"), store.read("aliases")
     of = lambda table, kind: table.filter(F.col("kind") == kind).drop("kind")
     city_text = split_at_last_comma(F.col("place"))["city"]
-    typed = rows.withColumns({"amount": parse_price(F.col("price")), "city_text": city_text})
+    typed = keep(rows.withColumns({"amount": parse_price(F.col("price")), "city_text": city_text}))
     good = typed.filter("amount is not null")
 
-    cities = resolved(resolver.resolve_cities(good.select(F.col("city_text").alias("raw_value")), of(members, "city"), of(aliases, "city"), gazetteer))
+    cities = resolved(resolver.resolve_cities(good.select(F.col("city_text").alias("raw_value")), of(members, "city"), of(aliases, "city"), gazetteer, keep))
     named = of(members, "city").select("member_id", "name").unionByName(cities.members.select("member_id", "name"))
     city = cities.found.select(F.col("raw_value").alias("city_text"), F.col("member_id").alias("city_id"))
-    known = once(good.join(city, "city_text").filter("city_id is not null").select("place", "city_id", "product", "category"))
+    known = keep(good.join(city, "city_text").filter("city_id is not null").select("place", "city_id", "product", "category").distinct())
     places = known.select("place", "city_id").distinct().join(named.select(F.col("member_id").alias("city_id"), F.col("name").alias("city")), "city_id")
     markets = resolved(resolver.resolve_markets(places, of(members, "market"), of(aliases, "market")))
     general = resolver.member_id("subcategory", F.concat(F.lit("General ("), F.coalesce("category", F.lit("Unknown")), F.lit(")")))
-    products = resolved(resolver.resolve_or_create(known.select(F.col("product").alias("raw_value"), "category"), "product", of(members, "product"), of(aliases, "product"), general))
+    products = resolved(resolver.resolve_or_create(known.select(F.col("product").alias("raw_value"), "category"), "product", of(members, "product"), of(aliases, "product"), general, keep))
 
     market = markets.found.select(F.col("raw_value").alias("place"), F.col("member_id").alias("market_id"))
     product = products.found.select(F.col("raw_value").alias("product"), F.col("member_id").alias("product_id"))
@@ -102,16 +118,15 @@ def take(store: Store, path: str, batch: DataFrame, number: int, gazetteer: Data
     """One micro-batch of ``ROWS``; False if it was taken before. Of a source that comes in several versions the newest counts."""
     if store.manifest()["batches"].get("ingest", -1) >= number:
         return False
-    held = [batch.persist()]
-    try:
+    with _steps(store, path) as keep:
         versions = batch.groupBy("source").agg(F.max("last_modified").alias("last_modified"))
         buckets = store.touched("ledger", versions)
         known = store.read("ledger", buckets)
-        stale = versions.join(known.select("source", F.col("last_modified").alias("_had")), "source", "left").filter("_had is null or last_modified > _had").drop("_had").persist()
-        held.append(stale)
-        rows, members, aliases = _settled(store, batch.join(stale, ["source", "last_modified"]), gazetteer, held)
-        rows = rows.withColumn("error_id", F.sha2(_row_data(rows), 256)).persist()
-        held.append(rows)
+        stale = versions.join(known.select("source", F.col("last_modified").alias("_had")), "source", "left").filter("_had is null or last_modified > _had").drop("_had")
+        stale = keep(stale)
+        # A file may be one task's whole, so the rows are dealt out first.
+        rows, members, aliases = _settled(store, batch.join(stale, ["source", "last_modified"]).hint("rebalance"), gazetteer, keep)
+        rows = keep(rows.withColumn("error_id", F.when(F.col("error_type").isNotNull(), F.sha2(_row_data(rows), 256))))
         bad = rows.filter("error_type is not null").withColumn("tries", F.lit(1))
         errors = bad.select("source", "error_id", "error_type", _row_data(rows).alias("row_data"), "tries", F.lit(False).alias("resolved"))
         counts = rows.groupBy("source").agg(F.count_if(F.col("error_type").isNull()).alias("facts"), F.count("error_type").alias("errors"))
@@ -120,9 +135,6 @@ def take(store: Store, path: str, batch: DataFrame, number: int, gazetteer: Data
         replaced = lambda table, new: (buckets, store.read(table, buckets).join(stale.select("source"), "source", "left_anti").unionByName(new))
         contents = {"facts": replaced("facts", _facts(rows)), "errors": replaced("errors", errors), "ledger": replaced("ledger", ledger)}
         return store.change(contents | _grown(store, members, aliases), "ingest", number)
-    finally:
-        for frame in held:
-            frame.unpersist()
 
 
 def retry(store: Store, path: str, waiting: DataFrame, number: int, gazetteer: DataFrame) -> bool:
@@ -132,22 +144,17 @@ def retry(store: Store, path: str, waiting: DataFrame, number: int, gazetteer: D
     """
     if store.manifest()["batches"].get("retry", -1) >= number:
         return False
-    held: list[DataFrame] = []
-    try:
+    with _steps(store, path) as keep:
         buckets = store.touched("errors", waiting)
         open_ = store.read("errors", buckets).filter("not resolved").select("source", "error_id")
-        rows, members, aliases = _settled(store, waiting.join(open_, ["source", "error_id"], "left_semi").drop("error_type"), gazetteer, held)
-        rows = rows.withColumn("tries", F.col("tries") + 1).persist()
-        held.append(rows)
+        rows, members, aliases = _settled(store, waiting.join(open_, ["source", "error_id"], "left_semi").drop("error_type"), gazetteer, keep)
+        rows = keep(rows.withColumn("tries", F.col("tries") + 1))
         _queue(rows.filter(F.col("error_type").isNotNull() & (F.col("tries") < TRIES)), path, f"batch=retry-{number}")
         now = rows.groupBy("source", "error_id").agg(F.max("tries").alias("_tries"), F.bool_and(F.col("error_type").isNull()).alias("_done"), F.max("error_type").alias("_type"))
         errors = store.read("errors", buckets).join(now, ["source", "error_id"], "left")
         errors = errors.withColumns({"tries": F.coalesce("_tries", "tries"), "resolved": F.coalesce("_done", "resolved"), "error_type": F.coalesce("_type", "error_type")}).drop("_tries", "_done", "_type")
         facts = store.read("facts", buckets).unionByName(_facts(rows))
         return store.change({"facts": (buckets, facts), "errors": (buckets, errors)} | _grown(store, members, aliases), "retry", number)
-    finally:
-        for frame in held:
-            frame.unpersist()
 
 
 def _drain(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
@@ -157,9 +164,12 @@ def _drain(stream: DataFrame, each, checkpoint: str) -> StreamingQuery:
 
 
 def ingest(spark: SparkSession, incoming: str, path: str, gazetteer: DataFrame) -> Store:
-    """Take the files that came into the folder ``incoming`` since the last run."""
+    """Take the files that came into the folder ``incoming`` since the last run.
+
+    They are one micro-batch: a source's rows may stand in several files, and a bucket is rewritten once.
+    """
     store = open_store(spark, path)
-    stream = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 64).parquet(incoming)
+    stream = spark.readStream.schema(ROWS).parquet(incoming)
     _drain(stream, lambda batch, number: take(store, path, batch, number, gazetteer), f"{path}/checkpoints/ingest")
     return store
 

@@ -100,3 +100,12 @@ def test_resolver_order_parents_and_empty_values(spark):
     assert found["Ñame"] == found["Ñame "] and found["Ñame"][1] == "created" and found["papa"][1] == "created" and len(found) == 6
     assert sorted((r["name"], r["parent_id"]) for r in made.members.collect()) == [("papa", None), ("Ñame", "c1")]
     assert sorted(r["raw_value"] for r in made.aliases.collect()) == ["papa", "Ñame", "Ñame "]
+
+
+def test_a_source_in_more_than_64_files_comes_whole_and_leaves_no_work_behind(spark, run, tmp_path):
+    deliver, _ = run
+    rows = spark.createDataFrame([row("a", 0, "Cali, x", "Uva", str(k + 1)) for k in range(66)], ingest.ROWS)
+    rows.repartitionByRange(66, F.col("price").cast("int")).write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/incoming")
+    assert facts(deliver([])) == [("a", float(k + 1)) for k in range(66)]
+    assert [(r["facts"], r["errors"]) for r in ingest.open_store(spark, str(tmp_path)).read("ledger").collect()] == [(66, 0)]
+    assert not list((tmp_path / "work").iterdir())
