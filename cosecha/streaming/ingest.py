@@ -124,8 +124,7 @@ def take(store: Store, path: str, batch: DataFrame, number: int, gazetteer: Data
         known = store.read("ledger", buckets)
         stale = versions.join(known.select("source", F.col("last_modified").alias("_had")), "source", "left").filter("_had is null or last_modified > _had").drop("_had")
         stale = keep(stale)
-        # A file may be one task's whole, so the rows are dealt out first.
-        rows, members, aliases = _settled(store, batch.join(stale, ["source", "last_modified"]).hint("rebalance"), gazetteer, keep)
+        rows, members, aliases = _settled(store, batch.join(stale, ["source", "last_modified"]), gazetteer, keep)
         rows = keep(rows.withColumn("error_id", F.when(F.col("error_type").isNotNull(), F.sha2(_row_data(rows), 256))))
         bad = rows.filter("error_type is not null").withColumn("tries", F.lit(1))
         errors = bad.select("source", "error_id", "error_type", _row_data(rows).alias("row_data"), "tries", F.lit(False).alias("resolved"))
