@@ -24,12 +24,19 @@ Two sets link when ``percent`` * |union| <= 100 * |intersection|. The steps:
    possible overlap is too small, and compares what is left exactly. Members that are
    already connected are not compared again, so a group of copies costs about its size.
 5. *Rounds.* First every set meets the members of its most popular cell, in blocks of
-   bounded size around a common hub. In the cells that then still hold several components
-   only the bitmaps meet: a set that some other component's bitmap does not rule out is a
-   candidate of that pair of components, or of the cell where many components meet. Last,
-   the candidates of each pair of components, or cell, are compared. All three run in
-   blocks of bounded elements. Together they find every link that the components need;
-   pairs of sets are never listed.
+   bounded size around a common hub. The sets of cells that then still hold several
+   components meet again by their rarest elements (below), where only the bitmaps meet: a
+   set that some other component's bitmap does not rule out is a candidate of that pair of
+   components, or of the group where many components meet. Last, the candidates of each
+   pair of components, or group, are compared. All three run in blocks of bounded elements.
+   Together they find every link that the components need; pairs of sets are never listed.
+6. *Rare elements.* Linked sets of a and b elements share percent / (100 + percent) of
+   a + b. Under one order of all elements, rare ones first, their first common element is
+   then so early in both that only the elements up to there need be met by; the larger
+   the other set, the fewer, so sizes fall into bands and each pair of bands has
+   groups of its own. What no other set has takes up these places, so near copies that
+   are too far apart meet nowhere, however many they are. The order comes from counters of
+   a fixed number; elements that share one are only ordered less well.
 """
 
 from __future__ import annotations
@@ -61,6 +68,10 @@ _ELEMENTS = 1 << 18
 #: Links or candidates that a task holds before it passes them on, a unit's at least.
 _FOUND = 1 << 14
 
+#: Counters that order elements by rarity, a fixed number, as every task gets them; a slice of them is added up at a time.
+COUNTERS = 1 << 20
+_SLICE = 1 << 14
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
@@ -124,11 +135,15 @@ class Classes:
         self.buckets = self.differ + 1 + self.slack
         self.largest = largest
 
+    def differing(self, size: np.ndarray) -> np.ndarray:
+        """Elements in which a set of ``size`` differs from a linked one at most."""
+        return (100 - self.percent) * (size + size * 100 // self.percent) // (100 + self.percent)
+
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, size, side="right") - 1
 
 
-def _cell_keys(doc: np.ndarray, value: np.ndarray, level: np.ndarray, fits: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cell_keys(doc: np.ndarray, value: np.ndarray, size: np.ndarray, level: np.ndarray, fits: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, cell) of the documents that ``fits`` marks, under size class ``level`` of each, and how many of a set's cells must have other sets."""
     mine = fits[doc]
     doc, value = doc[mine], value[mine]
@@ -143,7 +158,8 @@ def _cell_keys(doc: np.ndarray, value: np.ndarray, level: np.ndarray, fits: np.n
     at_level = mix(level.astype(np.uint64) + np.uint64(77))
     key = mix(content + which * np.uint64(0xC2B2AE3D27D4EB4F) + at_level[owner])
     empty = np.where(fits, total - np.bincount(owner, minlength=len(fits)), 0)
-    need = np.where(empty > classes.slack[level], 1, 1 + classes.slack[level] - empty)
+    # Linked sets have all buckets alike but for those of their differing elements; not more empty ones than each leaves out count.
+    need = np.maximum(1, total - classes.differing(size) - np.minimum(empty, classes.slack[level]))
     # Sets with more empty buckets than the slack meet in those as well.
     sparse = np.flatnonzero(fits & (empty > classes.slack[level]))
     if len(sparse):
@@ -169,7 +185,7 @@ def _cells_of(doc: np.ndarray, value: np.ndarray, size: np.ndarray, classes: Cla
         fits = (size > 0) & (level >= down) & (classes.differ[own] > 0)
         if down:
             fits &= size * classes.percent <= classes.largest[own] * 100
-        yield (down, *_cell_keys(doc, value, own, fits, classes), fits)
+        yield (down, *_cell_keys(doc, value, size, own, fits, classes), fits)
 
 
 def _set_keys(doc: np.ndarray, value: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -378,6 +394,101 @@ def member_sets(docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
     return texts.select("text", "set_key").mapInArrow(giving_back(make), "set_key long, weight long, elements binary, bitmap binary")
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """For each remainder of an element by COUNTERS, how many elements of ``sets`` (elements) have it."""
+    kind = "slice long, places binary, counts binary"
+
+    def packed(at: int, counts: np.ndarray) -> pa.RecordBatch:
+        held = np.flatnonzero(counts)
+        columns = [pa.array([at]), pa.array([held.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[held].tobytes()], pa.binary())]
+        return pa.record_batch(columns, names=["slice", "places", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column("elements"):
+                # A set's elements differ, but two may share a counter.
+                np.add.at(total, (np.frombuffer(raw.as_py(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for at, part in enumerate(total.reshape(-1, _SLICE)):
+            if part.any():
+                yield packed(at, part)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, places, counts in zip(*(batch.column(c).to_pylist() for c in ("slice", "places", "counts")), strict=True):
+                totals.setdefault(at, np.zeros(_SLICE, np.int64))[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int64)
+        for at, total in totals.items():
+            yield packed(at, total)
+
+    added = sets.select("elements").mapInArrow(giving_back(count), kind).repartition("slice").mapInArrow(giving_back(add), kind)
+    out = np.zeros((COUNTERS // _SLICE, _SLICE), np.int64)
+    for row in written(added, "frequencies").collect():
+        out[row["slice"], np.frombuffer(row["places"], np.uint16)] = np.frombuffer(row["counts"], np.int64)
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32).ravel()
+
+
+def size_bands() -> list[int]:
+    """The smallest sizes of bands, beginning at 1."""
+    lows, low = [], 1
+    while low < 1 << 40:
+        lows.append(low)
+        low = max(low + 1, low * 10 // 9)
+    return lows
+
+
+def _rare_elements(elements: np.ndarray, often: np.ndarray, lows: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Keys by which a set (its ``elements``) meets every set that it links with; ``lows`` are the smallest sizes of the bands.
+
+    An element alone in its counter is in no other set, so it has no key.
+    """
+    n = len(elements)
+    count = often[(elements % np.uint64(COUNTERS)).astype(np.int64)]
+    order = np.lexsort((elements, count))
+    elements, met = mix(elements[order]), count[order] > 1
+    own, least, most = np.searchsorted(lows, [n, -(-n * percent // 100), n * 100 // percent], side="right") - 1
+    out = []
+    for other in range(max(least, 0), most + 1):
+        smallest = max(int(lows[other]), -(-n * percent // 100))
+        shared = -(-percent * (n + smallest) // (100 + percent))
+        early = elements[: max(0, n - shared + 1)]
+        # The lower band first: both sets have the same key.
+        pair = mix(np.array([min(own, other) << 32 | max(own, other)], np.uint64))[0]
+        out.append(mix(early[met[: len(early)]] ^ pair))
+    return out
+
+
+def rare_cells(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(cell, set_key): linked sets of ``left`` (set_key) have a cell alike, made of an element that is among the rarest of both."""
+    side = F.broadcast(left) if small_enough(left, BROADCAST_ROWS) else left
+    members = sets.select("set_key", "elements").join(side, "set_key")
+    often = _frequencies(members)
+    bands = np.array(size_bands(), np.int64)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, owners, held = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            cell = np.concatenate([np.empty(0, np.uint64), *cells])
+            owner = np.repeat(np.array(owners, np.int64), [len(c) for c in cells])
+            cells.clear()
+            owners.clear()
+            return pa.record_batch([pa.array(cell.view(np.int64)), pa.array(owner)], names=["cell", "set_key"])
+
+        for batch in batches:
+            for key, raw in zip(batch.column("set_key").to_pylist(), batch.column("elements"), strict=True):
+                for cell in _rare_elements(np.frombuffer(raw.as_py(), np.uint64), often, bands, percent):
+                    cells.append(cell)
+                    owners.append(key)
+                    held += len(cell)
+                if held > _ELEMENTS:
+                    yield rows()
+                    held = 0
+        yield rows()
+
+    return members.mapInArrow(giving_back(meet), "cell long, set_key long")
+
+
 def _unit_members(sets: DataFrame, units: DataFrame, what: str) -> DataFrame:
     """``units`` (set_key, i, j, block, label) with the elements, or bitmap, of each set."""
     units = written(units, "units")
@@ -601,9 +712,12 @@ def _components_of(docs: DataFrame, words: int, percent: int, block: int) -> Dat
     labels = written(connected(first).select(F.col("node").alias("set_key"), F.col("component").alias("label")), "labels-1")
     labels = written(weights.join(labels, "set_key", "left").select("set_key", F.coalesce("label", "set_key").alias("label"), "weight"), "labels")
 
-    # Round 2: bitmaps meet in the cells that still hold several components.
+    # Round 2: bitmaps meet where sets of cells that still hold several components have a rare element alike.
     tagged = written(_apart(cells.join(labels, "set_key"), "label"), "mixed")
-    tagged = written(_apart(written(_enough(tagged, groups), "enough"), "label"), "mixed")
+    tagged = _apart(written(_enough(tagged, groups), "enough"), "label")
+    left = written(tagged.select("set_key").distinct(), "left")
+    tagged = written(rare_cells(sets, left, percent), "rare-cells").join(labels, "set_key")
+    tagged = written(_apart(tagged, "label"), "rare-mixed")
     mixed = _units(_families(tagged), block)
     candidates = _per_unit(_unit_members(sets, mixed, "bitmap"), percent, _candidates, ["low", "high", "node"])
     candidates = candidates.distinct().select(F.xxhash64("low", "high").alias("family"), F.col("node").alias("set_key"))

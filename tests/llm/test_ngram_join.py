@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cosecha.llm import ngram_join as nj
@@ -91,3 +92,46 @@ def test_copies_send_their_cells_once_a_task(spark):
     one = spark.createDataFrame([(0, text), (1, text + " x")], "doc_id long, text string").coalesce(1)
     many = spark.createDataFrame([(k, text + " x" * (k % 2)) for k in range(1000)], "doc_id long, text string").coalesce(1)
     assert nj.shared_cells(many, 4, 85, 3).count() == nj.shared_cells(one, 4, 85, 3).count() > 50
+
+
+def test_linked_sets_have_a_rare_element_alike():
+    """Sets at and just above the threshold, of equal and of most unequal sizes, under counters that many elements share."""
+    rng = np.random.default_rng(5)
+    lows = np.array(nj.size_bands(), np.int64)
+    for trial in range(400):
+        percent = int(rng.choice([60, 80, 85, 95]))
+        n = int(rng.integers(1, 300))
+        m = int(rng.integers(n, max(n + 1, n * 100 // percent + 1)))
+        shared = -(-percent * (n + m) // (100 + percent))
+        if shared > n:
+            continue
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * (n + m), dtype=np.uint64))[: n + m - shared]
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(pool[n - shared :])
+        often = rng.integers(2, 2 + int(rng.choice([1, 5, 1000])), nj.COUNTERS).astype(np.int32)
+        assert len(np.intersect1d(a, b)) == shared and len(b) == m
+        keys = [np.concatenate(nj._rare_elements(x, often, lows, percent)) for x in (a, b)]
+        assert len(np.intersect1d(*keys)), (trial, percent, n, m)
+
+
+def test_near_copies_too_far_apart_meet_nowhere(spark, monkeypatch):
+    """Copies of a text, each with changes of its own: those with many changes link with none, and rows that meet follow the number of sets."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(360):
+        words = list(base)
+        for at in rng.choice(37, 1 if k % 12 == 0 else 9, replace=False) * 4 + 1:
+            words[at] = f"x{k}-{at}"
+        texts.append((k, " ".join(words)))
+    sent, unit_members = [], nj._unit_members
+
+    def counted(sets, units, *rest):
+        sent.append(units.count())
+        return unit_members(sets, units, *rest)
+
+    monkeypatch.setattr(nj, "_unit_members", counted)
+    got = nj.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), block=64).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=str) == brute(texts)
+    assert len({x.component_id for x in got}) == 331
+    assert sum(sent) <= 3 * len(texts), sent
